@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import decontaminate, language_id, quality, sql
 from .chat_format import format_conversations
 from .tables import read
 
@@ -28,8 +28,23 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, quality.graded(read(spark, sf_dir, "labels"))))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    return language_id.identify(docs, language_id.learn(docs, ~held)).withColumn("held_out", held)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_chat_formatting": op7_chat_formatting}
+    return {f.__name__: f for f in (op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; one longer document makes a piece of its own.
 PIECE_BYTES = 6 << 20
@@ -121,7 +122,7 @@ def words_of(texts: pa.Array, kind: np.ndarray, fold: np.ndarray = PLAIN) -> Wor
 def pieces(batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about PIECE_BYTES of text each, so that memory follows the piece and not the batch."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
         upto = np.cumsum(sizes)
         i = 0
         while i < batch.num_rows:
