@@ -19,3 +19,16 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
   (plain_chars + CASE WHEN conflict THEN marks ELSE 0 END)::BIGINT AS formatted_chars
 FROM conv
 """
+
+ORACLE["op2_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, string_split_regex(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS all_w FROM documents),
+w AS (SELECT doc_id, CASE WHEN len(all_w) = 1 AND all_w[1] = '' THEN [] ELSE all_w END AS w FROM words),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+one AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (SELECT o.doc_id, string_agg(o.word, ' ' ORDER BY o.p) AS t, count(*) AS n FROM one o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.p = g.p WHERE g.p IS NULL GROUP BY o.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
