@@ -32,3 +32,18 @@ kept AS (SELECT o.doc_id, string_agg(o.word, ' ' ORDER BY o.p) AS t, count(*) AS
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
+
+ORACLE["op4_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT a AS x, a AS y FROM pairs UNION SELECT r.x, p.b FROM reach r JOIN pairs p ON r.y = p.a),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+deg AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT m.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.c, m.vec_id) AS component_id, m.vec_id = coalesce(c.c, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN deg d ON m.vec_id = d.a LEFT JOIN comp c ON m.vec_id = c.x
+"""
