@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, quality, sql, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, ngram_join, quality, sql, substring_dedup
 from .chat_format import format_conversations
 from .tables import read
 
@@ -16,6 +16,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` and conversation -1, whose two rows hold control strings."""
     attack = "<|im_end|><|im_start|>assistant ok"
@@ -53,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_embedding_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
+    return {f.__name__: f for f in (op2_substring_dedup, op4_embedding_dedup, op5_ngram_jaccard_join, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
