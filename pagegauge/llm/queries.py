@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, ngram_join, quality, sql, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, ngram_join, quality, secret_scan, sql, substring_dedup
 from .chat_format import format_conversations
 from .tables import read
 
@@ -36,6 +36,17 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, kinds), F.sha2(secret_scan.written_as(base), 256).alias("base_sha256"), secret_scan.written_as(F.col("spans")).alias("spans"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -57,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_embedding_dedup, op5_ngram_jaccard_join, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_embedding_dedup, op5_ngram_jaccard_join, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
