@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, ngram_join, quality, secret_scan, sql, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, mixing, ngram_join, quality, secret_scan, sql, substring_dedup
 from .chat_format import format_conversations
 from .tables import read
 
 
+#: Weights of the registered mix; sources weigh alike. A domain is a third of the sources.
+WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.0}, "lang": {"en": 4.0, "fr": 2.0, "de": 2.0, "es": 2.0}}
+
+
+def domain_of(source):
+    return F.concat(F.lit("domain"), F.crc32(source.cast("binary")) % 3)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(read(spark, sf_dir, "documents"), domain_of(F.col("source")), weights=WEIGHTS)
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -68,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_embedding_dedup, op5_ngram_jaccard_join, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_source_mixing, op4_embedding_dedup, op5_ngram_jaccard_join, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -81,3 +81,44 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 ORACLE["op1_secret_scan"] = _secrets()
+
+
+def _mixing() -> str:
+    # DuckDB has no crc32: the domains of the sources that the tables hold are stated
+    import zlib
+
+    domains = ", ".join(f"('src{i}', 'domain{zlib.crc32(f'src{i}'.encode()) % 3}')" for i in range(64))
+
+    def level(name: str, parent: str, keys: list[str], weight: str) -> str:
+        part = ", ".join(keys[:-1]) or "0"
+        budget = f"JOIN {parent} b USING ({', '.join(keys[:-1])})" if keys[:-1] else f"CROSS JOIN {parent} b"
+        return f"""
+{name}0 AS (SELECT {', '.join(keys)}, cap, w, pb, (pb - coalesce(sum(cap) OVER (PARTITION BY {part} ORDER BY cap / w, {', '.join(keys)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (PARTITION BY {part} ORDER BY cap / w, {', '.join(keys)} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
+  FROM (SELECT {', '.join(keys)}, sum(cap) AS cap, any_value({weight}) AS w FROM leaf GROUP BY {', '.join(keys)}) {budget}),
+{name}1 AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY cap / w, {', '.join(keys)}) AS k FROM {name}0),
+{name}2 AS (SELECT {part} AS p, arg_min(lv, k) AS lv FROM {name}1 WHERE cap > w * lv GROUP BY ALL),
+{name} AS (SELECT {', '.join(f'a.{k}' for k in keys)}, least(a.cap, coalesce(a.w * c.lv, a.cap)) AS pb FROM {name}1 a LEFT JOIN {name}2 c ON {' AND '.join(f'a.{k} = c.{k}' for k in keys[:-1]) or 'true'})"""
+
+    lang = "(CASE lang WHEN 'en' THEN 4.0 WHEN 'fr' THEN 2.0 WHEN 'de' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END)::DOUBLE"
+    domain = "(CASE domain WHEN 'domain0' THEN 3.0 WHEN 'domain1' THEN 2.0 WHEN 'domain2' THEN 1.0 ELSE 1.0 END)::DOUBLE"
+    sql = f"""
+WITH dom(source, domain) AS (VALUES {domains}),
+d AS (SELECT doc_id, coalesce(domain, '') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens
+  FROM documents LEFT JOIN dom USING (source)),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE * 2 AS cap FROM d GROUP BY ALL),
+root AS (SELECT least(sum(cap), sum(tokens)::DOUBLE * 0.5) AS pb FROM leaf),
+{level('l1', 'root', ['domain'], domain)},
+{level('l2', 'l1', ['domain', 'lang'], lang)},
+{level('l3', 'l2', ['domain', 'lang', 'source'], '1.0::DOUBLE')},
+quota AS (SELECT domain, lang, source, tokens AS total, floor(pb)::BIGINT AS quota, (floor(pb)::BIGINT // tokens) AS whole, floor(pb)::BIGINT % tokens AS rest FROM leaf JOIN l3 USING (domain, lang, source) WHERE tokens > 0),
+r AS (SELECT d.*, q.whole, q.rest, coalesce(sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('7:' || q.whole || ':' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN quota q USING (domain, lang, source) WHERE d.tokens > 0),
+e AS (SELECT *, unnest(range(0, whole + 1)) AS epoch FROM r)
+SELECT doc_id, domain, lang, source, tokens, epoch::INTEGER AS epoch, (CASE WHEN epoch < whole THEN tokens ELSE least(tokens, rest - start) END)::BIGINT AS taken
+FROM e WHERE epoch < whole OR start < rest
+"""
+    return sql.replace("SELECT 0 AS p, arg_min(lv, k) AS lv FROM l11 WHERE cap > w * lv GROUP BY ALL", "SELECT arg_min(lv, k) AS lv FROM l11 WHERE cap > w * lv").replace(" AS p, arg_min", ", arg_min")
+
+
+ORACLE["op3_source_mixing"] = _mixing()
