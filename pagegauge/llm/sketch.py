@@ -1,7 +1,7 @@
 """A count-min sketch that knows three counts, 0, 1 and more, as bitmaps.
 
 Each task sketches its own rows; the partition sketches are merged block by block with saturating addition,
-in two levels so that no task merges more than about the square root of all of them. What is left is one bit
+in two levels: a lane of some dozens of them first, then the lanes. What is left is one bit
 a cell: "two or more". Its size is fixed by ``log2_width`` and DEPTH and never follows the data: at most
 ``DEPTH * 2**MAX_LOG2_WIDTH`` bits (64 MB) are sent to the tasks. A sketch that is too small for its input calls
 too many keys repeated; it never calls a repeated key single.
@@ -10,7 +10,6 @@ too many keys repeated; it never calls a repeated key single.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .words import mix
+from .words import mix, pack, unpack
 
 DEPTH = 2
 MIN_LOG2_WIDTH, MAX_LOG2_WIDTH = 20, 28
-_BLOCKS = 64
+_BLOCKS = 128
+#: Partition sketches that one task merges.
+_LANE = 64
 
 
 def log2_width(keys: int) -> int:
@@ -73,7 +74,7 @@ class Counts:
             for b in range(_BLOCKS):
                 one = self.one[row, b * step : (b + 1) * step]
                 if one.any():
-                    rows.append((row * _BLOCKS + b, lane, zlib.compress(one.tobytes(), 1), zlib.compress(self.more[row, b * step : (b + 1) * step].tobytes(), 1)))
+                    rows.append((row * _BLOCKS + b, lane, pack(one), pack(self.more[row, b * step : (b + 1) * step])))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["block", "lane", "one", "more"])
 
@@ -84,10 +85,10 @@ SCHEMA = "block int, lane int, one binary, more binary"
 def _merge(table: pa.Table) -> pa.Table:
     one = more = None
     for a, b in zip(table.column("one"), table.column("more"), strict=True):
-        a, b = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (a, b))
+        a, b = (np.frombuffer(unpack(x.as_py()), np.uint8) for x in (a, b))
         more = b if more is None else more | b | (one & a)
         one = a if one is None else one | a
-    return pa.table({"block": table.column("block").slice(0, 1), "lane": table.column("lane").slice(0, 1), "one": [zlib.compress(one.tobytes(), 1)], "more": [zlib.compress(more.tobytes(), 1)]})
+    return pa.table({"block": table.column("block").slice(0, 1), "lane": table.column("lane").slice(0, 1), "one": [pack(one)], "more": [pack(more)]})
 
 
 class Repeated:
@@ -109,7 +110,7 @@ class Repeated:
             step = (1 << self.width) // 8 // _BLOCKS
             bits = np.zeros((DEPTH, _BLOCKS, step), np.uint8)
             for b, packed in self.blocks.items():
-                bits[b // _BLOCKS, b % _BLOCKS] = np.frombuffer(zlib.decompress(packed), np.uint8)
+                bits[b // _BLOCKS, b % _BLOCKS] = np.frombuffer(unpack(packed), np.uint8)
             self._bits, self.blocks = bits.reshape(DEPTH, -1), {}
         out = np.ones(len(keys), bool)
         for row in range(DEPTH):
@@ -123,7 +124,7 @@ def repeated(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iter
     """The merged sketch of the keys that ``keys_of`` takes from the Arrow batches of ``rows``."""
     width = log2_width(expected)
     parts = rows.rdd.getNumPartitions()
-    lanes = max(1, math.isqrt(parts))
+    lanes = -(-parts // _LANE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(width)

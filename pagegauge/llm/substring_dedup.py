@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .sketch import repeated
 from .tables import shuffle_partitions, text_bytes
-from .words import NOT_BLANK, mix, pieces, words_of
+from .words import NOT_BLANK, mix, pack, pieces, unpack, words_of
 
 WINDOW = 20
 #: Text that one document bucket should hold.
@@ -89,19 +89,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             send = send[np.argsort(bucket[send], kind="stable")]
             for k, s in _split(bucket[send]):
                 i = send[s]
-                out.append((k, hashes[i].tobytes(), row[i].tobytes(), id_[i].tobytes(), start[i].tobytes()))
+                out.append((k, pack(hashes[i]), pack(row[i]), pack(id_[i]), pack(start[i])))
             late = np.flatnonzero(~tied)
             if len(late):
                 spread = (np.arange(len(late)) * 16 // len(late)).astype(np.int32)
                 for _, s in _split(spread):
                     i = late[s]
                     # known repeats: no hash; they only pass through some bucket on their way to their texts
-                    out.append((int(bucket[i[0]]), b"", row[i].tobytes(), b"", start[i].tobytes()))
+                    out.append((int(bucket[i[0]]), b"", pack(row[i]), b"", pack(start[i])))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "hash", "row", "id", "start"])
 
     def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), kind)
+        return np.frombuffer(b"".join(map(unpack, column.to_pylist())), kind)
 
     def resolve(table: pa.Table) -> pa.Table:
         known = pc.equal(pc.binary_length(table.column("hash")), 0)
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         row, start = np.concatenate([row, joined(late.column("row"), np.int64)]), np.concatenate([start, joined(late.column("start"), np.int32)])
         bucket = _bucket_of_rows(row, buckets)
         by = np.lexsort((row, bucket))
-        out = [(k, row[by[s]].tobytes(), start[by[s]].tobytes()) for k, s in _split(bucket[by])]
+        out = [(k, pack(row[by[s]]), pack(start[by[s]])) for k, s in _split(bucket[by])]
         columns = list(zip(*out, strict=True)) or [[]] * 3
         return pa.table({"bucket": pa.array(columns[0], pa.int32()), "row": pa.array(columns[1], pa.binary()), "start": pa.array(columns[2], pa.binary())})
 
@@ -124,7 +124,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of_rows(b.column("row").to_numpy(), buckets)), *b.columns], ["bucket", *b.schema.names])
+            packed = pa.array([pack(t.as_py().encode()) for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of_rows(b.column("row").to_numpy(), buckets)), b.column("id"), b.column("row"), packed], ["bucket", "id", "row", "text"])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         flagged, start = joined(right.column("row"), np.int64), joined(right.column("start"), np.int32)
@@ -134,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         lo, hi = np.searchsorted(flagged, row, "left"), np.searchsorted(flagged, row, "right")
         n_words, n_removed, kept = [], [], []
         for text, a, z in zip(left.column("text"), lo.tolist(), hi.tolist(), strict=True):
-            words = text.as_py().encode().split()
+            words = unpack(text.as_py()).split()
             n_words.append(len(words))
             if a < z:
                 s = np.unique(start[a:z])
@@ -148,6 +149,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ids = left.column("id").to_numpy()
         return pa.table({"doc_id": pa.array(ids, mask=ids == NULL_ID), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    texts = rows.mapInArrow(bucketed, "bucket int, id long, row long, text string")
+    texts = rows.mapInArrow(bucketed, "bucket int, id long, row long, text binary")
     return texts.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -129,3 +129,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.Re
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PIECE_BYTES, "right")))
             yield batch.slice(i, j - i)
             i = j
+
+
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def pack(data: bytes | np.ndarray) -> bytes:
+    """Zstandard behind the length; for what is shuffled in blocks."""
+    data = data.tobytes() if isinstance(data, np.ndarray) else data
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True) if data else b""
+
+
+def unpack(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if data else b""
