@@ -1 +1,6 @@
-"""Web page scoring, crawl roll-ups, log analytics and alerting as Spark jobs."""
+"""Registered queries over the driver's tables."""
+
+from . import logs, scoring, sites  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
