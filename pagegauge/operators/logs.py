@@ -14,13 +14,18 @@ TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 def parsed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Ip, time text, method, url, status and agent of each line that has one of the two formats."""
+    """Ip, time text, method, url, status and agent of each line that has one of the two formats.
+
+    A line is matched once: its parts come out as one text, which is then split.
+    """
     line = F.col(value)
-    pattern = [F.lit(COMBINED), F.lit(SECOND)]
-    part = lambda k: F.when(line.rlike(COMBINED), F.regexp_extract(line, COMBINED, k)).otherwise(F.regexp_extract(line, SECOND, k))
+    parts = "\u0001".join(f"${k + 1}" for k in range(6))
+    pick = lambda p: F.split(F.regexp_replace(line, p + "[\\s\\S]*$", parts), "\u0001")
+    fields = F.when(line.rlike(COMBINED), pick(COMBINED)).when(line.rlike(SECOND), pick(SECOND))
+    fit = lines.where(F.length(line) > 0).withColumn("fields", fields).where("fields is not null")
     names = ("ip", "time", "method", "url", "status", "agent")
-    fit = lines.where((F.length(line) > 0) & (F.rlike(line, pattern[0]) | F.rlike(line, pattern[1])))
-    return fit.select(*(c for c in lines.columns if c != value), *(part(k + 1).alias(n) for k, n in enumerate(names))).withColumn("status", F.col("status").cast("int"))
+    out = fit.select(*(c for c in lines.columns if c != value), *(F.get("fields", F.lit(k)).alias(n) for k, n in enumerate(names)))
+    return out.withColumn("status", F.col("status").cast("int"))
 
 
 def log_time(text: Column, as_of: Column) -> Column:
@@ -30,7 +35,9 @@ def log_time(text: Column, as_of: Column) -> Column:
 
 def visits(lines: DataFrame, as_of: Column, value: str = "value") -> DataFrame:
     """Lines of known crawlers (others go before anything is shuffled) with ``bot`` and ``ts``."""
-    found = parsed_lines(lines, value).withColumn("bot", bot_of(F.col("agent"))).where("bot is not null")
+    # bound to a variable, the agent is taken from the line once and not for each pattern
+    bot = F.get(F.transform(F.array("agent"), bot_of), F.lit(0))
+    found = parsed_lines(lines, value).withColumn("bot", bot).where("bot is not null")
     return found.withColumn("ts", log_time(F.col("time"), as_of))
 
 

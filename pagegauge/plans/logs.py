@@ -51,11 +51,11 @@ def a10_log_totals(spark, sf_dir):
     return logs.totals(logs.visit_counts(_visits(spark, sf_dir)))
 
 
-@query(f"WITH {_PARSED} SELECT DISTINCT bot FROM visits WHERE bot NOT IN (SELECT bot FROM visits WHERE ts < TIMESTAMP '2024-01-01 02:00:00')")
+@query(f"WITH {_PARSED} SELECT DISTINCT bot FROM visits WHERE bot NOT IN (SELECT bot FROM visits WHERE ts < TIMESTAMP '2024-01-01 00:20:00')")
 def s2_new_bots(spark, sf_dir):
-    """Bots that had not come in the first two hours."""
+    """Bots that had not come in the first twenty minutes."""
     found = _visits(spark, sf_dir)
-    known = found.where("ts < timestamp '2024-01-01 02:00:00'").select("bot").distinct()
+    known = found.where("ts < timestamp '2024-01-01 00:20:00'").select("bot").distinct()
     return logs.new_bots(logs.visit_counts(found), known)
 
 
