@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import long_rows, written
 from .words import LETTERS_DIGITS, LOWER, pieces, words_of
 
 WINDOW = 13
@@ -220,6 +221,7 @@ def _names(docs: DataFrame) -> tuple[str, str]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: tuple[int, int] = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id`` and RESULT for each document: words hit, items found, the verdict, and the longest verbatim match."""
+    long_rows(docs.sparkSession)
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, window, block_bytes)]
     narrow = docs.select("doc_id", "text")
@@ -244,8 +246,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     # rows are told apart by a number of their own, so documents that share an id are judged one by one
     rows = narrow.withColumn("row", F.monotonically_increasing_id())
-    from .tables import written
-
     rows = written(rows, "decontaminate-rows")
     schema = f"row long, doc_id {kind}, n_words long, spans binary, items array<string>, longest long, item string, start long"
     found = None
@@ -273,6 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: tuple[int, int] = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
+    long_rows(docs.sparkSession)
     spark = docs.sparkSession
     text = docs.columns.index("text")
     blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, window, block_bytes)]

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import long_rows
 from .words import LOWER, pieces
 
 #: Bytes of text learned from for each language, expected; no sampled document is longer than that.
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     ``score`` is the probability of the language against the other trees, ``bits_per_byte`` the code length of
     the text in it.
     """
+    long_rows(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(trees)
     narrow = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
@@ -191,6 +193,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, trees: dict[str, Tree], least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language stays undetermined or has a probability below ``least``."""
+    long_rows(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(trees)
     text = docs.columns.index("text")
     letters = len(docs.columns)

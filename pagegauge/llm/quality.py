@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import long_rows
 from .words import LETTERS_DIGITS, LOWER, NOT_BLANK, mix, pieces, words_of
 
 MAX_TRAIN = 12_000
@@ -133,6 +134,7 @@ def learn(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN) -> Mo
 
 def score(docs: DataFrame, model: Model | None, least_good: float = 0.5) -> DataFrame:
     """``doc_id`` and RESULT: expected grade, P(grade >= 1), P(grade >= 2), and whether the document is selected."""
+    long_rows(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select("doc_id", "text")
 

@@ -29,7 +29,7 @@ _LANE = 64
 
 def log2_width(keys: int) -> int:
     """About two cells for each expected key, within the bounds."""
-    return min(MAX_LOG2_WIDTH, max(MIN_LOG2_WIDTH, math.ceil(math.log2(2 * keys + 1))))
+    return min(MAX_LOG2_WIDTH, max(MIN_LOG2_WIDTH, round(math.log2(2 * keys + 1))))
 
 
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sketch import repeated
-from .tables import shuffle_partitions, text_bytes
+from .tables import long_rows, shuffle_partitions, text_bytes
 from .words import NOT_BLANK, mix, pack, pieces, unpack, words_of
 
 WINDOW = 20
@@ -61,6 +61,7 @@ def _bucket_of_rows(row: np.ndarray, n: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for each row of ``docs(doc_id, text)``."""
+    long_rows(docs.sparkSession)
     spark = docs.sparkSession
     # rows are told apart by id and text, so that equal ids do not share their flags
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))

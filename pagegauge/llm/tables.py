@@ -12,6 +12,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_rows(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of some thousand rows, where the session does not say otherwise: ten thousand whole texts are too many.
+
+    A batch lives in the JVM and in the Python worker at once, several times over while it grows.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; one longer document makes a piece of its own.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 4 << 20
 _CHUNK = 1 << 20
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RADIX_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
