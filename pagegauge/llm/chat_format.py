@@ -53,7 +53,7 @@ def parse(formatted: Column) -> Column:
     def turn(b: Column) -> Column:
         at = F.instr(b, F.lit("\n"))
         return F.struct(
-            _unescape_role(F.substring(b, F.lit(1), at - 1)).alias("role"),
+            _unescape_role(F.substring_index(F.substring(b, F.lit(1), at - 1), END, 1)).alias("role"),
             unescape(F.substring_index(F.substring(b, at + 1, F.length(b)), END, 1)).alias("text"),
         )
 
