@@ -93,6 +93,7 @@ def walk_blocks(blocks: pd.Series) -> pd.DataFrame:
 
 def with_json_ld(pages: DataFrame) -> DataFrame:
     """``ld``, the parsed items of a page's blocks; a block that is no JSON is skipped and counted."""
+    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
     return pages.withColumn("ld", F.pandas_udf(walk_blocks, _FACTS)(H.json_ld(F.col("html"))))
 
 
