@@ -40,10 +40,10 @@ BASE = (
 )
 # Published token formats.
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,250}"),
+    Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
 )

@@ -55,22 +55,22 @@ def _secrets() -> str:
         ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
         ("access", r"AKIA[A-Z0-9]+", 0, 18),
         ("hex", r"[0-9a-f]+", 0, 16),
-        ("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 1),
-        ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}", 0, 1),
+        ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+        ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
         ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
-        ("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,250}", 0, 1),
+        ("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}", 0, 1),
         ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
         ("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", 0, 1),
     ]
     each = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS ord, '{kind}' AS kind, {least} AS least, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {g}) AS vals FROM d"
+        f"SELECT doc_id, {k} AS ord, '{kind}' AS kind, {least} AS least, list_transform(string_split_regex(t, '{p}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(t, '{p}', 0), lambda x: length(x)) AS hits, list_transform(regexp_extract_all(t, '{p}', {g}), lambda x: length(x)) AS vals FROM d WHERE regexp_matches(t, '{p}')"
         for k, (kind, p, g, least) in enumerate(rules)
     )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({each}),
-u AS (SELECT doc_id, ord, kind, least, unnest(range(1, len(hits) + 1)) AS i, gaps, hits, vals FROM m WHERE len(hits) > 0),
-p AS (SELECT doc_id, ord, kind, least, length(vals[i]) AS n, length(hits[i]) AS h, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, ord ORDER BY i) AS e FROM u),
+u AS (SELECT doc_id, ord, kind, least, unnest(gaps) AS gap, unnest(hits) AS h, unnest(vals) AS n, unnest(range(1, len(gaps) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT doc_id, ord, kind, least, n, h, sum(gap + h) OVER (PARTITION BY doc_id, ord ORDER BY i) AS e FROM u WHERE h IS NOT NULL),
 s AS (SELECT doc_id, ord, kind, (e - h)::BIGINT AS b, e::BIGINT AS e, kind || ':' || (e - h)::BIGINT || ':' || e::BIGINT AS x FROM p WHERE n >= least),
 g AS (SELECT doc_id, count(*) FILTER (ord = 0) AS a, count(*) FILTER (ord = 1) AS k, count(*) FILTER (ord = 2) AS h,
   string_agg(x, ',' ORDER BY b, ord) FILTER (ord < 3) AS base, string_agg(x, ',' ORDER BY b, ord) AS spans FROM s GROUP BY doc_id)

@@ -27,8 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where it is unset (a local test session) a folder of the session's warehouse stands in.
     """
-    conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/.llm").rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/.llm").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
