@@ -98,12 +98,13 @@ def scan_statistics(scans: DataFrame) -> DataFrame:
     return scans.groupBy("tier").agg(js_round(F.avg("score")).alias("avg_score"), F.count("*").alias("n"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
 
 
-def newest(scans: DataFrame, limit: int) -> DataFrame:
-    return scans.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def newest(scans: DataFrame, limit: int | None) -> DataFrame:
+    """The newest ``limit`` scans, or all."""
+    return scans if limit is None else scans.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def score_histogram(scans: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Ten buckets of the newest scans, empty ones as 0; a score of 100 is in none."""
+def score_histogram(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ten buckets of all scans, or of the newest ``limit``; empty ones as 0; a score of 100 is in none."""
     buckets = scans.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket"))
     counts = newest(scans, limit).where("score between 0 and 99").groupBy(F.floor(F.col("score") / 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     return buckets.join(counts, "bucket", "left").select("bucket", F.concat((F.col("bucket") * 10).cast("string"), F.lit("-"), (F.col("bucket") * 10 + 9).cast("string")).alias("range"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -254,8 +255,8 @@ def iso_time(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def scans_export(scans: DataFrame, projects: DataFrame, orgs: DataFrame, limit: int = 10_000) -> DataFrame:
-    """IO8: the newest scans as labelled cells."""
+def scans_export(scans: DataFrame, projects: DataFrame, orgs: DataFrame, limit: int | None = None) -> DataFrame:
+    """IO8: all scans, or the newest ``limit``, as labelled cells."""
     rows = listed_scans(newest(scans, limit), projects, orgs)
     return rows.select(F.col("id").alias("ID"), F.col("url").alias("URL"), F.col("score").alias("Score"), F.col("tier").alias("Tier"), F.col("factor_version").alias("Factor Version"), F.col("project").alias("Project"), F.col("domain").alias("Domain"), F.col("organization").alias("Organization"), iso_time(F.col("created_at")).alias("Created At"))
 
