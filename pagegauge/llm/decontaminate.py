@@ -180,7 +180,9 @@ def judge_piece(texts: pa.Array, tests: Tests, share: tuple[int, int] = SHARE) -
         items[d].add(tests.ids[i])
     longest, item, start = np.zeros(n_docs, np.int64), [None] * n_docs, [None] * n_docs
     top_doc = np.searchsorted(first, top_at, "right") - 1
-    for k in np.lexsort((top_test, top_at, -top_words)).tolist():
+    # of equal matches the first in the document, then the item of the smallest name
+    by_name = np.unique(np.array(tests.ids, object), return_inverse=True)[1]
+    for k in np.lexsort((by_name[tests.item[top_test]] if len(top_test) else top_test, top_at, -top_words)).tolist():
         d = int(top_doc[k])
         if not longest[d]:
             longest[d], item[d], start[d] = top_words[k], tests.ids[tests.item[top_test[k]]], int(top_at[k] - first[d])
@@ -235,6 +237,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     if len(blocks) == 1:
         return narrow.mapInArrow(whole, f"doc_id {kind}, {RESULT}")
 
+    # rows are told apart by a number of their own, so documents that share an id are judged one by one
+    rows = written(narrow.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    return _in_blocks(rows, blocks, share).drop("row")
+
+
+def _in_blocks(rows: DataFrame, blocks: list, share: tuple[int, int]) -> DataFrame:
+    """``row, doc_id`` and RESULT for each row of ``rows(row, doc_id, text)``, searched for each block of the test set and merged."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
     def part(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text"):
@@ -244,9 +255,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         return run
 
-    # rows are told apart by a number of their own, so documents that share an id are judged one by one
-    rows = narrow.withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "decontaminate-rows")
     schema = f"row long, doc_id {kind}, n_words long, spans binary, items array<string>, longest long, item string, start long"
     found = None
     for block in blocks:
@@ -254,7 +262,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         found = one if found is None else found.unionByName(one)
     per = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.max(F.struct("longest", (-F.col("start")).alias("s"), "item")).alias("top"),
+        F.min(F.struct((-F.col("longest")).alias("l"), "start", "item")).alias("top"),
     )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +273,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 starts, ends = _merged(*x[np.argsort(x[:, 0], kind="stable")].T)
                 hits.append(int((ends - starts).sum()))
             top = b.column("top").to_pylist()
-            x = {"n_words": b.column("n_words").to_numpy(), "n_hit": np.array(hits, np.int64), "items": [set(i) for i in b.column("items").to_pylist()], "longest": [t["longest"] for t in top], "item": [t["item"] for t in top], "start": [None if t["s"] is None else -t["s"] for t in top]}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_columns(x, share)], ["doc_id", *(c.split()[0] for c in RESULT.split(", "))])
+            x = {"n_words": b.column("n_words").to_numpy(), "n_hit": np.array(hits, np.int64), "items": [set(i) for i in b.column("items").to_pylist()], "longest": [-t["l"] for t in top], "item": [t["item"] for t in top], "start": [t["start"] for t in top]}
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *_columns(x, share)], ["row", "doc_id", *(c.split()[0] for c in RESULT.split(", "))])
 
-    return per.mapInArrow(merge, f"doc_id {kind}, {RESULT}")
+    return per.mapInArrow(merge, f"row long, doc_id {kind}, {RESULT}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: tuple[int, int] = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -278,8 +286,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     text = docs.columns.index("text")
     blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, window, block_bytes)]
     if len(blocks) > 1:
-        bad = contamination(docs, benchmark, window, share, block_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        number = "number of the row"
+        rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "decontaminate-rows")
+        judged = _in_blocks(rows.select(F.col(number).alias("row"), "doc_id", "text"), blocks, share)
+        return rows.join(judged.where("contaminated").select(F.col("row").alias(number)), number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
