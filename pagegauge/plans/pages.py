@@ -216,11 +216,15 @@ def f13_f14_robots(spark, sf_dir):
     return _raw(spark, sf_dir).select("page_id", pages.robots_summary(F.col("robots_txt")).alias("r")).select("page_id", "r.*")
 
 
-def _sitemaps(spark, sf_dir):
-    """A sitemap of each host's pages."""
+#: Urls of one sitemap at most, as the protocol has it.
+SITEMAP_URLS = 50_000
+
+
+def _sitemaps(spark, sf_dir, most: int = SITEMAP_URLS):
+    """Sitemaps of each host's pages, one for each run of ``most`` page numbers."""
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("site", urls.host_of(F.col("url")))
     entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("page_id") % 2 == 0, "<priority>0.8</priority>").when(F.col("page_id") % 3 == 0, "<priority>abc</priority>").otherwise(""), F.lit("</url>"))
-    return rows.groupBy("site").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("xml")).withColumn("sitemap_url", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")))
+    return rows.groupBy("site", F.floor(F.col("page_id") / most).alias("run")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("xml")).withColumn("sitemap_url", F.concat(F.lit("https://"), "site", F.when(F.col("run") == 0, "/sitemap.xml").otherwise(F.concat(F.lit("/sitemap-"), F.col("run").cast("string"), F.lit(".xml"))))).drop("run")
 
 
 @query()
@@ -231,7 +235,7 @@ def io4_sitemap_urls(spark, sf_dir):
 @query()
 def io5_child_sitemaps(spark, sf_dir):
     index = _sitemaps(spark, sf_dir).withColumn("xml", F.replace(F.replace("xml", F.lit("<url>"), F.lit("<sitemap>")), F.lit("</url>"), F.lit("</sitemap>")))
-    return readers.child_sitemaps(index)
+    return readers.child_sitemaps(index, None)
 
 
 @query()
@@ -256,7 +260,7 @@ def io7_stored_fixes(spark, sf_dir):
 def s1_l4_discovered_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("site", urls.host_of(F.col("url")))
     home = rows.select("site").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("url"), F.lit(0).cast("long").alias("ord"))
-    maps = readers.sitemap_urls(_sitemaps(spark, sf_dir)).select("site", "url", F.col("ord").cast("long").alias("ord"), "priority")
+    maps = readers.sitemap_urls(_sitemaps(spark, sf_dir)).select("site", "url", (F.coalesce(F.regexp_extract("sitemap_url", r"/sitemap-(\d+)\.xml$", 1).try_cast("long"), F.lit(0)) * SITEMAP_URLS + F.col("ord")).alias("ord"), "priority")
     links = urls.page_links(rows).join(rows.select("page_id", "site"), "page_id").select("site", F.col("link").alias("url"), F.col("page_id").alias("ord"))
     return urls.discovered(home, maps, links)
 

@@ -41,10 +41,10 @@ def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     return rows.select("site", "sitemap_url", "ord", F.col("e.url").alias("url"), F.when(F.isnan(priority), 0.5).otherwise(priority).alias("priority"))
 
 
-def child_sitemaps(sitemaps: DataFrame, limit: int = 5) -> DataFrame:
-    """IO5: the first sitemaps that a sitemap index names."""
+def child_sitemaps(sitemaps: DataFrame, limit: int | None = 5) -> DataFrame:
+    """IO5: the first ``limit`` sitemaps that a sitemap index names, or all."""
     locs = F.regexp_extract_all("xml", F.lit(r"<sitemap>\s*<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
-    return sitemaps.select("site", F.posexplode(F.slice(locs, 1, limit)).alias("ord", "child_url"))
+    return sitemaps.select("site", F.posexplode(locs if limit is None else F.slice(locs, 1, limit)).alias("ord", "child_url"))
 
 
 def robots_sitemaps(robots: Column) -> Column:
