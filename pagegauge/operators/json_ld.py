@@ -164,8 +164,8 @@ def schema_accuracy(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 def hallucination_risk(pages: DataFrame, as_of: Column) -> DataFrame:
-    """Claims of top-level items against the first 3,000 signs of the text; needs ``ld`` and the page's parts."""
-    rows = _visible_claims(pages).withColumn("excerpt", F.lower(F.substring("text", 1, 3000)))
+    """Claims of top-level items against the whole text; needs ``ld`` and the page's parts."""
+    rows = _visible_claims(pages).withColumn("excerpt", F.lower("text"))
     items = F.filter("ld.items", lambda i: i["top"])
     later = F.timestamp_add("DAY", F.lit(1), as_of.cast("timestamp"))
     flag = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)

@@ -413,7 +413,7 @@ def conversational(pages: DataFrame) -> DataFrame:
     speaks = F.size(F.filter("paras", lambda p: _any(p, STARTERS))) + F.size(F.filter("paras", lambda p: p.rlike(you)))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rows = rows.withColumns({"question_ratio": ratio(asked, F.size("heads")), "language_ratio": F.least(F.lit(1.0), ratio(speaks, F.size("paras"))), "direct_answers": F.size(F.filter("paras", lambda p: _any(p, DIRECT))), "query_phrases": _count(F.lower("body_text"), QUERY_PHRASES)})
-    tone = (F.col("language_ratio") > 0.2) | (F.col("question_ratio") > 0.3) | F.substring("body_text", 1, 2000).rlike(edged(r"(?i)<(you|your|you're)>"))
+    tone = (F.col("language_ratio") > 0.2) | (F.col("question_ratio") > 0.3) | F.col("body_text").rlike(edged(r"(?i)<(you|your|you're)>"))
     score = _score(*_steps(F.col("question_ratio"), (0.1, 5), (0.25, 10), (0.5, 5)), *_steps(F.col("language_ratio"), (0.1, 5), (0.2, 10), (0.4, 5)), *_steps(F.col("direct_answers"), (1, 5), (3, 10), (5, 5)), *_steps(F.col("query_phrases"), (2, 5), (5, 10), (10, 5)), (tone, 20))
     return rows.withColumn("conversation_score", score).drop("heads", "paras")
 
