@@ -5,19 +5,19 @@ alternatives of sets. ``postings`` indexes the documents by the trigrams some ru
 other list would ever be read), ``candidates`` intersects the lists of each alternative, and only the
 documents left are verified with the regular expression. A rule without mandatory trigrams scans every document.
 
-Postings are never dealt by trigram but by document, so a trigram that most documents hold is no hot key. Texts are
-shuffled once, to meet their candidates.
+All rules are asked of all documents, so the postings are kept turned round: beside each document the trigrams of the
+vocabulary that it holds. A list by trigram would hold the same pairs, but the document's text would have to be shuffled to meet
+them again. Nothing is shuffled, and a trigram that most documents hold, or an id that many rows share, is no hot key.
 
 Nulls: a null text is empty and has no spans. Rows that repeat a doc_id, or have none, are scanned one by one.
-Offsets are code points, end exclusive; matches of a kind are leftmost and do not overlap. An empty table gives no
-rows.
+Offsets are code points, end exclusive; matches of a kind are leftmost and do not overlap; work is in proportion to
+the text and its hits. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,55 +52,88 @@ RULES = BASE + MORE
 MAX_BRANCHES = 64
 
 
+#: What the derivation tells apart in a pattern; of a group, its flags; of a repeat, its bounds.
+_TOKEN = re.compile(r"(?P<open>\((?:\?[a-z]*:)?)|(?P<close>\))|(?P<bar>\|)|(?P<repeat>[?*+]|\{\d+(?:,\d*)?\})|(?P<set>\[(?:\\.|[^\]\\])+\])|\\x(?P<code>[0-9A-Fa-f]{2})|\\(?P<class>[A-Za-z])|\\(?P<sign>.)|(?P<edge>[$^])|(?P<any>\.)|(?P<literal>.)", re.S)
+
+Ways = list[tuple[tuple[str, ...], str]]
+
+
 def trigram_query(pattern: str) -> list[frozenset[str]]:
-    """Alternatives of mandatory trigrams (lower case); empty if some way to match holds none."""
-    # each alternative: the finished literal runs, and the run that the next literal would lengthen
-    ways: list[tuple[tuple[str, ...], str]] = [((), "")]
-
-    def follow(items, ways):
-        for op, arg in items:
-            if op is C.LITERAL:
-                ways = [(done, run + chr(arg).lower()) for done, run in ways]
-            elif op is C.SUBPATTERN:
-                ways = follow(arg[3], ways)
-            elif op is C.BRANCH and len(ways) * len(arg[1]) <= MAX_BRANCHES:
-                ways = [w for branch in arg[1] for w in follow(branch, ways)]
-            elif op is C.IN and all(o is C.LITERAL for o, _ in arg) and len(ways) * len(arg) <= MAX_BRANCHES:
-                ways = [w for one in arg for w in follow([one], ways)]
-            elif op is C.MAX_REPEAT and arg[0] == 0 and arg[1] == 1 and arg[2][0][0] in (C.LITERAL, C.SUBPATTERN) and 2 * len(ways) <= MAX_BRANCHES:
-                ways = ways + follow(arg[2], ways)
-            elif op is C.MAX_REPEAT and arg[0] >= 1:
-                ways = [((*done, run), "") for done, run in follow(arg[2], ways)] if arg[1] > 1 else follow(arg[2], ways)
-            elif op is not C.AT:
-                ways = [((*done, run), "") for done, run in ways]
+    """Alternatives of mandatory trigrams (lower case); empty if some way to match holds none.
+
+    A way through the pattern is its finished literal runs and the run that the next literal would lengthen. What is not a
+    literal ends the run, so no trigram is asked for that a match could lack.
+    """
+    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(pattern)]
+    at = 0
+
+    def ended(ways: Ways) -> Ways:
+        return [((*done, run), "") for done, run in ways]
+
+    def one(kind: str, text: str, ways: Ways) -> Ways:
+        members = text[1:-1]
+        if kind == "code":
+            kind, text = "literal", chr(int(text, 16))
+        if kind in ("literal", "sign"):
+            return [(done, run + text.lower()) for done, run in ways]
+        if kind == "set" and members.isalnum() and len(ways) * len(members) <= MAX_BRANCHES:
+            return [(done, run + c.lower()) for c in members for done, run in ways]
+        return ways if kind == "edge" else ended(ways)
+
+    def sequence(ways: Ways) -> Ways:
+        nonlocal at
+        while at < len(tokens) and tokens[at][0] not in ("bar", "close"):
+            (kind, text), began = tokens[at], at
+            at += 1
+            inner = group(ways) if kind == "open" else one(kind, text, ways)
+            if at < len(tokens) and tokens[at][0] == "repeat":
+                times = tokens[at][1]
+                at += 1
+                if times == "?" and len(inner) + len(ways) <= MAX_BRANCHES:
+                    inner = ways + inner
+                elif times[0] in "?*" or times.startswith(("{0,", "{0}")):
+                    inner = ended(ways)
+                elif times != "{1}":
+                    inner = ended(inner)
+            elif kind == "open" and len(inner) > MAX_BRANCHES:
+                inner = ended(ways)
+            assert at > began
+            ways = inner
         return ways
 
-    out = [frozenset(run[i : i + 3] for run in (*done, last) for i in range(len(run) - 2)) for done, last in follow(_parser.parse(pattern), ways)]
+    def group(ways: Ways) -> Ways:
+        nonlocal at
+        out = sequence(ways)
+        while at < len(tokens) and tokens[at][0] == "bar":
+            at += 1
+            out = out + sequence(ways)
+        at += 1
+        return out
+
+    out = [frozenset(run[i : i + 3] for run in (*done, last) for i in range(len(run) - 2)) for done, last in group([((), "")])]
     return list(dict.fromkeys(out)) if all(out) else []
 
 
-def _fold(text: Column) -> Column:
-    return F.lower(text)
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id, trigram``: a row for each trigram of the vocabulary that a document holds."""
-    folded = docs.select("doc_id", _fold(F.col("text")).alias("folded")).where("folded is not null")
-    wanted = F.array(*(F.lit(t) for t in vocabulary))
-    return folded.select("doc_id", F.explode(F.filter(wanted, lambda t: F.contains(F.col("folded"), t))).alias("trigram"))
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs(text)`` with ``trigrams``: those of the rules' vocabulary that the document holds."""
+    vocabulary = sorted({t for r in rules for branch in trigram_query(r.pattern) for t in branch})
+    wanted = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    return docs.withColumn("trigrams", _bound(F.lower("text"), lambda folded: F.filter(wanted, lambda t: F.contains(folded, t))))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, kinds``: the indexed rules whose trigrams a document holds, all of one alternative."""
-    terms = [(r.kind, k, t, len(branch)) for r in rules for k, branch in enumerate(trigram_query(r.pattern)) for t in sorted(branch)]
-    if not terms:
-        return docs.select("doc_id", F.array().cast("array<string>").alias("kinds")).limit(0)
-    index = postings(docs, sorted({t for _, _, t, _ in terms}))
-    plan = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("branch"), F.lit(t).alias("trigram"), F.lit(need).alias("need")) for kind, k, t, need in terms))
-    # as many rows as the rules have trigrams
-    query = docs.sparkSession.range(1).select(F.inline(plan))
-    held = index.join(F.broadcast(query), "trigram").groupBy("doc_id", "kind", "branch").agg(F.count_distinct("trigram").alias("held"), F.max("need").alias("need"))
-    return held.where("held = need").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+def candidates(indexed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Indexed documents with ``kinds``: the rules of which some alternative has all its trigrams among the document's."""
+    branches = [(r.kind, sorted(branch)) for r in rules for branch in trigram_query(r.pattern)]
+    plan = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array(*map(F.lit, ts)).alias("trigrams")) for kind, ts in branches))
+    if not branches:
+        return indexed.withColumn("kinds", F.array().cast("array<string>"))
+    met = F.filter(plan, lambda b: F.size(F.array_intersect(b["trigrams"], F.col("trigrams"))) == F.size(b["trigrams"]))
+    return indexed.withColumn("kinds", F.when(F.size("trigrams") > 0, F.array_distinct(F.transform(met, lambda b: b["kind"]))).otherwise(F.array().cast("array<string>")))
 
 
 _BLOCK = 128
@@ -109,12 +142,13 @@ _BLOCK = 128
 def _starts(gaps: Column, hits: Column) -> Column:
     """Where each hit starts: the text before it is its gaps and hits. Summed by blocks, so that work stays near the number of hits."""
     zero = F.lit(0).cast("long")
-    steps = F.transform(hits, lambda h, i: (F.length(F.get(gaps, i)) + F.length(h)).cast("long"))
     total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _BLOCK).cast("int")), lambda b: F.slice(steps, b * _BLOCK + 1, _BLOCK))
-    before = F.aggregate(blocks, F.array(zero), lambda s, b: F.array_append(s, F.element_at(s, -1) + total(b)))
-    upto = lambda b, k: F.transform(b, lambda x, j: F.get(before, k) + total(F.slice(b, F.lit(1), j)))
-    return F.zip_with(F.flatten(F.transform(blocks, upto)), F.slice(gaps, F.lit(1), F.size(hits)), lambda at, gap: at + F.length(gap))
+    steps = F.zip_with(hits, gaps, lambda h, g: (F.length(g) + F.length(h)).cast("long"))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _BLOCK).cast("int")), lambda b: F.slice(s, b * _BLOCK + 1, _BLOCK))
+    before = lambda sums: F.aggregate(sums, F.array(zero), lambda s, x: F.array_append(s, F.element_at(s, -1) + x))
+    within = lambda blocks, first: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x, j: F.get(first, k) + total(F.slice(b, F.lit(1), j + 1)))))
+    ends = _bound(steps, lambda s: _bound(cut(s), lambda blocks: _bound(before(F.transform(blocks, total)), lambda first: within(blocks, first))))
+    return F.zip_with(ends, hits, lambda end, h: end - F.length(h))
 
 
 def _spans(docs: DataFrame, rules: tuple[Rule, ...], out: str) -> DataFrame:
@@ -134,7 +168,8 @@ def _spans(docs: DataFrame, rules: tuple[Rule, ...], out: str) -> DataFrame:
     def spans_of(k: int, r: Rule) -> Column:
         hits = F.col(f"`{hit(r)}`")
         value = F.regexp_extract_all("text", F.lit(pattern[r]), F.lit(r.group))
-        spans = F.arrays_zip(_starts(F.split("text", pattern[r], -1), hits).alias("start"), hits.alias("hit"), value.alias("value"))
+        gaps = F.slice(F.split("text", pattern[r], -1), F.lit(1), F.size(hits))
+        spans = F.arrays_zip(_starts(gaps, hits).alias("start"), hits.alias("hit"), value.alias("value"))
         kept = F.filter(spans, lambda s: F.length(s["value"]) >= r.least)
         shaped = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("ord"), F.lit(r.kind).alias("kind"), (s["start"] + F.length(s["hit"])).alias("end")))
         return F.when(F.size(hits) > 0, shaped).otherwise(F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>"))
@@ -146,9 +181,7 @@ def _spans(docs: DataFrame, rules: tuple[Rule, ...], out: str) -> DataFrame:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, text, spans`` for each row of ``docs(doc_id, text)``; spans are struct(start, ord, kind, end), by start, then rule."""
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(narrow, rules).select(F.col("doc_id").alias("candidate"), "kinds")
-    due = narrow.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("candidate")), "left")
-    due = due.select("doc_id", "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    due = candidates(postings(narrow, rules), rules).select("doc_id", "text", "kinds")
     return _spans(due, rules, "spans").select("doc_id", "text", "spans")
 
 
