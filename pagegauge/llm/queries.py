@@ -34,9 +34,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines of each document go; lines count from 0."""
-    marks = line_dedup.line_marks(read(spark, sf_dir, "documents"))
-    gone = F.filter(F.transform("removed", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    return marks.select("doc_id", F.size("removed").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = F.coalesce("removed lines", F.array().cast("array<int>"))
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    return line_dedup.with_removed(docs).select("doc_id", n.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed_lines"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

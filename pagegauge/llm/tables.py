@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer pieces (a small table in one file); larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def long_rows(spark: SparkSession, rows: int = 2_000) -> None:
@@ -40,6 +46,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many narrow rows are broadcast (some 25 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: A key with more than this share of a shuffle partition's rows is broadcast; there are at most 4 for each partition.
+_HOT_SHARE = 4
+
+
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, one narrow row for each key with the number of ``rows`` it has (``weight``, dropped).
+
+    Few keys, counted, are broadcast. Of more, those with a large share of all rows are broadcast, as the shares bound their number;
+    the others, each a small part of a shuffle partition, are shuffled. So no key makes a task of its own.
+    """
+    n, total = keys.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys.drop(weight)), on)
+    most = max(total // (_HOT_SHARE * shuffle_partitions(rows.sparkSession)), 10_000)
+    hot, cold = keys.where(F.col(weight) > most).drop(weight), keys.where(F.col(weight) <= most).drop(weight)
+    shuffled = lambda r: r.join(cold.hint("shuffle_hash"), on)
+    if hot.isEmpty():
+        return shuffled(rows)
+    return rows.join(F.broadcast(hot), on).unionByName(shuffled(rows.join(F.broadcast(hot.select(on)), on, "left_anti")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
-
-import xxhash
+import unicodedata
+from collections import Counter, defaultdict
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,20 +103,6 @@ def line_words(line: str) -> list[str]:
     return [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", line.lower()) if w]
 
 
-def line_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode(), 42)
-
-
-def line_simhash(words: list[str]) -> int:
-    hashes = [line_hash(w) for w in words]
-    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
-
-
-def word_codes(words: list[str]) -> list[int]:
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    return [signed(line_hash(w)) % 0x5200 for w in words]
-
-
 def edits(a: list, b: list) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -128,28 +113,37 @@ def edits(a: list, b: list) -> int:
     return row[-1]
 
 
+def full_form(line: str) -> str:
+    return re.sub(r"[\x00-\x20\x7F]+", " ", line.lower()).strip(" ")
+
+
+def numbers(full: str) -> str:
+    counts = lambda c: unicodedata.category(c) in ("Nd", "Sc", "Sm") or c == "%"
+    minus = lambda i: full[i] == "-" and unicodedata.category(full[i + 1 : i + 2] or " ") == "Nd"
+    return " ".join("".join(c if counts(c) or minus(i) else " " for i, c in enumerate(full)).split())
+
+
 def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, list[int]]:
-    """Removed line numbers of each document; ids are distinct."""
+    """Removed lines where all lines of equal numbers within the edit limit are linked, whatever their hashes and shingles."""
     places = defaultdict(list)
     for i, t in docs:
         for pos, line in enumerate((t or "").split("\n")):
-            if words := line_words(line):
-                places[" ".join(words)].append((i, pos))
-    norms = sorted(places)
-    codes = {n: word_codes(n.split(" ")) for n in norms}
-    sims = {n: line_simhash(n.split(" ")) for n in norms}
-    groups = Groups(norms)
-    for x, a in enumerate(norms):
-        for b in norms[x + 1 :]:
-            if (sims[a] ^ sims[b]).bit_count() > 2:
-                continue
-            x_, y_ = codes[a], codes[b]
-            allowed = math.floor(max(len(x_), len(y_)) * 0.1)
-            if abs(len(x_) - len(y_)) <= allowed and edits(x_, y_) <= allowed:
-                groups.join(a, b)
+            if line_words(line):
+                places[full_form(line)].append((i, pos))
+    groups, alike = Groups(places), defaultdict(list)
+    for f in sorted(places, key=len):
+        alike[numbers(f)].append((f, Counter(f)))
+    for lines in alike.values():
+        for k, (a, x) in enumerate(lines):
+            for b, y in lines[k + 1 :]:
+                allowed = len(b) // 10
+                if len(b) - len(a) > allowed:
+                    break
+                if (y - x).total() <= allowed and groups.find(a) != groups.find(b) and edits(a, b) <= allowed:
+                    groups.join(a, b)
     together = defaultdict(list)
-    for n in norms:
-        together[groups.find(n)] += places[n]
+    for f in places:
+        together[groups.find(f)] += places[f]
     gone = {i: [] for i, _ in docs}
     for at in together.values():
         for i, pos in set(at) - {min(at)}:
@@ -157,9 +151,8 @@ def line_dedup(docs: list[tuple[int, str | None]]) -> dict[int, list[int]]:
     return {i: sorted(p) for i, p in gone.items()}
 
 
-def without_lines(docs: list[tuple[int, str | None]]) -> dict[int, str]:
-    gone = line_dedup(docs)
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in set(gone[i])) for i, t in docs}
+def without_lines(docs: list[tuple[int, str | None]], gone: dict[int, list[int]]) -> dict[int, str | None]:
+    return {i: t if not gone.get(i) else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in set(gone[i])) for i, t in docs}
 
 
 def fill(children: list[tuple], budget: float) -> dict:

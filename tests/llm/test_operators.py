@@ -24,6 +24,7 @@ from pagegauge.llm import (
     secret_scan,
     sketch,
     substring_dedup,
+    tables,
     words,
 )
 from pagegauge.llm.tables import read
@@ -246,20 +247,29 @@ def test_ngram_join_odd(odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in ODD if r[0] != 6)
 
 
-def test_line_dedup(docs, pairs):
-    expected = brute.line_dedup(pairs)
-    got = {r["doc_id"]: [k for k, gone in enumerate(r["removed"]) if gone] for r in line_dedup.line_marks(docs).collect()}
-    assert got == expected
+def test_line_dedup_texts(docs, pairs):
+    gone = {r["doc_id"]: r["removed"] for r in line_dedup.line_marks(docs).collect()}
     texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs).collect()}
-    assert texts == brute.without_lines(pairs)
+    assert gone and texts == brute.without_lines(pairs, gone)
 
 
 def test_line_dedup_fuzzy(spark):
     base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
-    rows = [(i, base.replace("wordab", "wordab" + "s" * (i % 2)).replace("wordcb", "wordcb" + "x" * (i // 5)) + f" {i}\nline of number {i}\nonly {'abcdefghij'[i]} here") for i in range(10)]
+    rows = [(i, base.replace("wordab", "wordab" + "s" * (i % 2)).replace("wordcb", "wordcb" + "x" * (i // 5)) + f"\nline of number {i}\nonly {'abcdefghij'[i]} here") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: [k for k, gone in enumerate(r["removed"]) if gone] for r in line_dedup.line_marks(df).collect()}
-    assert got == brute.line_dedup(rows)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_marks(df).collect()}
+    assert got == {i: x for i, x in brute.line_dedup(rows).items() if x} and len(got) == 9
+
+
+def test_line_dedup_long_and_hot(spark, monkeypatch):
+    """One line in all documents, a document of very many lines, and no key or line few enough to be broadcast."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    many = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long document\nread more on this page" for i in range(5_000))
+    rows = [(i, f"own text {'abcdefghij'[i]}\nread more on this page") for i in range(10)] + [(10, many)]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.line_marks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(1 in got[i] for i in range(1, 10)) and set(range(1, 10_000, 2)) <= set(got[10])
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts == brute.without_lines(rows, got)
 
 
 def test_line_dedup_odd(odd, none):

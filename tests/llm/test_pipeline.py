@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagegauge.llm import language_id, queries
+from pagegauge.llm import language_id, line_dedup, queries
 from pagegauge.llm.tables import read
 
 from . import brute
@@ -15,8 +15,10 @@ def test_run(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
     trees = language_id.learn(docs, ~language_id.held_out(F.col("doc_id")))
-    kept = {r["doc_id"] for r in language_id.identify(docs, trees).where("lang_pred <> 'und' and score >= 0.5").collect()}
-    texts = brute.without_lines([(i, rows[i]["text"]) for i in sorted(kept)])
+    kept = {r["doc_id"] for r in language_id.identify(docs, trees).where("lang_pred <> 'und'").collect()}
+    # tests/llm/test_line_links.py holds the lines themselves against the edit distance
+    gone = {r["doc_id"]: r["removed"] for r in line_dedup.line_marks(docs.where(F.col("doc_id").isin(*kept))).collect()}
+    texts = brute.without_lines([(i, rows[i]["text"]) for i in sorted(kept)], gone)
     groups = brute.similar(list(texts.items()))
     texts = {i: t for i, t in texts.items() if groups[i][1] == i}
     items = [(r["item_id"], r["text"]) for r in read(spark, sf_dir, "benchmark").collect()]
