@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 64
+#: So many that two unlinked sets of some thousand members seldom pass the bound.
+GROUPS = 256
 LEAF, FAN = 16, 8
 #: Counts from here on are not held; sets this large are bounded by their sizes alone.
 LARGE = 65_535
 
 
 def count_vector(members: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16)
+    return np.minimum(np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=GROUPS), LARGE).astype(np.uint16)
 
 
 def reaches(top_a: np.ndarray, top_b: np.ndarray, least_a: np.ndarray, least_b: np.ndarray, most_a: np.ndarray, most_b: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
