@@ -2,9 +2,9 @@
 
 Each task sketches its own rows; the partition sketches are merged block by block with saturating addition,
 in two levels: a lane of some dozens of them first, then the lanes. What is left is one bit
-a cell: "two or more". Its size is fixed by ``log2_width`` and DEPTH and never follows the data: at most
-``DEPTH * 2**MAX_LOG2_WIDTH`` bits (64 MB) are sent to the tasks. A sketch that is too small for its input calls
-too many keys repeated; it never calls a repeated key single.
+a cell: "two or more". At most ``DEPTH * 2**max_log2`` bits (64 MB by default) are sent to the tasks at once: keys that would
+fill more than half of that are split by hash into ranges, each with a sketch of its own (``repeated_by_range``), which the caller
+uses one after the other. A sketch calls some single keys repeated; it never calls a repeated key single.
 """
 
 from __future__ import annotations
@@ -21,15 +21,24 @@ from pyspark.taskcontext import TaskContext
 from .words import mix, pack, unpack
 
 DEPTH = 2
-MIN_LOG2_WIDTH, MAX_LOG2_WIDTH = 20, 28
+MIN_LOG2_WIDTH, MAX_LOG2_WIDTH = 20, 28  # at least 10, for the blocks
 _BLOCKS = 128
 #: Partition sketches that one task merges.
 _LANE = 64
 
 
-def log2_width(keys: int) -> int:
-    """About two cells for each expected key, within the bounds."""
-    return min(MAX_LOG2_WIDTH, max(MIN_LOG2_WIDTH, round(math.log2(2 * keys + 1))))
+def log2_width(keys: int, cells: int = 2, max_log2: int = MAX_LOG2_WIDTH) -> int:
+    """About so many cells for each expected key, within the bounds."""
+    return min(max_log2, max(min(MIN_LOG2_WIDTH, max_log2), round(math.log2(cells * keys + 1))))
+
+
+def ranges(keys: int, max_log2: int = MAX_LOG2_WIDTH) -> int:
+    """Ranges of so many keys that each key has two cells of the widest sketch."""
+    return max(1, -(-2 * keys >> max_log2))
+
+
+def _of_range(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return keys if parts == 1 else keys[mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts) == np.uint64(part)]
 
 
 def _cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -94,15 +103,15 @@ def _merge(table: pa.Table) -> pa.Table:
 class Repeated:
     """The merged sketch: which keys are estimated to occur more than once."""
 
-    def __init__(self, width: int, blocks: dict[int, bytes]) -> None:
-        self.width, self.blocks = width, blocks
+    def __init__(self, width: int, blocks: dict[int, bytes], part: int = 0, parts: int = 1) -> None:
+        self.width, self.blocks, self.part, self.parts = width, blocks, part, parts
         self._bits: np.ndarray | None = None
 
     def __getstate__(self) -> tuple:
-        return self.width, self.blocks
+        return self.width, self.blocks, self.part, self.parts
 
     def __setstate__(self, state: tuple) -> None:
-        self.width, self.blocks = state
+        self.width, self.blocks, self.part, self.parts = state
         self._bits = None
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
@@ -113,6 +122,8 @@ class Repeated:
                 bits[b // _BLOCKS, b % _BLOCKS] = np.frombuffer(unpack(packed), np.uint8)
             self._bits, self.blocks = bits.reshape(DEPTH, -1), {}
         out = np.ones(len(keys), bool)
+        if self.parts > 1:
+            out = mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.parts) == np.uint64(self.part)
         for row in range(DEPTH):
             at = np.flatnonzero(out)
             cells = _cells(keys[at], row, self.width)
@@ -120,18 +131,32 @@ class Repeated:
         return out
 
 
-def repeated(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], expected: int) -> Repeated:
-    """The merged sketch of the keys that ``keys_of`` takes from the Arrow batches of ``rows``."""
-    width = log2_width(expected)
-    parts = rows.rdd.getNumPartitions()
-    lanes = -(-parts // _LANE)
+Keys = Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
+
+def _sketched(rows: DataFrame, keys_of: Keys, width: int, part: int, parts: int) -> Repeated:
+    tasks = rows.rdd.getNumPartitions()
+    lanes = -(-tasks // _LANE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(width)
         for keys in keys_of(batches):
-            counts.add(keys)
+            counts.add(_of_range(keys, part, parts))
         yield counts.blocks(TaskContext.get().partitionId() % lanes)
 
     # the task's blocks, then each block's lanes, then the lanes
     merged = rows.mapInArrow(run, SCHEMA).groupBy("block", "lane").applyInArrow(_merge, SCHEMA).groupBy("block").applyInArrow(_merge, SCHEMA)
-    return Repeated(width, {r["block"]: bytes(r["more"]) for r in merged.select("block", "more").collect()})
+    return Repeated(width, {r["block"]: bytes(r["more"]) for r in merged.select("block", "more").collect()}, part, parts)
+
+
+def repeated(rows: DataFrame, keys_of: Keys, expected: int) -> Repeated:
+    """One merged sketch of the keys that ``keys_of`` takes from the Arrow batches of ``rows``, however many they are."""
+    return _sketched(rows, keys_of, log2_width(expected), 0, 1)
+
+
+def repeated_by_range(rows: DataFrame, keys_of: Keys, expected: int, cells: int = 2, max_log2: int = MAX_LOG2_WIDTH) -> Iterator[Repeated]:
+    """A merged sketch for each range of the keys; each says no to the keys of the others."""
+    parts = ranges(expected, max_log2)
+    width = log2_width(-(-expected // parts), cells, max_log2)
+    for part in range(parts):
+        yield _sketched(rows, keys_of, width, part, parts)

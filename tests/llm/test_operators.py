@@ -82,6 +82,31 @@ def test_sketch_loses_no_repeat(spark):
     assert found(keys[5_000:]).mean() < 0.02
 
 
+def test_sketch_ranges_lose_no_repeat(spark):
+    """A tiny width makes many ranges; each key is answered for in one, and most single keys stay out."""
+    keys = np.random.default_rng(9).integers(0, 1 << 62, 20_000).astype(np.uint64)
+    rows = spark.createDataFrame([(int(k),) for k in np.concatenate([keys, keys[:3_000]])], "k long").repartition(3)
+    keys_of = lambda batches: (b.column(0).to_numpy().astype(np.uint64) for b in batches)
+    found = [s(keys) for s in sketch.repeated_by_range(rows, keys_of, 20_000, max_log2=13)]
+    assert len(found) == sketch.ranges(20_000, 13) == 5 and (sum(f.astype(int) for f in found) <= 1).all()
+    assert np.any(found, 0)[:3_000].all() and np.any(found, 0)[3_000:].mean() < 0.25
+
+
+def test_anchors_are_shared_by_equal_windows():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, m, n)) for m, n in ((2, 200), (1, 60), (40, 300), (40, 19), (40, 20))] + ["", None]
+    w = words.words_of(pa.array(texts), words.NOT_BLANK)
+    hashes, at = w.hashes(), substring_dedup._starts(w, 20)
+    assert at.tolist() == w.windows(hashes, 20)[1].tolist()
+    keys, own = substring_dedup.anchors(w, hashes, 20, at)
+    by: dict = {}
+    for a, k in zip(at.tolist(), own.tolist(), strict=True):
+        by.setdefault(tuple(hashes[a : a + 20].tolist()), []).append(k)
+    for places in by.values():
+        assert len(set(places)) == len(places) and len({int(keys[k]) for k in places}) == 1
+    assert len(keys) < len(at)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1_000 + i, 1_001 + i) for i in range(60)] + [(5_000, 5_001 + i) for i in range(200)] + [(9, 9)]
@@ -128,6 +153,19 @@ def test_substring_dedup(docs, pairs):
     assert n == len(pairs) and {k[0]: v for k, v in got.items()} == brute.substring_dedup(pairs)
 
 
+def test_substring_dedup_in_ranges(docs, pairs):
+    out = substring_dedup.remove_repeats(docs, max_log2=12).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("sha")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in out} == brute.substring_dedup(pairs)
+
+
+def test_substring_dedup_ids(spark):
+    """No id, the smallest id, and rows of one id: each keeps its own text."""
+    text = " ".join(f"w{i}" for i in range(25))
+    df = spark.createDataFrame([(None, text), (None, text), (-(1 << 63), "short"), (5, text), (5, "x " + text)], "doc_id long, text string").repartition(2)
+    out = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(df).collect())
+    assert out == [("-9223372036854775808", 1, 0), ("5", 25, 25), ("5", 26, 25), ("None", 25, 0), ("None", 25, 0)]
+
+
 def test_substring_dedup_odd(odd, none):
     got, n = _op2(odd)
     assert n == len(ODD)
