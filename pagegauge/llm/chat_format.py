@@ -3,7 +3,8 @@
 A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings all begin with ``<|``. The escape
 puts a backslash into every ``<|``, ``<\\|``, ``<\\\\|`` ... of a text, and the parser takes one out again, so an
 escaped text never holds ``<|``, and escaping is one to one. A turn is escaped only where the plain rendering
-of its conversation does not parse back to the turns it came from.
+of its conversation does not parse back to the turns it came from; the escaped rendering is parsed and compared in its turn, and a
+difference, which the escape leaves no room for, ends the job instead of passing wrong text on.
 
 Only SQL expressions; one shuffle, by conversation, of which a single row is made.
 Nulls: text and role count as empty, a null turn sorts first, rows with a null conv_id make one conversation.
@@ -74,6 +75,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     plain = source.withColumn("plain", _render(F.col("turns")))
     kept = parse(F.col("plain")) == F.col("turns")
     out = plain.withColumn("escaped", ~kept).withColumn("formatted", F.when(F.col("escaped"), _render(_escaped(F.col("turns")))).otherwise(F.col("plain")))
-    out = out.withColumn("parsed", parse(F.col("formatted")))
+    again = out.withColumn("parsed", parse(F.col("formatted")))
+    out = again.withColumn("parsed", F.when(F.col("parsed") == F.col("turns"), F.col("parsed")).otherwise(F.raise_error(F.lit("a rendering does not parse back to its turns"))))
     loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return out.select("conv_id", "formatted", "escaped", "parsed", loss.alias("loss_text"))

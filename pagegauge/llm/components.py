@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 
 def _hooks(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,11 @@ def _hooks(edges: DataFrame) -> DataFrame:
     while True:
         above = parents.select(F.col("node").alias("up"), F.col("parent").alias("grand"))
         step = parents.join(above, F.col("parent") == F.col("up"), "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved"))
-        step = written(step, "hooks")
+        before, step = parents, written(step, "hooks")
+        discard(before)
         if step.where("moved").isEmpty():
-            return step.select("node", "parent")
-        parents = step.select("node", "parent")
+            return step
+        parents = step
 
 
 def _directed(pairs: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     edges = written(_directed(pairs), "edges")
     labels = None
     while not edges.isEmpty():
-        hooks = _hooks(edges)
+        hooks, old = _hooks(edges), (edges, labels)
         if labels is None:
             ends = edges.select(F.col("hi").alias("node")).union(edges.select("lo")).distinct()
             labels = ends.join(hooks, "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
@@ -48,6 +49,7 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         lo = hooks.select(F.col("node").alias("lo"), F.col("parent").alias("lo_parent"))
         moved = edges.join(up, "hi", "left").join(lo, "lo", "left")
         edges = written(_directed(moved.select(F.coalesce("hi_parent", "hi").alias("a"), F.coalesce("lo_parent", "lo").alias("b"))), "edges")
+        discard(hooks, *old)
     if labels is None:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     return labels

@@ -16,8 +16,9 @@ repeat are judged one by one. Extra columns are passed through by ``decontaminat
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,8 +189,9 @@ def judge_piece(texts: pa.Array, tests: Tests, share: tuple[int, int] = SHARE) -
             longest[d], item[d], start[d] = top_words[k], tests.ids[tests.item[top_test[k]]], int(top_at[k] - first[d])
     spans = [b""] * n_docs
     for d in np.flatnonzero(n_hit).tolist():
-        own = (starts < first[d + 1]) & (ends > first[d])
-        spans[d] = np.stack([np.maximum(starts[own], first[d]), np.minimum(ends[own], first[d + 1])], 1).astype(np.int64).__sub__(int(first[d])).tobytes()
+        own = slice(int(np.searchsorted(ends, first[d], "right")), int(np.searchsorted(starts, first[d + 1])))
+        cut = np.stack([np.maximum(starts[own], first[d]), np.minimum(ends[own], first[d + 1])], 1) - first[d]
+        spans[d] = cut.astype(np.int64).tobytes()
     return {"n_words": n_words, "n_hit": n_hit, "items": items, "longest": longest, "item": item, "start": start, "spans": spans, "contaminated": _judge(n_words, n_hit, share)}
 
 
@@ -225,25 +227,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """``doc_id`` and RESULT for each document: words hit, items found, the verdict, and the longest verbatim match."""
     long_rows(docs.sparkSession)
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, window, block_bytes)]
+    blocks = test_blocks(benchmark, window, block_bytes)
     narrow = docs.select("doc_id", "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
+    first, more = next(blocks), next(blocks, None)
+    known = spark.sparkContext.broadcast(first)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
-            out = _columns(judge_piece(b.column(1), blocks[0].value, share), share)
+            out = _columns(judge_piece(b.column(1), known.value, share), share)
             yield pa.RecordBatch.from_arrays([b.column(0), *out], ["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
 
-    if len(blocks) == 1:
+    if more is None:
         return narrow.mapInArrow(whole, f"doc_id {kind}, {RESULT}")
 
     # rows are told apart by a number of their own, so documents that share an id are judged one by one
     rows = written(narrow.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
-    return _in_blocks(rows, blocks, share).drop("row")
+    return _in_blocks(rows, chain([first, more], blocks), share).drop("row")
+
 
+def _in_blocks(rows: DataFrame, blocks: Iterable[Tests], share: tuple[int, int]) -> DataFrame:
+    """``row, doc_id`` and RESULT for each row of ``rows(row, doc_id, text)``, searched for each block of the test set and merged.
 
-def _in_blocks(rows: DataFrame, blocks: list, share: tuple[int, int]) -> DataFrame:
-    """``row, doc_id`` and RESULT for each row of ``rows(row, doc_id, text)``, searched for each block of the test set and merged."""
+    A block's hits are written before the next block is brought to the driver, so one block at a time is held.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def part(block):
@@ -258,7 +266,9 @@ def _in_blocks(rows: DataFrame, blocks: list, share: tuple[int, int]) -> DataFra
     schema = f"row long, doc_id {kind}, n_words long, spans binary, items array<string>, longest long, item string, start long"
     found = None
     for block in blocks:
-        one = rows.mapInArrow(part(block), schema)
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+        one = written(rows.mapInArrow(part(sent), schema), "decontaminate-hits")
+        sent.unpersist()
         found = one if found is None else found.unionByName(one)
     per = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
@@ -284,15 +294,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     long_rows(docs.sparkSession)
     spark = docs.sparkSession
     text = docs.columns.index("text")
-    blocks = [spark.sparkContext.broadcast(b) for b in test_blocks(benchmark, window, block_bytes)]
-    if len(blocks) > 1:
+    blocks = test_blocks(benchmark, window, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    if more is not None:
         number = "number of the row"
         rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "decontaminate-rows")
-        judged = _in_blocks(rows.select(F.col(number).alias("row"), "doc_id", "text"), blocks, share)
+        judged = _in_blocks(rows.select(F.col(number).alias("row"), "doc_id", "text"), chain([first, more], blocks), share)
         return rows.join(judged.where("contaminated").select(F.col("row").alias(number)), number, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
+    known = spark.sparkContext.broadcast(first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, text):
-            yield b.filter(pa.array(~judge_piece(b.column(text), blocks[0].value, share)["contaminated"]))
+            yield b.filter(pa.array(~judge_piece(b.column(text), known.value, share)["contaminated"]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ Frozen statistics make the cost a function of four bytes, so each task codes its
 language and sums over all positions of every whole text; nothing is shuffled. A-Z are folded.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with null lang or null doc_id are
-not learned from. With nothing to learn from, every text is ``und``. Repeated rows are judged one by one.
+not learned from, nor are labels beyond the ``MAX_LANGUAGES`` with the most text. With nothing to learn from, every text is ``und``. Repeated rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from .tables import long_rows
 from .words import LOWER, pieces
 
-#: Bytes of text learned from for each language, expected; no sampled document is longer than that.
+#: Bytes of text learned from for each language, expected; longer texts are drawn from by pieces of so many characters.
 TRAIN_BYTES = 3 << 20
-#: More distinct labels than this are not languages.
+PIECE_CHARS = 1 << 16
+#: Trees are grown for so many labels, those with the most text.
 MAX_LANGUAGES = 512
 UNDETERMINED = "und"
 FOLDS = 5
@@ -117,22 +118,23 @@ def grow(grams: np.ndarray, counts: np.ndarray) -> Tree:
     return Tree(order1, escape2, keys2, bits2, contexts3, escape3, keys3, bits3)
 
 
-def learn(docs: DataFrame, train: Column, train_bytes: int = TRAIN_BYTES) -> dict[str, Tree]:
+def learn(docs: DataFrame, train: Column, train_bytes: int = TRAIN_BYTES, most: int = MAX_LANGUAGES) -> dict[str, Tree]:
     """A tree for each language of the rows where ``train`` holds: (doc_id, text, lang).
 
-    A language with more than ``train_bytes`` of text is sampled by a hash of doc_id; every tree comes from one
+    A language with more than ``train_bytes`` of text is sampled by a hash of doc_id and piece; every tree comes from one
     group of about that size, and its counts, not its texts, go to the driver.
     """
     rows = docs.select("doc_id", "text", "lang").where(train & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = rows.withColumn("bytes", F.octet_length("text")).where(F.col("bytes").between(1, train_bytes))
-    sizes = {r["lang"]: r["total"] for r in rows.groupBy("lang").agg(F.sum("bytes").alias("total")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = rows.where(F.octet_length("text") > 0)
+    total = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("total"))
+    sizes = {r["lang"]: r["total"] for r in total.orderBy(F.desc("total"), "lang").limit(most).collect()}
     if not sizes:
         return {}
     share = F.create_map(*(F.lit(x) for lang, total in sizes.items() for x in (lang, min(1.0, train_bytes / total))))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
+    draw = lambda i: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), i), F.lit(1 << 30)) / float(1 << 30)
+    parts = F.when(F.length("text") > PIECE_CHARS, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))).otherwise(F.array("text"))
+    part_of = rows.where(F.col("lang").isin(*sizes)).select("lang", "doc_id", F.posexplode(parts).alias("part", "text"))
+    sample = part_of.where(draw(F.col("part")) < share[F.col("lang")]).select("lang", "text")
 
     def count(table: pa.Table) -> pa.Table:
         grams, _ = _grams(table.column("text").combine_chunks())
@@ -191,7 +193,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree]) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
-def keep_identified(docs: DataFrame, trees: dict[str, Tree], least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, trees: dict[str, Tree], least: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language stays undetermined or has a probability below ``least``."""
     long_rows(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(trees)

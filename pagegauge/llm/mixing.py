@@ -11,7 +11,7 @@ prefix ends is ever sorted, however large the leaf.
 
 Nulls: a null text has no tokens and is never taken; null domain, lang or source count as empty. Weights default to 1; a weight
 of 0 takes nothing. Ties in the order go by doc_id; rows that repeat a doc_id with equal text stand side by side. Extra columns
-pass through ``mixed``. An empty table gives no rows.
+pass through ``mixed``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -129,8 +129,14 @@ def selection(docs: DataFrame, domain: Column, share: float = 0.5, max_epochs: i
     return _selected(sizes, sizes, F.sum("tokens") * F.lit(float(share)), max_epochs, seed, weights)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def mixed(docs: DataFrame, domain: Column, share: float = 0.5, max_epochs: int = 2, seed: int = 7, weights: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """The rows of ``docs`` as they are taken, once for each epoch, with ``epoch`` and ``taken``; a cut text keeps its first words, joined by one space."""
+    """The rows of ``docs`` as they are taken, once for each epoch, with ``epoch`` and ``taken`` (``epoch_``, ``taken_``, where ``docs`` has such columns); a cut text keeps its first words, joined by one space."""
     name = lambda c: F.coalesce(c, F.lit(""))
     keys = {"domain": name(domain), "lang": name(F.col("lang")), "source": name(F.col("source"))}
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("text"), *(x.alias(k) for k, x in keys.items()))
@@ -139,5 +145,5 @@ def mixed(docs: DataFrame, domain: Column, share: float = 0.5, max_epochs: int =
     taken = _selected(rows, sizes, F.sum("tokens") * F.lit(float(share)), max_epochs, seed, weights)
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
     text = F.when(F.col("taken") < F.col("tokens"), cut).otherwise(F.col("row.text"))
-    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("epoch", "taken")]
-    return taken.select(*columns, "epoch", "taken")
+    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return taken.select(*columns, *(F.col(c).alias(_free(c, docs.columns)) for c in ("epoch", "taken")))

@@ -10,7 +10,7 @@ is scored where it is read; nothing but the sample is shuffled.
 
 Nulls: a null text has no features and gets the grade of the thresholds alone; null ratings are not used. Without
 ratings of at least two grades there is nothing to fit: scores are null and every document is kept.
-A document rated twice counts by its lowest grade.
+A document rated twice counts by its lowest grade; of rows that repeat a doc_id the smallest text is learned from.
 """
 
 from __future__ import annotations
@@ -61,38 +61,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def loss_and_slope(v: np.ndarray, base: float, gap: float, doc: np.ndarray, column: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+    """Mean negative log-likelihood and its slopes in the weights, the first threshold and the log gap to the second."""
+    n = len(grade)
+    weight = 1 / n
+    z = np.bincount(doc, v[column], n)
+    cut = np.array([base, base + np.exp(gap)])
+    # P(grade) = F(z - t_{g-1}) - F(z - t_g), with F(z - t_{-1}) = 1 and F(z - t_last) = 0
+    low = np.where(grade > 0, _sigmoid(z - cut[np.maximum(grade - 1, 0)]), 1.0)
+    high = np.where(grade < GRADES - 1, _sigmoid(z - cut[np.minimum(grade, GRADES - 2)]), 0.0)
+    p = np.maximum(low - high, 1e-12)
+    d_low, d_high = low * (1 - low), high * (1 - high)
+    slope_z = -weight * (d_low - d_high) / p
+    on = [weight * (((grade - 1 == k) * d_low - (grade == k) * d_high) / p).sum() for k in range(GRADES - 1)]
+    return float(-weight * np.log(p).sum()), np.bincount(column, slope_z[doc], len(v)), float(on[0] + on[1]), float(on[1] * np.exp(gap))
+
+
 def fit(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, l1: float = 2e-4, rounds: int = 300) -> Model:
     """Accelerated proximal gradient on the mean negative log-likelihood; thresholds kept in order by their gaps."""
     used, column = np.unique(bucket, return_inverse=True)
-    n = len(grade)
-    weight = 1 / n
     w, momentum = np.zeros(len(used)), np.zeros(len(used))
     base, gap = -1.0, 0.5  # thresholds: base, base + exp(gap)
     step, t = 1.0, 1.0
-
-    def loss_and_slope(v: np.ndarray, base: float, gap: float) -> tuple[float, np.ndarray, float, float]:
-        z = np.bincount(doc, v[column], n)
-        cut = np.array([base, base + np.exp(gap)])
-        # P(grade) = F(z - t_{g-1}) - F(z - t_g), with F(z - t_{-1}) = 1 and F(z - t_last) = 0
-        low = np.where(grade > 0, _sigmoid(z - cut[np.maximum(grade - 1, 0)]), 1.0)
-        high = np.where(grade < GRADES - 1, _sigmoid(z - cut[np.minimum(grade, GRADES - 2)]), 0.0)
-        p = np.maximum(low - high, 1e-12)
-        d_low, d_high = low * (1 - low), high * (1 - high)
-        slope_z = -weight * (d_low - d_high) / p
-        on = [np.zeros(n), np.zeros(n)]
-        for k in range(GRADES - 1):
-            on[k] = weight * ((grade - 1 == k) * d_low - (grade == k) * d_high) / p
-        return float(-weight * np.log(p).sum()), np.bincount(column, slope_z[doc], len(used)), float(on[0].sum() + on[1].sum()), float(on[1].sum() * np.exp(gap))
-
     for _ in range(rounds):
-        value, slope, s_base, s_gap = loss_and_slope(momentum, base, gap)
+        value, slope, s_base, s_gap = loss_and_slope(momentum, base, gap, doc, column, grade)
         while True:
             moved = momentum - step * slope
             new = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
             diff = new - momentum
             rate = min(step, 1.0)
             new_base, new_gap = base - rate * s_base, float(np.clip(gap - rate * s_gap, -3, 3))
-            if loss_and_slope(new, new_base, new_gap)[0] <= value + slope @ diff + diff @ diff / (2 * step) + 1e-9 or step < 1e-4:
+            if loss_and_slope(new, new_base, new_gap, doc, column, grade)[0] <= value + slope @ diff + diff @ diff / (2 * step) + 1e-9 or step < 1e-4:
                 break
             step /= 2
         t, old_t = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -113,8 +112,9 @@ def graded(labels: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """A model from at most ``max_train`` rated documents (``ratings``: doc_id, grade); None if there is too little."""
     chosen = ratings.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_train)
-    # at most max_train ids: a proven bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    # at most max_train ids: a proven bound; one text for each, however many rows have the id
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):

@@ -31,9 +31,13 @@ def long_rows(spark: SparkSession, rows: int = 2_000) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (a local test session) a folder of the session's warehouse stands in.
+    Only where it is unset in a local session (tests) a folder of the session's warehouse stands in; on a cluster that folder could be
+    each machine's own.
     """
-    return (spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/.llm").rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/.llm").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more; what was written since stands on its own."""
+    for df in tables:
+        if df is not None and hasattr(df, "written_to"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Up to so many narrow rows are broadcast (some 25 MB); more are joined by a shuffle.
@@ -52,7 +66,7 @@ BROADCAST_ROWS = 500_000
 _HOT_SHARE = 4
 
 
-def join_by_weight(rows: DataFrame, keys: DataFrame, on: str, weight: str) -> DataFrame:
+def join_by_weight(rows: DataFrame, keys: DataFrame, on: str | list[str], weight: str) -> DataFrame:
     """Inner join of ``rows`` with ``keys``, one narrow row for each key with the number of ``rows`` it has (``weight``, dropped).
 
     Few keys, counted, are broadcast. Of more, those with a large share of all rows are broadcast, as the shares bound their number;
