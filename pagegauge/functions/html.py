@@ -1,6 +1,7 @@
 """Facts of an HTML text as column expressions: parts, texts and attributes, by regular expressions.
 
-The form is regular, not a document tree: an element inside an element of its own kind and unclosed tags are known limits. A
+The form is regular, not a document tree: an element inside an element of its own kind and unclosed tags are known limits, but for the
+container, whose end tag is found by counting. A
 paragraph ends at the next paragraph, any block tag or the end.
 """
 
@@ -15,6 +16,11 @@ _HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 _BLOCK_ENDS = r"<p[\s>]|</p>|<h[1-6][\s>]|<div[\s>]|</div>|<ul[\s>]|<ol[\s>]|<table[\s>]|</article>|</main>|</body>|<footer[\s>]"
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def visible(html: Column) -> Column:
     """Without scripts, styles and comments."""
     return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
@@ -25,10 +31,39 @@ def body(seen: Column) -> Column:
     return F.when(inner != "", inner).otherwise(seen)
 
 
-def container(seen: Column) -> Column:
-    """The first main or article element, else the body."""
-    main = F.regexp_extract(seen, r"(?is)<(?:main|article)\b[^>]*>(.*?)(?:</main>|</article>|$)", 1)
-    return F.when(main != "", main).otherwise(body(seen))
+# What can hold a page's main content.
+LANDMARKS = ("main", "article", '[role="main"]')
+CONTAINERS = (*LANDMARKS, ".content", "#content")
+_MARKS = {
+    '[role="main"]': r"""role\s*=\s*(?:"main"|'main'|main(?=[\s/>]))""",
+    ".content": r"""class\s*=\s*(?:"(?:[^"]*\s)?content(?:\s[^"]*)?"|'(?:[^']*\s)?content(?:\s[^']*)?'|content(?=[\s/>]))""",
+    "#content": r"""id\s*=\s*(?:"content"|'content'|content(?=[\s/>]))""",
+}
+
+
+def container(seen: Column, selectors: tuple[str, ...] = CONTAINERS) -> Column:
+    """The inside of the first element that one of the selectors names, else the body.
+
+    The element ends where as many of its kind are closed as were opened; without that, at the end of the page.
+    """
+    names = "|".join(s for s in selectors if s not in _MARKS)
+    marks = "|".join(_MARKS[s] for s in selectors if s in _MARKS)
+    start = rf"(?is)<(?:({names})(?=[\s/>])[^>]*|([a-z][a-z0-9-]*)\s(?:[^>]*\s)?(?:{marks})[^>]*)>"
+    found = F.struct(seen.alias("seen"), F.regexp_extract(seen, start, 0).alias("tag"), F.lower(F.concat(F.regexp_extract(seen, start, 1), F.regexp_extract(seen, start, 2))).alias("name"))
+
+    def inside(x: Column) -> Column:
+        rest = F.substring(x["seen"], F.instr(x["seen"], x["tag"]) + F.length(x["tag"]), F.length(x["seen"]))
+        return once(F.struct(rest.alias("rest"), F.concat(F.lit("(?i)</?"), x["name"], F.lit(r"(?=[\s/>])[^>]*>")).alias("same")), balanced)
+
+    def balanced(x: Column) -> Column:
+        tags_, gaps = F.regexp_extract_all(x["rest"], x["same"], F.lit(0)), F.split(x["rest"], x["same"], -1)
+        steps = F.zip_with(gaps, tags_, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("tag"), F.when(F.startswith(t, F.lit("</")), -1).when(F.endswith(t, F.lit("/>")), 0).otherwise(1).alias("by")))
+        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        grow = lambda s, t: F.struct((s["depth"] + F.coalesce(t["by"], F.lit(0))).alias("depth"), (s["n"] + t["gap"] + F.when(s["depth"] + F.coalesce(t["by"], F.lit(0)) > 0, F.coalesce(t["tag"], F.lit(0))).otherwise(0)).alias("n"))
+        end = F.aggregate(steps, zero, lambda s, t: F.when(s["depth"] > 0, grow(s, t)).otherwise(s))
+        return F.substring(x["rest"], F.lit(1), end["n"])
+
+    return once(found, lambda x: F.when(x["tag"] != "", inside(x)).otherwise(body(x["seen"])))
 
 
 def _decoded(text: Column) -> Column:

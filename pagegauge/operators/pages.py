@@ -97,10 +97,13 @@ def _steps(x: Column, *steps: tuple[float, int]) -> list[tuple[Column, int]]:
     return [(x >= least, points) for least, points in steps]
 
 
-def with_parts(pages: DataFrame) -> DataFrame:
-    """``seen`` (the page without scripts), ``main`` (its container), ``text`` (of the container), ``words``, ``body_text``."""
+def with_parts(pages: DataFrame, containers: tuple[str, ...] = H.CONTAINERS) -> DataFrame:
+    """``seen`` (the page without scripts), ``main`` (its container), ``text`` (of the container), ``words``, ``body_text``.
+
+    Information gain, topical depth and hallucination risk look for the container among ``H.LANDMARKS`` only.
+    """
     seen = pages.withColumn("seen", H.visible(F.col("html")))
-    cut = seen.withColumn("main", H.container(F.col("seen"))).withColumn("body_text", H.text_of(H.body(F.col("seen"))))
+    cut = seen.withColumn("main", H.container(F.col("seen"), containers)).withColumn("body_text", H.text_of(H.body(F.col("seen"))))
     return cut.withColumn("text", H.text_of(F.col("main"))).withColumn("words", H.words_of(F.col("text")))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..operators import entities, json_ld, pages, urls
 from ..sources import readers
 from ..sources.bridge import AS_OF
-from .registry import query
+from .registry import ORACLE, query
 
 
 def _as_of():
@@ -25,6 +26,10 @@ def _parts(spark, sf_dir):
     return pages.with_parts(_raw(spark, sf_dir))
 
 
+def _landmarks(spark, sf_dir):
+    return pages.with_parts(_raw(spark, sf_dir), H.LANDMARKS)
+
+
 # the same cuts in DuckDB: its regular expressions have no look-ahead, so paragraphs are taken by splitting
 _SEEN = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
 _BODY = r"CASE WHEN regexp_extract(seen, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1) <> '' THEN regexp_extract(seen, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1) ELSE seen END"
@@ -38,6 +43,52 @@ def _text(part: str) -> str:
     return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
+# the fetch facts that ``_raw`` makes
+_ROBOTS = r"""CASE page_id % 4 WHEN 0 THEN replace('User-agent: *|Disallow: /||User-agent: GPTBot|Allow: /|Sitemap: https://example.com/sitemap.xml|', '|', chr(10)) WHEN 1 THEN replace('User-agent: GPTBot|User-agent: ClaudeBot|Disallow: /|Crawl-delay: 7|', '|', chr(10)) WHEN 2 THEN '' END"""
+# a robots.txt line by line: which agents a rule is under, and the last rule for "/" that is under a bot or all
+_VERDICTS = f"""rb AS (SELECT page_id, {_ROBOTS} AS robots FROM pages),
+rl AS (SELECT page_id, unnest(string_split(coalesce(robots, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(robots, ''), chr(10)), 1) AS i FROM rb),
+ra AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^user-agent:') THEN lower(trim(regexp_replace(line, '(?i)^user-agent:\\s*', ''))) END AS agent FROM rl),
+rg AS (SELECT *, last_value(agent IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS under FROM ra),
+rv AS (SELECT page_id, regexp_matches(line, '(?i)^allow:\\s*/\\s*$') AS allow, under, i FROM rg WHERE regexp_matches(line, '(?i)^(dis)?allow:\\s*/\\s*$')),
+verdicts AS (SELECT rb.page_id, length(trim(coalesce(any_value(robots), ''))) > 0 AS exists, {", ".join(f"coalesce(arg_max(allow, i) FILTER (under IN ('*', '{b}')), true) AS {b}" for b in ("googlebot", "gptbot", "claudebot", "perplexitybot"))},
+  coalesce(regexp_matches(any_value(robots), '(?im)^\\s*sitemap:'), false) AS has_sitemap, TRY_CAST(regexp_extract(any_value(robots), '(?im)^crawl-delay:\\s*(\\d+)', 1) AS INTEGER) AS crawl_delay FROM rb LEFT JOIN rv ON rv.page_id = rb.page_id GROUP BY rb.page_id)"""
+
+
+def _points(*rules: tuple[str, int]) -> str:
+    """A score of 100 at most: the points of the rules that hold."""
+    return "least(100, " + " + ".join(f"CASE WHEN {rule} THEN {n} ELSE 0 END" for rule, n in rules) + ")::BIGINT"
+
+
+def _above(x: str, *steps: tuple[float, int]) -> list[tuple[str, int]]:
+    return [(f"{x} >= {least}", n) for least, n in steps]
+
+
+def _matches(text: str, patterns) -> str:
+    """How often the patterns of ``pages`` are found."""
+    edge = lambda p: p.replace("<", r"\b").replace(">", r"\b").replace("'", "''")
+    return "(" + " + ".join(f"len(regexp_extract_all({text}, '{edge(p)}'))" for p in patterns) + ")"
+
+
+def _some(text: str, patterns) -> str:
+    return f"{_matches(text, patterns)} > 0"
+
+
+_HEADS = r"""(list_filter(list_transform(list_zip(regexp_extract_all(seen, '(?is)<h([1-6])(?:\s[^>]*)?>(.*?)</h[1-6]>', 1), regexp_extract_all(seen, '(?is)<h([1-6])(?:\s[^>]*)?>(.*?)</h[1-6]>', 2)), lambda x: {'level': x[1]::INTEGER, 'text': """ + _text("x[2]") + r"""}), lambda h: h.text <> ''))"""
+
+
+# a paragraph ends where the next block begins
+def _paragraphs(part: str) -> str:
+    return r"""list_filter(list_transform(list_filter(string_split(regexp_replace(""" + part + r""", '(?i)<p(?:\s[^>]*)?>', chr(1) || chr(2), 'g'), chr(1)), lambda x: starts_with(x, chr(2))), lambda x: """ + _text(r"""regexp_replace(substr(x, 2), '(?is)(?:<p[\s>]|</p>|<h[1-6][\s>]|<div[\s>]|</div>|<ul[\s>]|<ol[\s>]|<table[\s>]|</article>|</main>|</body>|<footer[\s>]).*$', '')""") + r"""), lambda t: t <> '')"""
+
+
+_MARKED = f"""list_concat(list_transform(heads, lambda h: h.text), list_transform(regexp_extract_all(seen, '(?is)<(?:strong|b)(?:\\s[^>]*)?>(.*?)</(?:strong|b)>', 1), lambda x: {_text('x')}))"""
+_LINKS = r"""list_filter(list_transform(regexp_extract_all(seen, '(?is)<a\s[^>]*>'), lambda t: CASE WHEN regexp_matches(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')') THEN replace(regexp_extract(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1) || regexp_extract(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 2), '&amp;', '&') END), lambda h: h IS NOT NULL)"""
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(pages.STOP_WORDS.split()))
+_RUNS = rf"""en AS (SELECT *, {_text(r"regexp_replace(main, '(?is)<nav\b.*?</nav>|<footer\b.*?</footer>|<header\b.*?</header>', '', 'g')")} AS entity_text FROM p),
+er AS (SELECT *, flatten(list_transform(string_split_regex(entity_text, '[.!?]+'), lambda s: list_filter(list_transform(string_split(array_to_string(list_transform(list_filter(string_split(trim(s), ' '), lambda w: w <> '')[2:], lambda w: CASE WHEN regexp_matches(w, '^[A-Z][a-z]+') AND lower(w) NOT IN ({_STOPS}) THEN w ELSE chr(1) END), ' '), chr(1)), lambda r: trim(r)), lambda r: r <> ''))) AS runs FROM en),
+names AS (SELECT *, list_distinct(flatten(list_transform(runs, lambda r: string_split(r, ' ')))) AS single, list_distinct(list_filter(runs, lambda r: contains(r, ' '))) AS multi, len(list_filter(string_split(entity_text, ' '), lambda w: w <> '')) AS entity_words FROM er)"""
+
 _PARTS = f"s AS (SELECT *, {_SEEN} AS seen FROM pages), m AS (SELECT *, {_MAIN} AS main, {_text('(' + _BODY + ')')} AS body_text FROM s), t AS (SELECT *, {_text('main')} AS text FROM m), p AS (SELECT *, list_filter(string_split(text, ' '), lambda w: w <> '') AS words FROM t)"
 
 
@@ -52,17 +103,28 @@ def p4_headings(spark, sf_dir):
     return pages.structure(_parts(spark, sf_dir)).select("page_id", F.size("headings").alias("n_headings"), "h1_count", "list_count", "table_count")
 
 
-@query()
+_STRUCTURE = f"""ps AS (SELECT *, {_HEADS} AS heads, list_filter({_paragraphs('seen')}, lambda t: length(t) > 20) AS paras FROM p),
+st AS (SELECT *, len(list_filter(heads, lambda h: h.level = 1)) AS h1, len(list_filter(range(1, len(heads)), lambda i: heads[i + 1].level > heads[i].level + 1)) = 0 AS even, coalesce(list_sum(list_transform(paras, lambda t: len(string_split(t, ' ')))), 0)::INTEGER AS word_count, len(paras) AS n_paras,
+  len(regexp_extract_all(seen, '(?i)<(?:ul|ol)[\\s/>]')) AS lists, len(regexp_extract_all(seen, '(?i)<(?:table)[\\s/>]')) AS tables FROM ps),
+sa AS (SELECT *, CASE WHEN n_paras > 0 THEN floor(word_count / n_paras::DOUBLE + 0.5)::BIGINT ELSE 0 END AS average FROM st)"""
+
+
+@query(f"""WITH {_PARTS}, {_STRUCTURE} SELECT page_id, even AND h1 = 1 AS hierarchy_valid, word_count, n_paras::INTEGER AS paragraph_count, average::BIGINT AS avg_paragraph,
+  {_points(("len(heads) > 0", 10), ("even AND h1 = 1", 15), ("h1 = 1", 5), ("len(list_filter(heads, lambda h: h.level = 2)) > 0", 10), ("len(list_filter(heads, lambda h: h.level = 3)) > 0", 5), *_above("lists", (1, 10), (3, 5)), ("tables > 0", 10), *_above("word_count", (300, 5), (800, 5), (1500, 5)), ("average > 0 AND average <= 80", 10), ("average > 0 AND average <= 50", 5))} AS structure_score FROM sa""")
 def p4_structure(spark, sf_dir):
     return pages.structure(_parts(spark, sf_dir)).select("page_id", "hierarchy_valid", "word_count", "paragraph_count", "avg_paragraph", "structure_score")
 
 
-@query()
+@query(f"""WITH {_PARTS}, q AS (SELECT *, {_HEADS} AS heads, {_paragraphs('main')} AS paras, trim(regexp_extract(html, '(?is)<meta\\s[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)', 1)) AS md FROM p),
+o AS (SELECT *, list_filter(paras, lambda t: length(t) >= 50)[1] AS opening, list_filter(paras, lambda t: length(t) >= 30)[1:3] AS firsts, {_MARKED} AS marked FROM q),
+f AS (SELECT *, length(md) AS n, CASE WHEN opening IS NULL THEN 0 ELSE len(string_split(opening, ' ')) END AS w, len(list_filter(firsts, lambda t: {_some("t", pages.DEFINITIONS)})) > 0 AS has_definition, len(list_filter(marked, lambda t: {" OR ".join(f"contains(lower(t), '{x}')" for x in pages.TLDR_SUMMARY)})) > 0 AS has_tldr FROM o)
+SELECT page_id, n::INTEGER AS meta_description_length, w::INTEGER AS opening_words, has_definition, has_tldr, {_points(("n > 0", 10), ("n BETWEEN 120 AND 160", 15), ("n >= 70 AND NOT n BETWEEN 120 AND 160", 8), ("opening IS NOT NULL", 10), ("w BETWEEN 30 AND 80", 15), ("w >= 20 AND NOT w BETWEEN 30 AND 80", 8), ("has_definition", 20), ("has_tldr", 20))} AS summary_score FROM f""")
 def p6_summaries(spark, sf_dir):
     return pages.summaries(_parts(spark, sf_dir)).select("page_id", "meta_description_length", "opening_words", "has_definition", "has_tldr", "summary_score")
 
 
-@query()
+@query(f"""WITH {_PARTS}, {_RUNS}, d AS (SELECT *, len(list_distinct(list_concat(single, multi))) AS n, len(multi) AS n_long FROM names), e AS (SELECT *, CASE WHEN entity_words > 0 THEN n / entity_words::DOUBLE * 100 ELSE 0 END AS density FROM d)
+SELECT page_id, n::INTEGER AS entity_count, n_long::INTEGER AS n_long, floor(density * 100 + 0.5) / 100 AS entity_density, {_points(*_above("density", (1, 15), (2, 15), (3, 10)), *_above("n", (5, 10), (10, 10), (20, 5)), *_above("n_long", (2, 10), (5, 5)), (r"""regexp_matches(seen, '(?i)rel=["'']author["'']|class=["''][^"'']*(author|byline)')""", 10))} AS entity_score FROM e""")
 def p8_entities(spark, sf_dir):
     return pages.entities(_parts(spark, sf_dir)).select("page_id", "entity_count", F.size("long_names").alias("n_long"), "entity_density", "entity_score")
 
@@ -72,7 +134,10 @@ def p9_access_facts(spark, sf_dir):
     return pages.access(_parts(spark, sf_dir)).select("page_id", "is_https", "clean_url", "is_spa", "ttfb_ms")
 
 
-@query()
+@query(rf"""WITH {_PARTS}, {_VERDICTS}, q AS (SELECT *, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q, page_id * 37 % 1500 AS t FROM p),
+f AS (SELECT *, starts_with(lower(url), 'https:') AS is_https, regexp_matches(html, '(?is)<link\s[^>]*rel=["'']canonical["''][^>]*href=') AS has_canonical, NOT regexp_matches(html, '(?is)<meta\s[^>]*name=["'']robots["''][^>]*noindex') AS is_indexable, regexp_matches(html, '(?is)<link\s[^>]*\shreflang=') AS has_hreflang,
+  q = '' OR len(string_split(q, '&')) <= 2 AS clean, (length(body_text) < 100 AND len(regexp_extract_all(html, '(?i)<(?:script)[\s/>]')) > 3) OR (regexp_matches(html, '(?i)id=["''](root|app)["'']') AND length(body_text) < 200) AS is_spa FROM q)
+SELECT page_id, is_https, has_canonical, is_indexable, has_hreflang, {_points(("is_https", 15), ("has_canonical", 15), ("is_indexable", 15), ("clean", 10), ("has_hreflang", 5), ("NOT is_spa", 10), ("exists", 5), ("exists AND googlebot", 5), ("exists AND gptbot", 5), ("exists AND claudebot", 5), ("t < 200", 10), ("t >= 200 AND t < 500", 7), ("t >= 500 AND t < 1000", 3))} AS access_score FROM f JOIN verdicts USING (page_id)""")
 def p9_crawl_access(spark, sf_dir):
     return pages.access(_parts(spark, sf_dir)).select("page_id", "is_https", "has_canonical", "is_indexable", "has_hreflang", "access_score")
 
@@ -94,10 +159,24 @@ def p13_content_quality(spark, sf_dir):
     return pages.quality(_parts(spark, sf_dir)).select("page_id", "front_loaded", "concise", "self_contained", "fluff", "fact_density", "modular", "readability", "quality_score")
 
 
-@query("SELECT page_id, 'homepage' AS page_type FROM pages WHERE NOT contains(html, 'canonical') AND NOT contains(html, 'ld+json')")
+_TYPES = ("Product", "NewsArticle", "Article", "FAQPage", "LocalBusiness", "Event", "Thing")
+_FOLDERS = ("blog", "shop", "services", "about", "contact", "x")
+
+
+@query(f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<script type="application/ld+json">' || chr(123) || '"@type": "' || ([{', '.join(f"'{t}'" for t in _TYPES)}])[page_id % 7 + 1] || '"' || chr(125) || '</script>' ELSE '' END
+  || CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || '/' || CASE WHEN page_id % 5 = 0 THEN '' ELSE ([{', '.join(f"'{t}'" for t in _FOLDERS)}])[page_id % 6 + 1] || '/' || page_id END || '">' ELSE '' END || coalesce(html, '') AS html FROM pages),
+x AS (SELECT page_id, regexp_extract(html, '(?is)<script[^>]*type="application/ld.json"[^>]*>[^<]*"@type": "([^"]*)"', 1) AS t, regexp_extract(html, '(?is)<link rel="canonical" href="([^"]*)"', 1) AS c FROM h)
+SELECT page_id, CASE WHEN t = 'Product' THEN 'product' WHEN t IN ('BlogPosting', 'NewsArticle') THEN 'blog-post' WHEN t = 'Article' THEN 'article' WHEN t = 'FAQPage' THEN 'faq' WHEN t = 'LocalBusiness' THEN 'local-business' WHEN t = 'Event' THEN 'event'
+  WHEN regexp_matches(c, '(?i)/(blog|news|post|article)/') THEN 'blog-post' WHEN regexp_matches(c, '(?i)/(product|shop|store)/') THEN 'product' WHEN regexp_matches(c, '(?i)/(service|services)/') THEN 'service' WHEN regexp_matches(c, '(?i)/about/') THEN 'about' WHEN regexp_matches(c, '(?i)/contact/') THEN 'contact'
+  WHEN c = '' OR regexp_matches(c, '^[A-Za-z]+://[^/]*/?$') THEN 'homepage' ELSE 'page' END AS page_type FROM x""")
 def p14_page_type(spark, sf_dir):
-    """The driver's pages name no canonical url and no type."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.page_type(F.col("html")).alias("page_type"))
+    """The driver's pages name no canonical url and no type: some of each are put before them, by page number."""
+    n = F.col("page_id")
+    at = lambda names, k: F.get(F.array(*map(F.lit, names)), (n % k).cast("int"))
+    block = F.when(n % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "'), at(_TYPES, 7), F.lit('"}</script>'))).otherwise("")
+    path = F.when(n % 5 == 0, "").otherwise(F.concat(at(_FOLDERS, 6), F.lit("/"), n.cast("string")))
+    link = F.when(n % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0), F.lit("/"), path, F.lit('">'))).otherwise("")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.page_type(F.concat(block, link, F.coalesce("html", F.lit("")))).alias("page_type"))
 
 
 @query()
@@ -126,33 +205,52 @@ def _novelty_sql() -> str:
 
 @query(_novelty_sql())
 def p22_information_gain(spark, sf_dir):
-    return pages.information_gain(_parts(spark, sf_dir)).select("page_id", F.size("novelty").alias("n_signals"), "gain_score")
+    return pages.information_gain(_landmarks(spark, sf_dir)).select("page_id", F.size("novelty").alias("n_signals"), "gain_score")
 
 
 @query(f"WITH {_PARTS}, b AS (SELECT page_id, unnest(list_transform(range(1, len(words)), lambda i: lower(words[i]) || ' ' || lower(words[i + 1]))) AS b FROM p), r AS (SELECT page_id, b FROM b WHERE length(b) > 6 GROUP BY ALL HAVING count(*) >= 2) SELECT p.page_id, coalesce(c.n, 0)::INTEGER AS repeated_pairs, coalesce(floor(c.n / len(words)::DOUBLE * 100 * 100 + 0.5) / 100, 0)::DOUBLE AS pair_density FROM p LEFT JOIN (SELECT page_id, count(*) AS n FROM r GROUP BY page_id) c ON c.page_id = p.page_id")
 def p23_repeated_pairs(spark, sf_dir):
-    return pages.topical_depth(pages.links_of(_parts(spark, sf_dir))).select("page_id", "repeated_pairs", "pair_density")
+    return pages.topical_depth(pages.links_of(_landmarks(spark, sf_dir))).select("page_id", "repeated_pairs", "pair_density")
 
 
-@query()
+_HOST_OF = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)', 1))"
+_OUTSIDE = rf"""lk AS (SELECT *, {_LINKS} AS hrefs FROM p), lo AS (SELECT *, list_filter(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)^(https?:)?//[^/]')), lambda h: {_HOST_OF.format(u='h')} <> {_HOST_OF.format(u='url')}) AS outside, len(list_filter(hrefs, lambda h: regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '(?i)^https?://'))) AS other FROM lk)"""
+
+
+@query(f"""WITH {_PARTS}, {_OUTSIDE}, h AS (SELECT *, list_transform(list_filter({_HEADS}, lambda h: h.level BETWEEN 2 AND 4 AND length(h.text) > 3), lambda h: lower(h.text)) AS topics, len(words) AS n, (len(hrefs) - len(outside) - other) AS internal FROM lo),
+b AS (SELECT page_id, unnest(list_transform(range(1, len(words)), lambda i: lower(words[i]) || ' ' || lower(words[i + 1]))) AS b FROM p), r AS (SELECT page_id, b FROM b WHERE length(b) > 6 GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT page_id, count(*) AS again FROM r GROUP BY page_id),
+d AS (SELECT h.*, len(topics) AS k, len(list_distinct(list_filter(flatten(list_transform(topics, lambda t: string_split(t, ' '))), lambda w: length(w) > 3))) AS vocabulary, CASE WHEN n > 0 THEN coalesce(again, 0) / n::DOUBLE * 100 ELSE 0 END AS density, CASE WHEN len(topics) > 0 THEN n / len(topics)::DOUBLE ELSE n::DOUBLE END AS depth FROM h LEFT JOIN c USING (page_id))
+SELECT page_id, k::INTEGER AS n_subtopics, vocabulary::INTEGER AS heading_words, internal::INTEGER AS internal_links, floor(depth + 0.5)::BIGINT AS depth_ratio, {_points(*_above("k", (3, 15), (5, 10), (8, 5)), *_above("vocabulary", (10, 10), (20, 5)), *_above("internal", (3, 10), (10, 10)), *_above("density", (0.5, 10), (1, 5)), ("depth BETWEEN 100 AND 500", 15), ("depth >= 50 AND NOT depth BETWEEN 100 AND 500", 5), ("n >= 500", 5))} AS depth_score FROM d""")
 def p23_topical_depth(spark, sf_dir):
-    return pages.topical_depth(pages.links_of(_parts(spark, sf_dir))).select("page_id", "n_subtopics", "heading_words", "internal_links", "depth_ratio", "depth_score")
+    return pages.topical_depth(pages.links_of(_landmarks(spark, sf_dir))).select("page_id", "n_subtopics", "heading_words", "internal_links", "depth_ratio", "depth_score")
 
 
-@query()
+def _conversational_sql() -> str:
+    you = _some("t", (r"(?i)<you(r|'re|'ll|'ve)?>",))
+    speaks = f"(len(list_filter(paras, lambda t: {_some('t', pages.STARTERS)})) + len(list_filter(paras, lambda t: {you})))"
+    return rf"""WITH {_PARTS}, h AS (SELECT *, list_transform(list_filter({_HEADS}, lambda h: h.level <= 4), lambda h: h.text) AS heads, list_filter({_paragraphs('seen')}, lambda t: length(t) >= 30) AS paras FROM p),
+r AS (SELECT *, CASE WHEN len(heads) > 0 THEN len(list_filter(heads, lambda t: regexp_matches(t, '(?i)^(what|how|why|when|where|who|which|can|does|is|are|should|could|will)\s') OR t[-1:] = '?')) / len(heads)::DOUBLE ELSE 0 END AS q,
+  CASE WHEN len(paras) > 0 THEN least(1.0, {speaks} / len(paras)::DOUBLE) ELSE 0 END AS l, len(list_filter(paras, lambda t: {_some('t', pages.DIRECT)})) AS direct, {_matches('lower(body_text)', pages.QUERY_PHRASES)} AS phrases FROM h)
+SELECT page_id, q::DOUBLE AS question_ratio, l::DOUBLE AS language_ratio, direct::INTEGER AS direct_answers, phrases::INTEGER AS query_phrases,
+  {_points(*_above("q", (0.1, 5), (0.25, 10), (0.5, 5)), *_above("l", (0.1, 5), (0.2, 10), (0.4, 5)), *_above("direct", (1, 5), (3, 10), (5, 5)), *_above("phrases", (2, 5), (5, 10), (10, 5)), ("l > 0.2 OR q > 0.3 OR " + _some("body_text", (r"(?i)<(you|your|you're)>",)), 20))} AS conversation_score FROM r"""
+
+
+@query(_conversational_sql())
 def p24_conversational(spark, sf_dir):
     return pages.conversational(_parts(spark, sf_dir)).select("page_id", "question_ratio", "language_ratio", "direct_answers", "query_phrases", "conversation_score")
 
 
-@query()
+@query(rf"WITH r AS (SELECT page_id, url, {_ROBOTS} AS robots FROM pages) SELECT page_id, CASE WHEN page_id % 5 = 0 AND length('key-' || md5(url)) BETWEEN 8 AND 128 THEN 80 WHEN coalesce(regexp_matches(robots, '(?i)indexnow'), false) THEN 20 ELSE 0 END::INTEGER AS indexnow_score FROM r")
 def p25_indexnow(spark, sf_dir):
     key = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("key-"), F.md5("url")))
     return _raw(spark, sf_dir).select("page_id", pages.indexnow_score(key, F.col("robots_txt")).alias("indexnow_score"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, n_chars FROM documents) SELECT doc_id, md5('{"lang":' || '"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}') AS content_hash FROM d""")
+@query(f"""WITH {_PARTS}, {_STRUCTURE} SELECT page_id, md5(chr(123) || '"h1_count":' || h1 || ',"list_count":' || lists || ',"table_count":' || tables || ',"word_count":' || word_count || ',"paragraph_count":' || n_paras || ',"n_words":' || len(words) || chr(125)) AS content_hash FROM sa""")
 def p26_content_hash(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", pages.content_hash(F.col("lang"), F.col("source"), F.col("n_chars")).alias("content_hash"))
+    """The hash of what is extracted from a page."""
+    rows = pages.structure(_parts(spark, sf_dir)).withColumn("n_words", F.size("words"))
+    return rows.select("page_id", pages.content_hash(*(F.col(c) for c in ("h1_count", "list_count", "table_count", "word_count", "paragraph_count", "n_words"))).alias("content_hash"))
 
 
 @query("SELECT s_suppkey AS id, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM supplier")
@@ -183,7 +281,7 @@ def p11_schema_accuracy(spark, sf_dir):
 
 @query()
 def p21_hallucination_risk(spark, sf_dir):
-    rows = json_ld.hallucination_risk(json_ld.with_json_ld(_parts(spark, sf_dir)), _as_of())
+    rows = json_ld.hallucination_risk(json_ld.with_json_ld(_landmarks(spark, sf_dir)), _as_of())
     return rows.select("page_id", "contradictions", "inconsistencies", "risk_score", "risk_level")
 
 
@@ -211,7 +309,7 @@ def f12_page_links(spark, sf_dir):
     return urls.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query()
+@query(f"WITH {_VERDICTS} SELECT * FROM verdicts")
 def f13_f14_robots(spark, sf_dir):
     return _raw(spark, sf_dir).select("page_id", pages.robots_summary(F.col("robots_txt")).alias("r")).select("page_id", "r.*")
 
@@ -227,18 +325,22 @@ def _sitemaps(spark, sf_dir, most: int = SITEMAP_URLS):
     return rows.groupBy("site", F.floor(F.col("page_id") / most).alias("run")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("xml")).withColumn("sitemap_url", F.concat(F.lit("https://"), "site", F.when(F.col("run") == 0, "/sitemap.xml").otherwise(F.concat(F.lit("/sitemap-"), F.col("run").cast("string"), F.lit(".xml"))))).drop("run")
 
 
-@query()
+_ENTRIES = rf"""en AS (SELECT {_HOST} AS site, page_id // {SITEMAP_URLS} AS run, page_id, url, CASE WHEN page_id % 2 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS priority FROM pages),
+maps AS (SELECT site, 'https://' || site || CASE WHEN run = 0 THEN '/sitemap.xml' ELSE '/sitemap-' || run || '.xml' END AS sitemap_url, (row_number() OVER (PARTITION BY site, run ORDER BY page_id) - 1)::INTEGER AS ord, url, priority, run FROM en)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT site, sitemap_url, ord, url, priority FROM maps")
 def io4_sitemap_urls(spark, sf_dir):
     return readers.sitemap_urls(_sitemaps(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_ENTRIES} SELECT site, ord, url AS child_url FROM maps")
 def io5_child_sitemaps(spark, sf_dir):
     index = _sitemaps(spark, sf_dir).withColumn("xml", F.replace(F.replace("xml", F.lit("<url>"), F.lit("<sitemap>")), F.lit("</url>"), F.lit("</sitemap>")))
     return readers.child_sitemaps(index, None)
 
 
-@query()
+@query(rf"WITH r AS (SELECT page_id, {_ROBOTS} AS robots FROM pages) SELECT page_id, trim(unnest(regexp_extract_all(robots, '(?im)^sitemap:[ \t]*(\S[^\r\n]*)$', 1))) AS sitemap_url FROM r")
 def io6_robots_sitemaps(spark, sf_dir):
     return _raw(spark, sf_dir).select("page_id", F.explode(readers.robots_sitemaps(F.col("robots_txt"))).alias("sitemap_url"))
 
@@ -256,7 +358,10 @@ def io7_stored_fixes(spark, sf_dir):
     return t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.size(readers.parsed_fixes(fix)).alias("n_fixes"))
 
 
-@query()
+@query(rf"""WITH {_ENTRIES}, links AS ({ORACLE["f12_page_links"]}), c AS (SELECT DISTINCT site, 'https://' || site || '/' AS url, 0 AS rank, 'homepage' AS source, 1.0::DOUBLE AS priority, 0 AS ord FROM en
+  UNION ALL SELECT site, {_NORMAL.format(u='url')}, 1, 'sitemap', priority, run * {SITEMAP_URLS} + ord FROM maps UNION ALL SELECT {_HOST}, l.link, 2, 'link', 0.3, p.page_id FROM links l JOIN pages p USING (page_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY rank, ord, source, priority) AS k FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, rank, ord, url)::INTEGER AS position FROM f WHERE k = 1)
+SELECT site, url, source, priority, position FROM o WHERE position <= 100""")
 def s1_l4_discovered_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("site", urls.host_of(F.col("url")))
     home = rows.select("site").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("url"), F.lit(0).cast("long").alias("ord"))
@@ -266,50 +371,66 @@ def s1_l4_discovered_pages(spark, sf_dir):
 
 
 def _site_entities(spark, sf_dir):
-    """Documents as pages of their source, twenty to a site, with names taken from their numbers and their first words as entities."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = F.col("doc_id")
+    """Pages of their host, with names taken from their numbers and the entities of their whole text."""
+    n = F.col("page_id")
     org = F.when(n % 3 == 0, F.concat(F.lit("Acme "), (n % 7).cast("string"), F.lit(" Inc"))).when(n % 3 == 1, F.concat(F.lit("ACME, "), (n % 7).cast("string"), F.lit(" Inc."))).otherwise(F.concat(F.lit("Beta "), (n % 5).cast("string")))
     author = F.when(n % 4 == 0, "Ann Lee").when(n % 4 == 1, "ann lee").otherwise(F.concat(F.lit("Writer "), (n % 11).cast("string")))
-    site = F.concat("source", F.lit("-"), F.floor(n / 400).cast("string"))
-    top = F.slice(F.split(F.regexp_replace("text", "[^A-Za-z ]+", " "), " +"), 1, 6)
-    return d.select(site.alias("site"), F.format_string("https://example.com/%012d", n).alias("url"), F.array(org).alias("organization_names"), F.array(author).alias("author_names"), top.alias("top_entities"))
+    rows = pages.entities(_parts(spark, sf_dir))
+    url = F.concat("url", F.lit("#"), n.cast("string"))
+    return rows.select(urls.host_of(F.col("url")).alias("site"), url.alias("url"), F.array(org).alias("organization_names"), F.array(author).alias("author_names"), F.array_union("names", "long_names").alias("top_entities"))
+
+
+_SITES = rf"""{_PARTS}, {_RUNS}, e AS (SELECT {_HOST} AS site, url || '#' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'Acme ' || (page_id % 7) || ' Inc' WHEN 1 THEN 'ACME, ' || (page_id % 7) || ' Inc.' ELSE 'Beta ' || (page_id % 5) END AS org,
+  CASE page_id % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'ann lee' ELSE 'Writer ' || (page_id % 11) END AS author, list_concat(single, multi) AS top FROM names)"""
+_NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
 
+def _variants(name: str) -> str:
+    """The name variants of each site, after ``e``."""
+    return rf"""SELECT DISTINCT a.site, a.name FROM d_{name} a JOIN d_{name} b ON a.site = b.site AND a.norm = b.norm AND a.name <> b.name
+UNION SELECT a.site, min(a.name) FROM d_{name} a JOIN (SELECT DISTINCT site, norm FROM d_{name}) b ON a.site = b.site AND a.norm <> b.norm AND (contains(a.norm, b.norm) OR contains(b.norm, a.norm)) GROUP BY a.site, a.norm"""
 
-_SITES = r"""e AS (SELECT source || '-' || (doc_id // 400) AS site, printf('https://example.com/%012d', doc_id) AS url, CASE doc_id % 3 WHEN 0 THEN 'Acme ' || (doc_id % 7) || ' Inc' WHEN 1 THEN 'ACME, ' || (doc_id % 7) || ' Inc.' ELSE 'Beta ' || (doc_id % 5) END AS org,
-  string_split_regex(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' +')[1:6] AS top FROM documents)"""
 
+def _distinct(name: str) -> str:
+    return f"d_{name} AS (SELECT DISTINCT site, {name} AS name, {_NORM.format(x=name)} AS norm FROM e)"
 
-@query(rf"""WITH {_SITES}, d AS (SELECT DISTINCT site, org AS name, trim(regexp_replace(lower(org), '[^a-z0-9]+', ' ', 'g')) AS norm FROM e)
-SELECT DISTINCT a.site, a.name FROM d a JOIN d b ON a.site = b.site AND a.norm = b.norm AND a.name <> b.name
-UNION SELECT a.site, min(a.name) FROM d a JOIN (SELECT DISTINCT site, norm FROM d) b ON a.site = b.site AND a.norm <> b.norm AND (contains(a.norm, b.norm) OR contains(b.norm, a.norm)) GROUP BY a.site, a.norm""")
+
+_OVERLAP = rf"""w AS (SELECT site, url, list_distinct(list_transform(top, lambda x: {_NORM.format(x='x')})) AS own FROM e),
+j AS (SELECT a.site, len(list_intersect(a.own, b.own)) AS i, len(a.own) + len(b.own) AS two FROM w a JOIN w b ON a.site = b.site AND a.url < b.url),
+overlap AS (SELECT n.site, n.pages, coalesce(floor(avg(CASE WHEN two > 0 THEN i / (two - i)::DOUBLE END) * 100 + 0.5), 50)::BIGINT AS overlap FROM (SELECT site, count(*) AS pages FROM w GROUP BY site) n LEFT JOIN j USING (site) GROUP BY n.site, n.pages)"""
+
+
+@query(f"WITH {_SITES}, {_distinct('org')} {_variants('org')}")
 def j12_name_variants(spark, sf_dir):
     return entities.name_variants(_site_entities(spark, sf_dir), "organization_names")
 
 
-@query()
+@query(f"WITH {_SITES}, {_distinct('org')}, v AS ({_variants('org')}) SELECT DISTINCT e.site, e.url FROM e JOIN v ON e.site = v.site AND (contains({_NORM.format(x='e.org')}, {_NORM.format(x='v.name')}) OR contains({_NORM.format(x='v.name')}, {_NORM.format(x='e.org')}))")
 def j13_affected_pages(spark, sf_dir):
     rows = _site_entities(spark, sf_dir)
     return entities.affected_pages(rows, entities.name_variants(rows, "organization_names"), "organization_names")
 
 
-@query(rf"""WITH {_SITES}, s AS (SELECT site, url, list_distinct(list_transform(top, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')))) AS own FROM e),
-j AS (SELECT a.site, len(list_intersect(a.own, b.own)) AS i, len(list_distinct(list_concat(a.own, b.own))) AS u FROM s a JOIN s b ON a.site = b.site AND a.url < b.url)
-SELECT n.site, n.pages, coalesce(floor(avg(CASE WHEN u > 0 THEN i / u::DOUBLE END) * 100 + 0.5), 50)::BIGINT AS overlap FROM (SELECT site, count(*) AS pages FROM s GROUP BY site) n LEFT JOIN j USING (site) GROUP BY n.site, n.pages""")
+@query(f"WITH {_SITES}, {_OVERLAP} SELECT * FROM overlap")
 def j14_entity_overlap(spark, sf_dir):
     return entities.entity_overlap(_site_entities(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_SITES}, {_OVERLAP}, {_distinct('org')}, {_distinct('author')}, vo AS ({_variants('org')}), va AS ({_variants('author')}),
+c AS (SELECT *, (SELECT count(*) FROM vo WHERE vo.site = o.site) AS n_org, (SELECT count(*) FROM va WHERE va.site = o.site) AS n_author FROM overlap o),
+k AS (SELECT site, pages, CASE WHEN pages <= 1 OR n_org <= 1 THEN 100 ELSE greatest(0, 100 - n_org * 20) END::BIGINT AS a, CASE WHEN pages <= 1 OR n_author <= 1 THEN 100 ELSE greatest(0, 100 - n_author * 15) END::BIGINT AS b, CASE WHEN pages <= 1 THEN 100 ELSE overlap END::BIGINT AS x FROM c)
+SELECT site, pages, a AS organization_consistency, b AS author_consistency, x AS entity_overlap, floor(a * 0.35::DOUBLE + b * 0.30::DOUBLE + x * 0.35::DOUBLE + 0.5)::BIGINT AS score FROM k""")
 def a22_site_consistency(spark, sf_dir):
     return entities.site_consistency(_site_entities(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH h AS (SELECT DISTINCT {_HOST} AS domain FROM pages), n AS (SELECT domain, ('0x' || substr(md5(domain), 1, 7))::BIGINT AS n FROM h),
+c AS (SELECT domain, n % 101 AS authority, TIMESTAMP '{AS_OF}' - to_days((n % 60)::INTEGER) + INTERVAL 30 DAY AS expires_at FROM n WHERE n % 3 <> 0)
+SELECT h.domain, c.authority, c.expires_at, c.expires_at IS NULL AS refresh FROM h LEFT JOIN c ON c.domain = h.domain AND c.expires_at >= TIMESTAMP '{AS_OF}'""")
 def j10_authority_cache(spark, sf_dir):
     """Authority of each page's host, cached for 30 days; what is missing or expired is to be refreshed."""
     from ..operators.cache import cached_authority
 
     hosts = spark.read.parquet(f"{sf_dir}/pages.parquet").select(urls.host_of(F.col("url")).alias("domain")).distinct()
-    cache = hosts.withColumn("n", F.crc32(F.col("domain").cast("binary"))).where("n % 3 <> 0").select("domain", (F.col("n") % 101).alias("authority"), F.timestamp_add("DAY", -(F.col("n") % 60).cast("int"), _as_of()).alias("fetched_at"))
+    cache = hosts.withColumn("n", F.conv(F.substring(F.md5("domain"), 1, 7), 16, 10).cast("long")).where("n % 3 <> 0").select("domain", (F.col("n") % 101).alias("authority"), F.timestamp_add("DAY", -(F.col("n") % 60).cast("int"), _as_of()).alias("fetched_at"))
     return cached_authority(hosts, cache, _as_of())

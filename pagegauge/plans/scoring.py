@@ -186,11 +186,14 @@ def f11_unread_alerts(spark, sf_dir):
     return alerts.unread(found, F.lit(7)).select(F.col("scan").alias("id"), "type", "title")
 
 
-@query()
+@query(f"""WITH {_SCANS}, q AS (SELECT *, lag(score) OVER (PARTITION BY project_id, url ORDER BY created_at, id) AS prev FROM scans)
+SELECT id, project_id, 'Scan complete: ' || url || ' scored ' || score || '/100' || CASE WHEN prev IS NULL THEN '' ELSE ' (' || CASE WHEN score > prev THEN '+' ELSE '' END || (score - prev) || ')' END AS text, {_tier('score')} AS tier FROM q""")
 def p33_messages(spark, sf_dir):
     return alerts.scan_messages(view(spark, sf_dir, "scans"))
 
 
-@query()
+@query(f"""WITH {ctes('scans', 'projects')}, r AS (SELECT p.organization_id, date_trunc('week', s.created_at)::DATE AS week, s.project_id, s.score FROM scans s JOIN projects p ON p.id = s.project_id),
+w AS (SELECT organization_id, week, count(*) AS scans, count(DISTINCT project_id) AS projects, floor(avg(score) + 0.5)::BIGINT AS avg_score FROM r GROUP BY ALL)
+SELECT a.organization_id, a.week, a.scans, a.projects, a.avg_score, b.avg_score AS last_score, CASE WHEN a.avg_score > b.avg_score THEN '+' ELSE '' END || (a.avg_score - b.avg_score) AS change FROM w a LEFT JOIN w b ON b.organization_id = a.organization_id AND b.week + 7 = a.week""")
 def p33_weekly_digest(spark, sf_dir):
     return alerts.weekly_digest(view(spark, sf_dir, "scans"), view(spark, sf_dir, "projects"))

@@ -263,7 +263,13 @@ def t5_webhook_breaker(spark, sf_dir):
     return tenants.breaker_states(spark.sql(_DELIVERIES.format(events=f"parquet.`{sf_dir}/events.parquet`")))
 
 
-@query()
+_BAD = r"""CASE WHEN host = '' THEN 'invalid' WHEN lower(regexp_extract(url, '^([A-Za-z]+):', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN regexp_matches(host, '^(localhost|127\.0\.0\.1|0\.0\.0\.0)$|^10\.|^192\.168\.|\.(local|internal)$') THEN 'private_host' END"""
+
+
+@query(rf"""WITH {ctes('organizations')}, u AS (SELECT page_id % 40 AS request_id, page_id % 40 AS organization_id, page_id AS ord, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host FROM pages),
+r AS (SELECT u.*, o.plan_tier, o.crawl_credits_remaining AS left_, CASE o.plan_tier WHEN 'agency' THEN 100 WHEN 'enterprise' THEN 1000 END AS cap, {_BAD} AS bad, count(*) OVER (PARTITION BY request_id) AS n FROM u JOIN organizations o ON o.id = u.organization_id),
+k AS (SELECT *, count(*) FILTER (bad IS NULL) OVER (PARTITION BY request_id ORDER BY ord) AS nth FROM r)
+SELECT request_id, organization_id, ord, url, CASE WHEN cap IS NULL THEN 'plan' WHEN n > cap THEN 'too_many' WHEN bad IS NOT NULL THEN bad WHEN nth > left_ THEN 'no_credits' END AS reject_reason FROM k""")
 def f6_bulk_requests(spark, sf_dir):
     """Each site's pages as one request of the organization with its number."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
