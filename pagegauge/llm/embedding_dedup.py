@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import written
+from .tables import discard, join_by_weight, written
 
 THRESHOLD = 0.93
-TILE = 2048
+#: Rows of a tile; each vector is sent to as many tasks as its label has tiles.
+TILE = 4096
 #: What rounding in double precision can add to the bound.
 SLACK = 1e-9
 
@@ -36,6 +37,12 @@ def linkable(vector: Column, label: Column, vec_id: Column) -> Column:
     return vec_id.isNotNull() & label.isNotNull() & vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _marks() -> dict[str, Column]:
+    """A class by 128 bits of its label and vector; the sum with 0 makes -0.0 and 0.0 one."""
+    vector = F.transform("embedding", lambda x: (x + F.lit(0)).cast("double"))
+    return {"mark1": F.xxhash64("label", vector), "mark2": F.xxhash64(vector, "label", F.lit("second"))}
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     # scaled first, so that neither very large nor very small components leave the range of a double when squared
     x = x / np.abs(x).max(1, keepdims=True)
@@ -116,7 +123,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     fit = rows.where(linkable(F.col("embedding"), F.col("label"), F.col("vec_id")))
     # -0.0 and 0.0 are one value to groupBy, as they are to the cosine
-    classes = written(fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")), "vector-classes")
+    classes = fit.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"))
+    classes = written(classes.withColumns(_marks()), "vector-classes")
     tiles = classes.groupBy("label", F.size("embedding").alias("dims")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     placed = classes.withColumn("dims", F.size("embedding")).join(tiles, ["label", "dims"])
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -129,8 +137,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_class = classes.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    per_class = per_class.select("label", "embedding", F.col("size"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(per_class, ["label", "embedding"], "left")
-    # rows that are not linkable have no class: their label is null or their vector is in none
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long")
+    per_class = written(per_class.select("mark1", "mark2", "size", n_links.alias("n_links"), F.coalesce("component", "id").alias("component_id")), "vector-components")
+    discard(classes, found)
+    # a vector that very many rows have is no hot key: its class is broadcast
+    linked = join_by_weight(fit.withColumns(_marks()).select("vec_id", "mark1", "mark2"), per_class, ["mark1", "mark2"], "size")
+    linked = linked.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = rows.where(~F.coalesce(linkable(F.col("embedding"), F.col("label"), F.col("vec_id")), F.lit(False)))
+    return linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))

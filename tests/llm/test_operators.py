@@ -190,6 +190,12 @@ def test_mixing_shortage_goes_to_siblings_first(spark):
     assert {r["source"]: r["n"] for r in out.collect()} == {"xa": 10, "xb": 40, "yc": 50}
 
 
+def test_mixed_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", "en", "s", 77, "mine")], "doc_id long, text string, lang string, source string, epoch int, Taken string")
+    out = mixing.mixed(df, F.col("source"), 1.0, 1)
+    assert out.columns == [*df.columns, "epoch_", "taken_"] and [tuple(r) for r in out.collect()] == [(1, "a b c d", "en", "s", 77, "mine", 0, 4)]
+
+
 def test_mixing_odd(odd, none):
     out = mixing.mixed(odd, F.col("source"), 0.5, 2)
     assert out.columns == [*odd.columns, "epoch", "taken"]
@@ -219,6 +225,14 @@ def test_embedding_dedup(spark, sf_dir):
         assert got == expected
 
 
+def test_embedding_dedup_without_broadcast(spark, sf_dir, monkeypatch):
+    """Classes meet their vectors by shuffle, a vector that many have by broadcast."""
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(i, [1.0, 0.0 if i % 2 else -0.0], 1) for i in range(40)] + [(100 + i, [0.1 * i, 1.0], 1) for i in range(20)], "vec_id long, embedding array<float>, label int")
+    expected = _embeddings([tuple(r) for r in df.collect()])
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()} == expected
+
+
 def test_embedding_dedup_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [1.0], 1), (12, [1e-30, 0.0], 1), (13, [1e30, 0.0], 1), (14, [], 1)]
@@ -286,6 +300,25 @@ def test_ngram_join_odd(odd, none):
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for k, r in enumerate(ODD) if k not in (5, 7))
 
 
+def test_keep_one_judges_every_row(spark):
+    t, u = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(3, t), (7, t), (7, u), (None, u), (None, "v w x"), (9, None), (9, None), (2, " ".join([t, "end"]))]
+    out = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [rows[7], (None, u), (None, "v w x"), (9, None), (9, None)]))
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default="": default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(Session)
+
+
 def test_line_dedup_texts(docs, pairs):
     gone = {r["doc_id"]: r["removed"] for r in line_dedup.line_marks(docs).collect()}
     texts = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs).collect()}
@@ -403,6 +436,32 @@ def test_language_trees_are_exact():
         assert np.allclose(tree.bits(grams), [bits(p[i - 3 : i], p[i]) for i in range(3, len(p))])
 
 
+def test_identify_by_the_definition(spark):
+    """The language of the fewest bits, its probability against the others, and bits a byte."""
+    rows = [(1, "the cat sat on the mat and the hat", "en"), (2, "le chat est sur la table et le lit", "fr"), (3, "die katze sitzt auf der matte", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.learn(df, F.lit(True))
+    assert list(trees) == ["de", "en", "fr"]
+    texts = ["the mat", "la table", "der Hut", "zzz", "9 !", "", None]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        bits = {lang: float(tree.bits(language_id._grams(pa.array([text]))[0]).sum()) for lang, tree in trees.items()}
+        best = min(bits, key=bits.get)
+        assert got[i]["lang_pred"] == best and np.isclose(got[i]["score"], 1 / sum(2 ** (bits[best] - b) for b in bits.values()))
+        assert np.isclose(got[i]["bits_per_byte"], bits[best] / len(text.encode()))
+
+
+def test_language_learns_from_long_texts_and_the_largest_labels(spark):
+    long = [(i, " ".join(f"{w}{i % 7}{k % 11}" for k in range(30_000)), lang) for i, (w, lang) in enumerate((("oui", "fr"), ("yes", "en"), ("ja", "de")))]
+    df = spark.createDataFrame([*long, (9, "x", "dirty")], "doc_id long, text string, lang string")
+    assert list(language_id.learn(df, F.lit(True), train_bytes=100_000, most=3)) == ["de", "en", "fr"]
+    got = language_id.identify(df, language_id.learn(df, F.lit(True), train_bytes=100_000, most=3)).join(df, "doc_id").where("lang <> 'dirty'").collect()
+    assert len(got) == 3 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_language_id_held_out(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     held = language_id.held_out(F.col("doc_id"))
@@ -421,6 +480,48 @@ def test_language_id_odd(odd, none, docs):
     assert language_id.learn(none, F.lit(True)) == {} and {r["lang_pred"] for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def _ratings(seed: int):
+    rng = np.random.default_rng(seed)
+    doc = np.repeat(np.arange(60), 6)
+    return doc, rng.integers(0, 15, len(doc)), rng.integers(0, 3, 60), rng
+
+
+def test_quality_slopes_are_those_of_the_likelihood():
+    doc, column, grade, rng = _ratings(1)
+    w, base, gap = rng.normal(size=15), -0.3, 0.2
+
+    def value(w, base, gap):
+        z = np.array([w[column[doc == d]].sum() for d in range(60)])
+        above = [np.ones(60), *(1 / (1 + np.exp(-(z - t))) for t in (base, base + np.exp(gap))), np.zeros(60)]
+        return -np.mean([np.log(above[g][d] - above[g + 1][d]) for d, g in enumerate(grade)])
+
+    loss, slope, s_base, s_gap = quality.loss_and_slope(w, base, gap, doc, column, grade)
+    e = 1e-6
+    assert np.isclose(loss, value(w, base, gap))
+    assert np.isclose(s_base, (value(w, base + e, gap) - value(w, base - e, gap)) / (2 * e), atol=1e-6) and np.isclose(s_gap, (value(w, base, gap + e) - value(w, base, gap - e)) / (2 * e), atol=1e-6)
+    for j in range(15):
+        step = np.eye(15)[j] * e
+        assert np.isclose(slope[j], (value(w + step, base, gap) - value(w - step, base, gap)) / (2 * e), atol=1e-6)
+
+
+def test_quality_fit_is_the_optimum():
+    """The problem is convex: no slope is left but what the penalty holds."""
+    doc, column, grade, _ = _ratings(2)
+    l1 = 5e-3
+    model = quality.fit(doc, column, grade, l1=l1, rounds=3_000)
+    w, (t0, t1) = model.weights[:15], model.thresholds
+    _, slope, s_base, s_gap = quality.loss_and_slope(w, t0, np.log(t1 - t0), doc, column, grade)
+    assert abs(s_base) < 1e-4 and abs(s_gap) < 1e-4
+    assert np.all(np.where(w != 0, np.abs(slope + l1 * np.sign(w)) < 1e-4, np.abs(slope) <= l1 + 1e-4)) and (w != 0).any() and (w == 0).any()
+
+
+def test_quality_learns_one_text_of_each_id(spark):
+    df = spark.createDataFrame([(1, "good words")] * 50 + [(2, "bad words")] * 50 + [(i, f"good {i}") for i in range(3, 20)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 0 if i == 2 else 2) for i in range(1, 20)], "doc_id long, grade int")
+    model = quality.learn(df, ratings)
+    assert model is not None and np.array_equal(model.weights, quality.learn(df.distinct(), ratings).weights)
+
+
 def test_quality_held_out(spark):
     docs, labels = (read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     grades = quality.graded(labels)
