@@ -142,19 +142,50 @@ def p9_crawl_access(spark, sf_dir):
     return pages.access(_parts(spark, sf_dir)).select("page_id", "is_https", "has_canonical", "is_indexable", "has_hreflang", "access_score")
 
 
-@query()
+_HOST_OF = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)', 1))"
+_OUTSIDE = rf"""lk AS (SELECT *, {_LINKS} AS hrefs FROM p), lo AS (SELECT *, list_filter(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)^(https?:)?//[^/]')), lambda h: {_HOST_OF.format(u='h')} <> {_HOST_OF.format(u='url')}) AS outside, len(list_filter(hrefs, lambda h: regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '(?i)^https?://'))) AS other FROM lk)"""
+_IMAGES = r"""regexp_extract_all(seen, '(?is)<img\s[^>]*>')"""
+_ALTS = rf"""len(list_filter({_IMAGES}, lambda t: length(trim(regexp_extract(t, '(?is)\salt\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1) || regexp_extract(t, '(?is)\salt\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 2))) > 5))"""
+# the pages of the driver have no JSON-LD: dates and authors come from meta, time and author elements
+_DATED = r"""dt AS (SELECT *, nullif(coalesce(nullif(trim(regexp_extract(seen, '(?is)<meta\s[^>]*property=["'']article:(?:modified|published)_time["''][^>]*content=["'']([^"'']*)', 1)), ''), nullif(regexp_extract(seen, '(?is)<time[^>]*\sdatetime=["'']([^"'']*)', 1), '')), '') AS dated,
+  nullif(""" + _text(r"""regexp_extract(seen, '(?is)<[a-z]+[^>]*(?:rel=["'']author["'']|class=["''][^"'']*(?:author|byline)[^"'']*["''])[^>]*>(.*?)</', 1)""") + r""", '') AS author, lower(array_to_string(hrefs, ' ')) AS link_text FROM lo)"""
+
+
+@query(rf"""WITH {_PARTS}, {_OUTSIDE}, {_DATED}, f AS (SELECT *, {_matches('text', pages.STATISTICS)} AS statistics, len(list_distinct(list_transform(outside, lambda h: {_HOST_OF.format(u='h')}))) AS hosts, len({_IMAGES}) AS images, {_ALTS} AS alts,
+  len(list_filter(hrefs, lambda h: contains(h, 'privacy') OR contains(h, 'terms') OR contains(h, 'contact'))) AS trust, regexp_matches(seen, '(?i)<video[\s>]|<iframe[^>]*src=["''][^"'']*(youtube|vimeo|wistia)') AS video, coalesce(TRY_CAST(dated AS TIMESTAMP) < TIMESTAMP '{AS_OF}' AND TRY_CAST(dated AS TIMESTAMP) > TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY, false) AS fresh FROM dt)
+SELECT page_id, statistics::INTEGER AS statistics, hosts::INTEGER AS n_hosts, images::INTEGER AS n_images, trust::INTEGER AS n_trust_links,
+  {_points(*_above("statistics", (1, 10), (3, 5), (5, 5)), *_above("hosts", (1, 10), (3, 5), (5, 5)), *_above("images", (1, 5), (2, 5)), ("alts > 0 AND alts >= images * 0.8", 5), ("video", 5), ("dated IS NOT NULL", 5), ("fresh", 10), ("author IS NOT NULL", 15), ("trust >= 2", 10))} AS richness_score FROM f""")
 def p10_content_richness(spark, sf_dir):
     rows = pages.dates_and_author(pages.links_of(_parts(spark, sf_dir)), _as_of())
     return pages.richness(rows).select("page_id", "statistics", F.size("external_hosts").alias("n_hosts"), "n_images", "n_trust_links", "richness_score")
 
 
-@query()
+@query(rf"""WITH {_PARTS}, {_OUTSIDE}, {_DATED}, f AS (SELECT *, {_text(r"""array_to_string(regexp_extract_all(seen, '(?is)<[a-z]+[^>]*class=["''][^"'']*author[^"'']*["''][^>]*>(.*?)</(?:div|section|p|span|aside)>', 1), ' ')""")} AS section,
+  len(list_filter(list_distinct(list_transform(outside, lambda h: {_HOST_OF.format(u='h')})), lambda h: {" OR ".join(f"contains(h, '{d}')" for d in pages.AUTHORITY_DOMAINS)})) AS sources, {" + ".join(f"({' OR '.join(f"contains(link_text, '{x}')" for x in names)})::INTEGER" for names in (("privacy",), ("terms", "tos"), ("contact",), ("about",)))} AS trust,
+  coalesce(TRY_CAST(dated AS TIMESTAMP) < TIMESTAMP '{AS_OF}' AND TRY_CAST(dated AS TIMESTAMP) > TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY, false) AS fresh FROM dt),
+g AS (SELECT *, regexp_matches(seen, '(?i)class=["''][^"'']*(author-bio|about-author|author-description|author-info)') AND length(section) > 50 AS bio, author IS NOT NULL AND ({_some("section", (r"(?i)<(ph\.?d|m\.?d|m\.?s|m\.?b\.?a|j\.?d|cpa|cfa|rn)>", r"(?i)<(professor|doctor|dr\.|certified|licensed|registered)", r"(?i)<(expert|specialist|consultant|analyst|researcher)>", r"(?i)<(\d+\+?\s+years?\s+(of\s+)?experience)>"))}) AS titles FROM f)
+SELECT page_id, author, bio AS has_bio, titles AS has_credentials, trust::INTEGER AS trust_pages, sources::INTEGER AS authority_links,
+  {_points(("author IS NOT NULL", 20), ("bio", 15), ("titles", 10), ("dated IS NOT NULL", 5), ("fresh", 10), *((f"trust >= {k}", 5) for k in (1, 2, 3, 4)), *_above("sources", (1, 8), (3, 7), (5, 5)))} AS author_score FROM g""")
 def p12_author_trust(spark, sf_dir):
     rows = pages.dates_and_author(pages.links_of(_parts(spark, sf_dir)), _as_of())
     return pages.author_trust(rows).select("page_id", "author", "has_bio", "has_credentials", "trust_pages", "authority_links", "author_score")
 
 
-@query()
+def _quality_sql() -> str:
+    front = "length(f) > 30 AND NOT starts_with(f, 'In this') AND NOT starts_with(f, 'Here') AND length(string_split_regex(f, '[.!?]')[1]) > 20 AND length(string_split_regex(f, '[.!?]')[1]) < 200"
+    pronouns = ", ".join(f"'{w}'" for w in pages.PRONOUNS)
+    fillers = "len(regexp_extract_all(lower(text), '" + r"\b(" + "|".join(pages.FILLERS) + r")\b" + "'))"
+    return rf"""WITH {_PARTS}, h AS (SELECT *, {_HEADS} AS all_heads, list_transform({_paragraphs('seen')}, lambda t: string_split(lower(t), ' ')) AS paras, list_filter(list_transform(string_split_regex(main, '(?is)<h[23](?:\s[^>]*)?>.*?</h[1-6]>'), lambda x: {_text('x')}), lambda x: x <> '') AS sections, len({_IMAGES}) AS images, {_ALTS} AS alts, len(words) AS n FROM p),
+mh AS (SELECT *, list_filter(all_heads, lambda h: h.level <= 4) AS heads FROM h),
+q AS (SELECT *, {_MARKED} AS marked, len(list_filter(list_transform(sections, lambda s: array_to_string(string_split(s, ' ')[1:60], ' ')), lambda f: {front})) AS front, len(list_filter(paras, lambda p: len(p) BETWEEN 30 AND 70)) AS concise, list_filter(paras, lambda p: len(p) >= 15) AS long, {fillers} AS fillers,
+  len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: length(trim(s)) > 10)) AS sentences, {_matches('text', pages.FACTS)} AS facts, len(list_filter(sections, lambda s: len(string_split(s, ' ')) BETWEEN 50 AND 500)) AS modular FROM mh),
+r AS (SELECT *, CASE WHEN len(long) > 0 THEN floor((1 - len(list_filter(long, lambda p: len(list_filter(p, lambda w: w IN ({pronouns}))) / len(p)::DOUBLE > 0.08)) / len(long)::DOUBLE) * 100 + 0.5) ELSE 50 END::BIGINT AS own, floor(greatest(0.0, 1 - CASE WHEN n > 0 THEN fillers / n::DOUBLE ELSE 0 END * 20) * 100 + 0.5)::BIGINT AS fluff, CASE WHEN n > 0 THEN facts / n::DOUBLE * 100 ELSE 0 END AS density,
+  len(list_filter(marked, lambda t: {" OR ".join(f"contains(lower(t), '{x}')" for x in pages.TLDR_QUALITY)})) > 0 AS tldr, CASE WHEN images > 0 THEN floor(alts / images::DOUBLE * 100 + 0.5) ELSE 100 END AS alt, floor(greatest(0.0, least(100.0, 100 - (CASE WHEN sentences > 0 THEN n / sentences::DOUBLE ELSE 20 END - 15) * 3)) + 0.5)::BIGINT AS ease FROM q)
+SELECT page_id, front::INTEGER AS front_loaded, concise::INTEGER AS concise, own AS self_contained, fluff, density::DOUBLE AS fact_density, modular::INTEGER AS modular, ease AS readability,
+  {_points(*_above("front", (1, 5), (3, 5), (5, 5)), *_above("concise", (2, 5), (5, 5)), *_above("own", (70, 5), (85, 5)), *_above("fluff", (70, 5), (85, 5), (95, 5)), *_above("density", (0.5, 5), (1, 5), (2, 5)), ("tldr", 10), *_above("modular", (3, 5), (5, 5)), *_above("alt", (80, 5), (95, 5)), ("ease >= 60", 5))} AS quality_score FROM r"""
+
+
+@query(_quality_sql())
 def p13_content_quality(spark, sf_dir):
     return pages.quality(_parts(spark, sf_dir)).select("page_id", "front_loaded", "concise", "self_contained", "fluff", "fact_density", "modular", "readability", "quality_score")
 
@@ -179,17 +210,34 @@ def p14_page_type(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.page_type(F.concat(block, link, F.coalesce("html", F.lit("")))).alias("page_type"))
 
 
-@query()
+@query(rf"""WITH {_PARTS}, f AS (SELECT page_id, len(regexp_extract_all(seen, '(?i)<(?:[a-z0-9]+\s(?:[^>]*\s)?(?:class=["''][^"'']*(?:faq|accordion)|id=["''][^"'']*faq)|details[\s>]|dt[\s>])')) AS blocks,
+  len(list_filter({_HEADS}, lambda h: h.level BETWEEN 2 AND 4 AND (regexp_matches(h.text, '{pages.QUESTION}') OR h.text[-1:] = '?'))) AS asked, len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld.json["''][^>]*>(.*?)</script>', 1), lambda b: regexp_matches(b, '"@type"\s*:\s*"FAQPage"'))) > 0 AS s FROM p)
+SELECT page_id, s AS faq_schema, blocks::INTEGER AS qa_blocks, asked::INTEGER AS question_headings, {_points(("s", 25), *_above("blocks", (1, 15), (3, 10), (5, 5)), *_above("asked", (1, 15), (3, 10), (5, 5)))} AS faq_score FROM f""")
 def p5_faq(spark, sf_dir):
     return pages.faq(_parts(spark, sf_dir)).select("page_id", "faq_schema", "qa_blocks", "question_headings", "faq_score")
 
 
-@query()
+@query(rf"""WITH {_PARTS}, r AS (SELECT *, {_ROBOTS} AS robots, regexp_extract_all(html, '(?is)<link\s[^>]*>') AS tags, {_LINKS} AS hrefs FROM p), f AS (SELECT *, len(list_filter(tags, lambda t: regexp_matches(t, '(?i)type=["'']application/rss.xml["'']') AND regexp_matches(t, '(?i)href=["''][^"'']'))) AS rss, len(list_filter(tags, lambda t: regexp_matches(t, '(?i)type=["'']application/atom.xml["'']') AND regexp_matches(t, '(?i)href=["''][^"'']'))) AS atom,
+  len(list_filter(hrefs, lambda h: regexp_matches(h, 'sitemap.*\.xml'))) > 0 OR coalesce(regexp_matches(robots, '(?im)^sitemap:\s*\S'), false) AS sitemap, len(list_filter(tags, lambda t: regexp_matches(t, 'href=["''][^"'']*llms(\.txt|-full)'))) > 0 OR len(list_filter(hrefs, lambda h: contains(h, 'llms.txt'))) > 0 AS llms, len(list_filter(tags, lambda t: regexp_matches(t, '(?i)rel=["'']manifest["'']'))) > 0 AS manifest FROM r)
+SELECT page_id, rss::INTEGER AS n_rss, atom::INTEGER AS n_atom, sitemap AS has_sitemap, llms AS has_llms_txt, {_points(("rss > 0 OR atom > 0", 25), ("sitemap", 30), ("manifest", 10), ("llms", 25), ("rss > 0 AND atom > 0", 5), ("rss + atom >= 2", 5))} AS feed_score FROM f""")
 def p7_feeds(spark, sf_dir):
     return pages.feeds(_parts(spark, sf_dir)).select("page_id", "n_rss", "n_atom", "has_sitemap", "has_llms_txt", "feed_score")
 
 
-@query()
+def _sensitivity_sql() -> str:
+    density = ", ".join(f"{{'d': {_matches('body_text', (f'(?i)<({words})>',))} / n::DOUBLE, 'k': {-k}, 'name': '{name}', 'asks': [{', '.join(f"'{s}'" for s in signals)}]}}" for k, (name, words, signals) in enumerate(pages.SENSITIVE))
+    signals = {
+        "namedAuthor": r"""regexp_matches(html, '(?i)rel=["'']author["'']|class=["''][^"'']*(author-name|byline)|itemprop=["'']author')""", "authorCredentials": r"""regexp_matches(html, '(?is)class=["''][^"'']*author[^"'']*["''].{0,400}?\b(ph\.?d|m\.?d|m\.?s|certified|licensed|professor|doctor)\b')""",
+        **{name: " OR ".join("contains(lower(body_text), '" + t.replace("'", "''") + "')" for t in texts) for name, texts in pages.DISCLAIMERS.items()}, "dateModified": r"""regexp_matches(html, '(?i)<meta[^>]*property=["'']article:modified_time|<time[^>]*\sdatetime=')""", "primarySources": "len(outside) >= 3",
+    }
+    held = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in signals.items())
+    return rf"""WITH {_PARTS}, {_OUTSIDE}, w AS (SELECT *, greatest(1, len(string_split(body_text, ' '))) AS n FROM lo), d AS (SELECT *, list_sort(list_filter([{density}], lambda x: x.d > 0.005), 'DESC')[1] AS top, list_filter([{held}], lambda x: x IS NOT NULL) AS held FROM w),
+y AS (SELECT *, coalesce(top.d > 0.01, false) AS ymyl FROM d)
+SELECT page_id, ymyl AS is_ymyl, CASE WHEN ymyl THEN top.name END AS ymyl_category, CASE WHEN NOT ymyl THEN 'low' WHEN top.d > 0.03 THEN 'high' WHEN top.d > 0.015 THEN 'medium' ELSE 'low' END AS ymyl_confidence, CASE WHEN ymyl THEN array_to_string(list_filter(top.asks, lambda x: NOT list_contains(held, x)), ',') END AS missing,
+  CASE WHEN ymyl THEN floor(len(list_filter(top.asks, lambda x: list_contains(held, x))) / len(top.asks)::DOUBLE * 100 + 0.5) ELSE 100 END::BIGINT AS trust_score FROM y"""
+
+
+@query(_sensitivity_sql())
 def p20_sensitivity(spark, sf_dir):
     """P20 and S3."""
     rows = pages.sensitivity(pages.links_of(_parts(spark, sf_dir)))
@@ -213,10 +261,6 @@ def p23_repeated_pairs(spark, sf_dir):
     return pages.topical_depth(pages.links_of(_landmarks(spark, sf_dir))).select("page_id", "repeated_pairs", "pair_density")
 
 
-_HOST_OF = r"lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#:]*)', 1))"
-_OUTSIDE = rf"""lk AS (SELECT *, {_LINKS} AS hrefs FROM p), lo AS (SELECT *, list_filter(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)^(https?:)?//[^/]')), lambda h: {_HOST_OF.format(u='h')} <> {_HOST_OF.format(u='url')}) AS outside, len(list_filter(hrefs, lambda h: regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(h, '(?i)^https?://'))) AS other FROM lk)"""
-
-
 @query(f"""WITH {_PARTS}, {_OUTSIDE}, h AS (SELECT *, list_transform(list_filter({_HEADS}, lambda h: h.level BETWEEN 2 AND 4 AND length(h.text) > 3), lambda h: lower(h.text)) AS topics, len(words) AS n, (len(hrefs) - len(outside) - other) AS internal FROM lo),
 b AS (SELECT page_id, unnest(list_transform(range(1, len(words)), lambda i: lower(words[i]) || ' ' || lower(words[i + 1]))) AS b FROM p), r AS (SELECT page_id, b FROM b WHERE length(b) > 6 GROUP BY ALL HAVING count(*) >= 2), c AS (SELECT page_id, count(*) AS again FROM r GROUP BY page_id),
 d AS (SELECT h.*, len(topics) AS k, len(list_distinct(list_filter(flatten(list_transform(topics, lambda t: string_split(t, ' '))), lambda w: length(w) > 3))) AS vocabulary, CASE WHEN n > 0 THEN coalesce(again, 0) / n::DOUBLE * 100 ELSE 0 END AS density, CASE WHEN len(topics) > 0 THEN n / len(topics)::DOUBLE ELSE n::DOUBLE END AS depth FROM h LEFT JOIN c USING (page_id))

@@ -63,6 +63,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_sql(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", "TIMESTAMP_NTZ"))
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, table: str = "events") -> DataFrame:
+    """A view over one of the driver's tables as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{table}.parquet*")
+    stream.createOrReplaceTempView(f"arriving_{table}")
+    return spark.sql(_sql(name, lambda t: f"arriving_{t}", "TIMESTAMP_NTZ"))
+
+
 def ctes(*names: str) -> str:
     """The views as DuckDB table expressions, to stand after WITH."""
     return ",\n".join(f"{n} AS ({_sql(n, lambda t: t, 'TIMESTAMP')})" for n in names)

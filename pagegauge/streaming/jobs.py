@@ -6,10 +6,11 @@ micro-batch; earlier micro-batches come first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -115,3 +116,20 @@ def breaker_stream(deliveries: DataFrame, limit: int = 10) -> DataFrame:
 def last_of_each(states: DataFrame, key: str) -> DataFrame:
     """The newest emitted state of each key."""
     return states.groupBy(key).agg(F.max_by(F.struct(*(c for c in states.columns if c != key)), "seq").alias("x")).select(key, "x.*")
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that has arrived by now, into the folder that driver and executors share, and reads it back.
+
+    In "complete" mode each micro-batch replaces the result. A restart goes on from the stream's own checkpoint.
+    """
+    spark: SparkSession = stream.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{path}/state")
+    if mode == "append":
+        out = out.format("parquet").option("path", f"{path}/rows")
+    else:
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
