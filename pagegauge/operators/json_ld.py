@@ -24,21 +24,30 @@ FLAGS = {
 }
 
 
-def _collect_types(node, out: list[str]) -> None:
-    """``@type`` of an object, of its ``@graph`` and of the objects in its values; other arrays are not entered."""
-    if not isinstance(node, dict):
-        return
-    own = node.get("@type")
-    out += [own] if isinstance(own, str) else [t for t in own if isinstance(t, str)] if isinstance(own, list) else []
-    graph = node.get("@graph")
-    for child in [*(graph if isinstance(graph, list) else []), *(v for v in node.values() if isinstance(v, dict))]:
-        _collect_types(child, out)
+def _walk_node(root: dict, name: str) -> tuple[list[str], bool]:
+    """``@type`` of an object, of its ``@graph`` and of the objects in its values, other arrays not entered; whether ``name`` is a key anywhere.
 
-
-def _mentions(node, name: str) -> bool:
-    if isinstance(node, list):
-        return any(_mentions(x, name) for x in node)
-    return isinstance(node, dict) and (name in node or any(_mentions(v, name) for v in node.values()))
+    A stack of its own, so that no depth of nesting ends the walk. Beside each node: whether its types count.
+    """
+    types: list[str] = []
+    named = False
+    left = [(root, True)]
+    while left:
+        node, counts = left.pop()
+        if isinstance(node, list):
+            left += [(x, False) for x in node]
+            continue
+        if not isinstance(node, dict):
+            continue
+        named = named or name in node
+        own = node.get("@type")
+        if counts:
+            types += [own] if isinstance(own, str) else [t for t in own if isinstance(t, str)] if isinstance(own, list) else []
+        graph = node.get("@graph")
+        inside = [(x, counts) for x in graph] if isinstance(graph, list) else []
+        inside += [(v, counts) for v in node.values() if isinstance(v, dict)] + [(v, False) for v in node.values() if isinstance(v, list) and v is not graph]
+        left += reversed(inside)
+    return types, named
 
 
 def _text(value) -> str | None:
@@ -72,15 +81,16 @@ def _walk(blocks) -> dict:
             continue
         try:
             parsed = json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested too deep to be read
             n_bad += 1
             continue
         for node in parsed if isinstance(parsed, list) else [parsed]:
             if not isinstance(node, dict):
                 continue
             n_objects += 1
-            _collect_types(node, types)
-            speakable = speakable or _mentions(node, "speakable")
+            found, named = _walk_node(node, "speakable")
+            types += found
+            speakable = speakable or named
             items.append(_item(node, True))
             graph = node.get("@graph")
             items += [_item(g, False) for g in graph if isinstance(g, dict)] if isinstance(graph, list) else []

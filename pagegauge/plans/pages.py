@@ -311,21 +311,46 @@ def p30_freshness(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", is_recent(F.col("ts"), _as_of(), 10).alias("recent"))
 
 
-@query()
+# blocks of JSON-LD by page number, as the driver's pages have none
+_BLOCKS = (
+    "",
+    '{"@type": "Article", "headline": "Weekly notes", "author": {"@type": "Person", "name": "Ann Lee"}, "datePublished": "2024-01-10"}',
+    '{"@type": "Product", "name": "Widget", "datePublished": "2031-05-01", "aggregateRating": {"@type": "AggregateRating", "ratingValue": 7, "bestRating": 5}}',
+    '{"@type": }',
+    '[{"@type": "Organization", "name": ""}, {"@type": "WebSite", "speakable": {"@type": "SpeakableSpecification"}}]',
+)
+
+
+def _marked_up(spark, sf_dir):
+    """``pages`` with a block of JSON-LD before some."""
+    block = F.get(F.array(*map(F.lit, _BLOCKS)), (F.col("page_id") % len(_BLOCKS)).cast("int"))
+    return _raw(spark, sf_dir).withColumn("html", F.concat(F.when(block == "", "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))), F.coalesce("html", F.lit(""))))
+
+
+_LD = f"""ld AS (SELECT *, page_id % 5 AS k, {_HEADS} AS heads, {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM p),
+lt AS (SELECT *, coalesce(list_filter(heads, lambda h: h.level = 1)[1].text, '') AS h1, CASE k WHEN 1 THEN 'weekly notes' WHEN 2 THEN 'widget' END AS said FROM ld),
+lf AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(h1), '[^a-z0-9]+', ' ', 'g')) AS nh FROM lt)"""
+
+
+@query(rf"""WITH {_PARTS}, ty AS (SELECT page_id, ([[], ['article', 'person'], ['product', 'aggregaterating'], [], ['organization', 'website', 'speakablespecification']])[page_id % 5 + 1] AS types, regexp_matches(html, '(?i)<[^>]*\sitemscope') AS micro, page_id % 5 AS k FROM p)
+SELECT page_id, len(types)::INTEGER AS n_types, micro AS has_microdata, k = 4 AS is_speakable, least(100, CASE WHEN len(types) > 0 THEN 20 ELSE 0 END + CASE WHEN len(types) >= 3 THEN 15 ELSE 0 END + least(10 * len(list_filter(types, lambda x: x IN ({', '.join(f"'{v}'" for v in json_ld.VALUABLE)}))), 40)
+  + CASE WHEN k = 4 THEN 10 ELSE 0 END + CASE WHEN k IN (1, 2, 4) THEN 5 ELSE 0 END + CASE WHEN k IN (1, 2, 4) AND micro THEN 5 ELSE 0 END)::BIGINT AS schema_score FROM ty""")
 def p2_p3_schema_types(spark, sf_dir):
-    rows = json_ld.schema_score(json_ld.with_json_ld(_raw(spark, sf_dir)))
+    rows = json_ld.schema_score(json_ld.with_json_ld(_marked_up(spark, sf_dir)))
     return rows.select("page_id", F.size("schema_types").alias("n_types"), "has_microdata", "is_speakable", "schema_score")
 
 
-@query()
+@query(f"""WITH {_PARTS}, {_LD}, c AS (SELECT *, (said IS NOT NULL AND title <> '' AND NOT (contains(nt, said) OR contains(said, nt)) AND NOT (contains(nh, said) OR contains(said, nh)))::INTEGER AS a, (k = 2)::INTEGER AS b, (k = 1 AND NOT contains(body_text, 'Ann Lee'))::INTEGER AS c, (k = 2)::INTEGER AS d, (k = 3)::INTEGER AS e FROM lf)
+SELECT page_id, (a + b + c + d + e)::INTEGER AS n_issues, greatest(0, 100 - a * 20 - b * 20 - c * 15 - least((a + b + c + d + e) * 5, 30))::BIGINT AS accuracy_score FROM c""")
 def p11_schema_accuracy(spark, sf_dir):
-    rows = json_ld.schema_accuracy(json_ld.with_json_ld(_parts(spark, sf_dir)), _as_of())
+    rows = json_ld.schema_accuracy(json_ld.with_json_ld(pages.with_parts(_marked_up(spark, sf_dir))), _as_of())
     return rows.select("page_id", "n_issues", "accuracy_score")
 
 
-@query()
+@query(f"""WITH {_PARTS}, {_LD}, c AS (SELECT *, CASE WHEN k = 2 THEN 2 ELSE 0 END AS hard, CASE WHEN k = 1 THEN (NOT contains(lower(text), 'ann lee'))::INTEGER + (h1 <> '' AND NOT (contains(nh, said) OR contains(said, nh)))::INTEGER ELSE 0 END AS soft FROM lf)
+SELECT page_id, hard::INTEGER AS contradictions, soft::INTEGER AS inconsistencies, greatest(0, 100 - hard * 20 - soft * 10)::BIGINT AS risk_score, CASE WHEN hard >= 2 THEN 'high' WHEN hard >= 1 OR soft >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM c""")
 def p21_hallucination_risk(spark, sf_dir):
-    rows = json_ld.hallucination_risk(json_ld.with_json_ld(_landmarks(spark, sf_dir)), _as_of())
+    rows = json_ld.hallucination_risk(json_ld.with_json_ld(pages.with_parts(_marked_up(spark, sf_dir), H.LANDMARKS)), _as_of())
     return rows.select("page_id", "contradictions", "inconsistencies", "risk_score", "risk_level")
 
 

@@ -102,6 +102,12 @@ def test_json_ld_walk():
     assert json_ld._walk(['{"@type":"X","items":[{"@type":"Y"}]}'])["types"] == ["X"]
     assert json_ld._walk(['[{"@type":["A","B"],"z":{"@type":"C","speakable":1}}]', "{", " "]) | {"items": None} == {"types": ["A", "B", "C"], "items": None, "n_objects": 1, "n_bad": 1, "speakable": True}
     assert json_ld._walk(None)["types"] == []
+    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
+    assert json_ld._walk([deep, '{"@type":"X"}'])["types"] == ["X"]
+    nested = {"@type": "Z", "speakable": 1}
+    for _ in range(50_000):
+        nested = {"a": [nested]}
+    assert json_ld._walk_node(nested, "speakable") == ([], True)
 
 
 def test_contradictions(spark):
