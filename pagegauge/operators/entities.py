@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from ..functions.exprs import js_round, norm_name
 
 
+#: Pages of one entity that one task pairs with the others.
+_PART = 5_000
+
+
+def _contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """``site, outer, inner``: the distinct texts of ``outer(site, norm)`` that hold one of ``inner(site, norm)``, or equal it.
+
+    A text is looked up by its first three signs, fewer if it has fewer; what holds it has them somewhere.
+    """
+    norm = F.col("norm")
+    runs = lambda k: F.when(F.length(norm) >= k, F.transform(F.sequence(F.lit(1), F.length(norm) - (k - 1)), lambda i: F.substring(norm, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), runs(1), runs(2), runs(3)))
+    held = outer.select("site", "norm").distinct().select("site", F.col("norm").alias("outer"), F.explode(keys).alias("key"))
+    asked = inner.select("site", "norm").distinct().select("site", F.col("norm").alias("inner"), F.substring(norm, F.lit(1), F.lit(3)).alias("key"))
+    return held.join(asked, ["site", "key"]).where(F.contains("outer", F.col("inner"))).select("site", "outer", "inner")
+
+
 def name_variants(pages: DataFrame, names: str) -> DataFrame:
     """``site, name``: spellings of one normal form, and names one of which holds another.
 
@@ -20,34 +37,39 @@ def name_variants(pages: DataFrame, names: str) -> DataFrame:
     spelled = distinct.groupBy("site", "norm").agg(F.count("*").alias("n")).where("n > 1").join(distinct, ["site", "norm"]).select("site", "name")
     # one name of each form stands for it in the comparison
     forms = distinct.groupBy("site", "norm").agg(F.min("name").alias("name"))
-    other = forms.select("site", F.col("norm").alias("norm2"), F.col("name").alias("name2"))
-    held = forms.join(other, "site").where((F.col("norm") != F.col("norm2")) & F.contains("norm", F.col("norm2")))
-    return spelled.union(held.select("site", "name")).union(held.select("site", "name2")).distinct()
+    pairs = _contained(forms, forms).where("outer <> inner")
+    both = pairs.select("site", F.explode(F.array("outer", "inner")).alias("norm")).distinct()
+    return spelled.union(forms.join(both, ["site", "norm"]).select("site", "name")).distinct()
 
 
 def affected_pages(pages: DataFrame, variants: DataFrame, names: str) -> DataFrame:
     """Urls of a site with a name that equals, holds or is held by a variant."""
-    used = pages.select("site", "url", F.explode(names).alias("used")).distinct()
-    joined = used.join(variants, "site")
-    a, b = norm_name(F.col("used")), norm_name(F.col("name"))
-    return joined.where(F.contains(a, b) | F.contains(b, a)).select("site", "url").distinct()
+    used = pages.select("site", "url", F.explode(names).alias("used")).withColumn("norm", norm_name(F.col("used")))
+    of = variants.select("site", norm_name(F.col("name")).alias("norm"))
+    found = _contained(used, of).select("site", F.col("outer").alias("norm")).union(_contained(of, used).select("site", F.col("inner").alias("norm"))).distinct()
+    return used.join(found, ["site", "norm"]).select("site", "url").distinct()
 
 
 def entity_overlap(pages: DataFrame, entities: str = "top_entities") -> DataFrame:
     """Mean Jaccard overlap of all pairs of a site's pages, in percent; pairs of two empty sets do not count; 50 without pairs.
 
-    Pairs that share nothing add 0: they are counted by formula and never made.
+    Pages of equal sets are one class with a count, and pairs that share nothing add 0: both are counted by formula and never made.
+    An entity that very many classes of a site have is split into parts.
     """
-    sets = pages.select("site", "url", F.array_distinct(F.coalesce(F.transform(entities, norm_name), F.array().cast("array<string>"))).alias("own"))
-    sizes = sets.select("site", "url", F.size("own").alias("n"))
-    per_site = sizes.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("n") == 0).alias("empty"))
-    items = sets.select("site", "url", F.size("own").alias("n"), F.explode("own").alias("item"))
-    other = items.select("site", "item", F.col("url").alias("url2"), F.col("n").alias("n2"))
-    shared = items.join(other, ["site", "item"]).where("url < url2").groupBy("site", "url", "url2", "n", "n2").agg(F.count("*").alias("both"))
-    sums = shared.groupBy("site").agg(F.sum(F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("total"))
+    sets = pages.select("site", F.array_sort(F.array_distinct(F.coalesce(F.transform(entities, norm_name), F.array().cast("array<string>")))).alias("own"))
+    classes = sets.groupBy("site", "own").agg(F.count("*").alias("c")).withColumns({"n": F.size("own"), "id": F.xxhash64("own")})
     pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    alike = F.when(F.col("n") > 0, pairs("c")).otherwise(0.0)
+    per_site = classes.groupBy("site").agg(F.sum("c").alias("pages"), F.sum(F.when(F.col("n") == 0, F.col("c")).otherwise(0)).alias("empty"), F.sum(alike).alias("alike"))
+    items = classes.select("site", "id", "c", "n", F.explode("own").alias("item"))
+    often = items.groupBy("site", "item").agg(F.count("*").alias("m")).where("m > 1").select("site", "item", F.ceil(F.col("m") / _PART).cast("int").alias("parts"))
+    items = items.join(often, ["site", "item"])
+    one = items.withColumn("part", F.pmod(F.xxhash64("id", "item"), F.col("parts")).cast("int"))
+    other = items.select("site", "item", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = one.join(other, ["site", "item", "part"]).where("id < id2").groupBy("site", "id", "id2", "n", "n2", "c", "c2").agg(F.count("*").alias("both"))
+    sums = shared.groupBy("site").agg(F.sum(F.col("c") * F.col("c2") * F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("total"))
     out = per_site.join(sums, "site", "left").withColumn("n_pairs", pairs("pages") - pairs("empty"))
-    overlap = F.when(F.col("n_pairs") > 0, js_round(F.coalesce("total", F.lit(0.0)) / F.col("n_pairs") * 100)).otherwise(F.lit(50).cast("long"))
+    overlap = F.when(F.col("n_pairs") > 0, js_round((F.coalesce("total", F.lit(0.0)) + F.col("alike")) / F.col("n_pairs") * 100)).otherwise(F.lit(50).cast("long"))
     return out.select("site", "pages", overlap.alias("overlap"))
 
 
