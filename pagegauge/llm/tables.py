@@ -53,11 +53,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables made by ``written`` that nothing reads any more; what was written since stands on its own."""
+    """Deletes tables made by ``written`` that nothing reads any more; what was written since stands on its own.
+
+    The shuffle files behind them go as well: Spark's cleaner removes those of plans that the driver's garbage collection finds unused.
+    """
+    spark = None
     for df in tables:
         if df is not None and hasattr(df, "written_to"):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            spark = df.sparkSession
+    if spark is not None:
+        spark._jvm.java.lang.System.gc()
 
 
 #: Up to so many narrow rows are broadcast (some 25 MB); more are joined by a shuffle.
