@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, ngram_join, quality, secret_scan, sql, substring_dedup
+from . import conversation_repair, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, sql, substring_dedup, token_alignment
 from .chat_format import format_conversations
 from .tables import read
 
@@ -87,8 +87,42 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs, ~held)).withColumn("held_out", held)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with one row in twenty dropped (``alive`` is false then), emptied, without sentence ends, doubled, or said to be a user's."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", known("role").alias("role"), known("text").alias("text"), (F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20).alias("damage"))
+    case = lambda n: F.col("damage") == n
+    text = F.when(case(1), "").when(case(2), F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(case(4), "user").otherwise(F.col("role")), "alive": ~case(0)})
+    return rows.select("conv_id", "turn", "role", "text", "alive", F.explode(F.when(case(3), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(damaged(read(spark, sf_dir, "conversations")), F.col("alive"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(read(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.labels_of(base).alias("base_labels"),
+        license_scan.labels_of(F.col("matches")).alias("labels"),
+        license_scan.score_of(F.col("n_words"), F.col("matches")).alias("score"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_source_mixing, op4_embedding_dedup, op5_ngram_jaccard_join, op6_line_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_source_mixing, op4_embedding_dedup, op5_ngram_jaccard_join, op6_line_dedup, op7_chat_formatting, op8_decontamination, op9_quality, op10_language_id, op11_conversation_repair, op12_license_scan, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -122,3 +122,90 @@ FROM e WHERE epoch < whole OR start < rest
 
 
 ORACLE["op3_source_mixing"] = _mixing()
+
+
+# DuckDB has no crc32: it is computed from the polynomial. A recursive step reads one row of every conversation; of each top the least (cost, audit) stays.
+ORACLE["op11_conversation_repair"] = r"""
+WITH RECURSIVE crc_of AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n::BIGINT) ORDER BY n) AS t FROM range(256) r(n)),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes FROM conversations),
+dealt AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(bytes, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS k
+  FROM src CROSS JOIN crc_of),
+alive AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE k <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM alive),
+faulty AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS letter, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS beside,
+    CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+facts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (beside NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+shift(top, letter, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+fill(top, mid, n) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+-- what a row can do: the top it leads to, its cost and its initial
+moves AS (
+  SELECT DISTINCT letter, fault, top, top AS nxt, 4 AS cost, 'D' AS edit FROM (SELECT DISTINCT letter, fault FROM faulty) CROSS JOIN (VALUES (0), (1), (2), (3)) x(top)
+  UNION ALL SELECT f.letter, fault, top, nxt, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'K' FROM (SELECT DISTINCT letter, fault FROM faulty) f JOIN shift s ON s.letter = f.letter WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT f.letter, fault, top, nxt, CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'R' FROM (SELECT DISTINCT letter, fault FROM faulty) f JOIN shift s ON s.letter <> 's' WHERE fault IN ('', 'truncated')),
+front AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS top, {'cost': 0::BIGINT, 'audit': ''} AS best FROM facts
+  UNION ALL
+  SELECT f.conv_id, f.i + 1, m.nxt, min({'cost': f.best.cost + 3 * l.n + m.cost, 'audit': f.best.audit || repeat('I', l.n) || m.edit})
+  FROM front f JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1 JOIN fill l ON l.top = f.top JOIN moves m ON m.letter = r.letter AND m.fault = r.fault AND m.top = l.mid
+  GROUP BY f.conv_id, f.i, m.nxt),
+done AS (
+  SELECT c.conv_id, min({'cost': f.best.cost + 3 * l.n, 'audit': f.best.audit || repeat('I', l.n)}) AS best
+  FROM facts c JOIN front f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.n JOIN fill l ON l.top = f.top AND l.mid IN (0, 3) GROUP BY c.conv_id),
+edits AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, unnest(range(1, length(best.audit) + 1)) AS k FROM done WHERE best.audit <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS place FROM edits),
+kept AS (
+  SELECT p.conv_id, p.k, p.edit, p.place, r.role, r.text, max(CASE WHEN p.place = 1 AND p.edit = 'K' AND r.letter = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS sys
+  FROM placed p LEFT JOIN faulty r ON p.edit <> 'I' AND r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE p.edit <> 'D'),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank, coalesce(f.duplicate, 0)::BIGINT AS duplicate, coalesce(f.truncated, 0)::BIGINT AS truncated,
+  coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(d.best.cost, 0)::BIGINT AS cost, coalesce(d.best.audit, '') AS audit, sha256(coalesce(l.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _licenses() -> str:
+    """Templates as regular expressions over the words, each between two blanks."""
+    import re
+
+    from .license_scan import TEMPLATES
+
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    rows = []
+    for t in TEMPLATES:
+        mandatory = re.sub(r"<<beginOptional>>.*?<<endOptional>>|<<var[^>]*>>", " ", t.markup.lower().replace("beginoptional", "beginOptional").replace("endoptional", "endOptional"), flags=re.S)
+        pattern = ""
+        for part in re.findall(rf"<<[^>]*>>|{word}", t.markup.lower()):
+            bounds = re.fullmatch(r"<<var;min=(\d+);max=(\d+)>>", part)
+            pattern += "(?:" if part == "<<beginoptional>>" else ")?" if part == "<<endoptional>>" else f"(?: [^ ]+ ){{{bounds[1]},{bounds[2]}}}" if bounds else f" {part} "
+        rows.append(f"('{t.label}', {str(t.base).lower()}, {len(re.findall(word, mandatory))}, '{pattern}')")
+    return rf"""
+WITH template(label, base, mandatory, pattern) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+s AS (SELECT row_number() OVER () AS row, doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d),
+met AS (SELECT row, label, base, mandatory, len(regexp_extract_all(t, pattern)) AS n FROM s JOIN template ON regexp_matches(t, pattern)),
+places AS (
+  SELECT row, list_filter(range(len(w)), lambda i: (w[i + 1] = 'mit' AND w[i + 2] = 'license') OR (w[i + 1] = 'apache' AND w[i + 2] = 'license') OR (w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license')) AS spots FROM s),
+g AS (
+  SELECT row, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels, sum(CASE WHEN base THEN n * mandatory ELSE mandatory END) AS wording FROM met GROUP BY row)
+SELECT s.doc_id, len(s.w)::BIGINT AS n_words, len(p.spots)::BIGINT AS n_base, list_min(p.spots)::BIGINT AS first_word, list_max(p.spots)::BIGINT AS last_word, coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels,
+  CASE WHEN len(s.w) > 0 THEN least(1.0::DOUBLE, coalesce(g.wording, 0)::DOUBLE / len(s.w)) ELSE 0.0 END::DOUBLE AS score
+FROM s JOIN places p USING (row) LEFT JOIN g USING (row)
+"""
+
+
+ORACLE["op12_license_scan"] = _licenses()
