@@ -1,24 +1,14 @@
-"""Facts of an HTML text as column expressions: parts, texts and attributes, by regular expressions.
-
-The form is regular, not a document tree: an element inside an element of its own kind and unclosed tags are known limits, but for the
-container, whose end tag is found by counting. A
-paragraph ends at the next paragraph, any block tag or the end.
-"""
+"""Facts of a page as column expressions over its tree: the main content, texts of elements, attributes of tags."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What JavaScript counts as white space beyond ASCII, made blank once.
-_SPACES = "[   -     　﻿]"
-_HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-_BLOCK_ENDS = r"<p[\s>]|</p>|<h[1-6][\s>]|<div[\s>]|</div>|<ul[\s>]|<ol[\s>]|<table[\s>]|</article>|</main>|</body>|<footer[\s>]"
-
+from . import tree as T
+from .tree import decoded, once, plainly_decoded
 
-def once(value: Column, f) -> Column:
-    """f(value) with the value computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+_HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
 def visible(html: Column) -> Column:
@@ -26,102 +16,95 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
 
 
-def body(seen: Column) -> Column:
-    inner = F.regexp_extract(seen, r"(?is)<body[^>]*>(.*?)(?:</body>|$)", 1)
-    return F.when(inner != "", inner).otherwise(seen)
-
-
 # What can hold a page's main content.
 LANDMARKS = ("main", "article", '[role="main"]')
 CONTAINERS = (*LANDMARKS, ".content", "#content")
-_MARKS = {
-    '[role="main"]': r"""role\s*=\s*(?:"main"|'main'|main(?=[\s/>]))""",
-    ".content": r"""class\s*=\s*(?:"(?:[^"]*\s)?content(?:\s[^"]*)?"|'(?:[^']*\s)?content(?:\s[^']*)?'|content(?=[\s/>]))""",
-    "#content": r"""id\s*=\s*(?:"content"|'content'|content(?=[\s/>]))""",
-}
+_SPAN = "struct<at:int,end:int>"
 
 
-def container(seen: Column, selectors: tuple[str, ...] = CONTAINERS) -> Column:
-    """The inside of the first element that one of the selectors names, else the body.
+def _span(element: Column) -> Column:
+    return F.struct(element["at"].alias("at"), element["end"].alias("end")).cast(_SPAN)
 
-    The element ends where as many of its kind are closed as were opened; without that, at the end of the page.
-    """
-    names = "|".join(s for s in selectors if s not in _MARKS)
-    marks = "|".join(_MARKS[s] for s in selectors if s in _MARKS)
-    start = rf"(?is)<(?:({names})(?=[\s/>])[^>]*|([a-z][a-z0-9-]*)\s(?:[^>]*\s)?(?:{marks})[^>]*)>"
-    found = F.struct(seen.alias("seen"), F.regexp_extract(seen, start, 0).alias("tag"), F.lower(F.concat(F.regexp_extract(seen, start, 1), F.regexp_extract(seen, start, 2))).alias("name"))
 
-    def inside(x: Column) -> Column:
-        rest = F.substring(x["seen"], F.instr(x["seen"], x["tag"]) + F.length(x["tag"]), F.length(x["seen"]))
-        return once(F.struct(rest.alias("rest"), F.concat(F.lit("(?i)</?"), x["name"], F.lit(r"(?=[\s/>])[^>]*>")).alias("same")), balanced)
+def whole(tree: Column) -> Column:
+    """All of a page as an element."""
+    return F.struct(F.lit(-1).alias("at"), F.size(tree["tags"]).alias("end")).cast(_SPAN)
 
-    def balanced(x: Column) -> Column:
-        tags_, gaps = F.regexp_extract_all(x["rest"], x["same"], F.lit(0)), F.split(x["rest"], x["same"], -1)
-        steps = F.zip_with(gaps, tags_, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("tag"), F.when(F.startswith(t, F.lit("</")), -1).when(F.endswith(t, F.lit("/>")), 0).otherwise(1).alias("by")))
-        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
-        grow = lambda s, t: F.struct((s["depth"] + F.coalesce(t["by"], F.lit(0))).alias("depth"), (s["n"] + t["gap"] + F.when(s["depth"] + F.coalesce(t["by"], F.lit(0)) > 0, F.coalesce(t["tag"], F.lit(0))).otherwise(0)).alias("n"))
-        end = F.aggregate(steps, zero, lambda s, t: F.when(s["depth"] > 0, grow(s, t)).otherwise(s))
-        return F.substring(x["rest"], F.lit(1), end["n"])
 
-    return once(found, lambda x: F.when(x["tag"] != "", inside(x)).otherwise(body(x["seen"])))
+def body(tree: Column) -> Column:
+    found = F.get(T.of_name(tree, "body"), F.lit(0))
+    return F.when(found.isNotNull(), _span(found)).otherwise(whole(tree))
 
 
-def _decoded(text: Column) -> Column:
-    for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(code), F.lit(sign))
-    return text
+def container(tree: Column, selectors: tuple[str, ...] = CONTAINERS) -> Column:
+    """The first element that one of the selectors names, else the body."""
+    attributes = {'[role="main"]': ("main", lambda t: attribute(t, "role") == "main"), ".content": ("content", lambda t: has_class(t, "content")), "#content": ("content", lambda t: attribute(t, "id") == "content")}
 
+    def fits(e: Column) -> Column:
+        tag = F.get(tree["tags"], e["at"])
+        out = e["name"].isin(*(s for s in selectors if s not in attributes))
+        for s in selectors:
+            if s in attributes:
+                word, holds = attributes[s]
+                out = out | (F.contains(tag, F.lit(word)) & F.coalesce(holds(tag), F.lit(False)))
+        return out
 
-def text_of(part: Column) -> Column:
-    """Text of a part: tags dropped, common entities decoded, white space collapsed, trimmed."""
-    plain = _decoded(F.regexp_replace(part, "<[^>]*>", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, _SPACES, " "), r"\s+", " "))
+    return once(F.get(F.filter(tree["elements"], fits), F.lit(0)), lambda e: F.when(e.isNotNull(), _span(e)).otherwise(body(tree)))
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def paragraphs(part: Column) -> Column:
+def texts_of(tree: Column, *names: str, within: Column | None = None) -> Column:
+    """Texts of the elements of these names, in order; of those inside one element, if it is given."""
+    found = lambda t: T.of_name(t, *names) if within is None else T.inside(T.of_name(t, *names), within)
+    return once(tree, lambda t: F.transform(found(t), lambda e: T.text_of(t, e)))
+
+
+def paragraphs(tree: Column, within: Column | None = None) -> Column:
     """Texts of the p elements, in order, empty ones left out."""
-    raw = F.regexp_extract_all(part, F.lit(rf"(?is)<p(?:\s[^>]*)?>(.*?)(?={_BLOCK_ENDS}|$)"), F.lit(1))
-    return F.filter(F.transform(raw, text_of), lambda t: t != "")
+    return F.filter(texts_of(tree, "p", within=within), lambda t: t != "")
 
 
-def headings(part: Column, levels: str = "1-6") -> Column:
-    """Array of struct(level, text) of the headings that have text."""
-    pattern = rf"(?is)<h([{levels}])(?:\s[^>]*)?>(.*?)</h[1-6]>"
-    levels_, texts = F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), F.regexp_extract_all(part, F.lit(pattern), F.lit(2))
-    each = F.zip_with(levels_, texts, lambda a, b: F.struct(a.cast("int").alias("level"), text_of(b).alias("text")))
-    return F.filter(each, lambda h: h["text"] != "")
+def headings(tree: Column, levels: str = "123456") -> Column:
+    """Array of struct(level, text) of the headings of these levels that have text."""
+    each = lambda t: F.transform(T.of_name(t, *(f"h{k}" for k in levels)), lambda e: F.struct(F.substring(e["name"], 2, 1).cast("int").alias("level"), T.text_of(t, e).alias("text")))
+    return F.filter(once(tree, each), lambda h: h["text"] != "")
 
 
-def element_texts(part: Column, names: str) -> Column:
-    """Texts of the elements of these names (an alternation), each up to its own end tag."""
-    return F.transform(F.regexp_extract_all(part, F.lit(rf"(?is)<(?:{names})(?:\s[^>]*)?>(.*?)</(?:{names})>"), F.lit(1)), text_of)
+def elements_with(tree: Column, word: str, fits) -> Column:
+    """The elements whose start tag fits; one without attributes, or without the word, is passed over unread."""
+    read = lambda tag: F.contains(tag, F.lit("=")) & F.contains(tag, F.lit(word)) & F.coalesce(fits(tag), F.lit(False))
+    return once(tree, lambda t: F.filter(t["elements"], lambda e: once(F.get(t["tags"], e["at"]), read)))
 
 
 def count_tags(part: Column, names: str) -> Column:
     return F.regexp_count(part, F.lit(rf"(?i)<(?:{names})[\s/>]"))
 
 
-def tags(part: Column, name: str) -> Column:
+def tags(tree: Column, name: str) -> Column:
     """The start tags of an element."""
-    return F.regexp_extract_all(part, F.lit(rf"(?is)<{name}\s[^>]*>"), F.lit(0))
+    return F.filter(tree["tags"], lambda t: t.rlike(rf"^(?i)<{name}[\s/>]"))
 
 
-def attribute(tag: Column, name: str) -> Column:
+def attribute(tag: Column, name: str, decode=plainly_decoded) -> Column:
     """An attribute of a start tag; null if it is not there."""
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.when(tag.rlike(pattern), _decoded(F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))))
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(pattern), decode(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))))
+
+
+def has_class(tag: Column, name: str) -> Column:
+    return F.array_contains(F.split(attribute(tag, "class"), r"\s+"), F.lit(name))
 
 
-def meta(html: Column, key: str, name: str) -> Column:
+def meta(tree: Column, key: str, name: str) -> Column:
     """Trimmed content of the first meta element whose ``key`` attribute is ``name``."""
-    found = F.filter(tags(html, "meta"), lambda t: F.lower(attribute(t, key)) == name)
-    return F.trim(attribute(F.get(found, F.lit(0)), "content"))
+    found = F.filter(tags(tree, "meta"), lambda t: F.lower(attribute(t, key)) == name)
+    return once(F.get(found, F.lit(0)), lambda t: F.trim(attribute(t, "content", decoded)))
 
 
-def json_ld(html: Column) -> Column:
+def json_ld(tree: Column) -> Column:
     """Texts of the JSON-LD blocks."""
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    scripts = F.filter(tree["tags"], lambda t: t.rlike(r"""(?is)^<script[^>]*\stype\s*=\s*["']?application/ld\+json["'\s>]"""))
+    return F.transform(scripts, lambda t: F.regexp_extract(t, rf"(?is)^<script{T._ATTRIBUTES}(.*?)(?:</script[^>]*>)?\z", 1))

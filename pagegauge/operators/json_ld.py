@@ -1,21 +1,15 @@
-"""JSON-LD of pages: items, types, accuracy and contradictions.
-
-JSON-LD has no schema, so one Arrow helper walks the blocks of a page; every rule on what it finds is a column expression.
-"""
+"""JSON-LD of pages: items, types, accuracy and contradictions; every rule on what the walk of the blocks finds is a column expression."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import json_ld as J
+from ..functions import tree as T
 from ..functions.exprs import fuzzy_match
 
-_ITEM = "struct<type:string,top:boolean,headline:string,name:string,description:string,date_published:string,date_modified:string,date_created:string,author:string,has_author:boolean,has_offers:boolean,has_rating:boolean,rating:double,best:double>"
-_FACTS = f"struct<types:array<string>,items:array<{_ITEM}>,n_objects:int,n_bad:int,speakable:boolean>"
 # Types that count, and the names of the flags.
 VALUABLE = ("faqpage", "howto", "product", "review", "aggregaterating", "localbusiness", "article", "newsarticle", "blogposting", "organization", "person", "breadcrumblist", "event", "website", "webpage", "itemlist", "recipe", "course", "videoobject", "softwareapplication")
 FLAGS = {
@@ -24,87 +18,11 @@ FLAGS = {
 }
 
 
-def _walk_node(root: dict, name: str) -> tuple[list[str], bool]:
-    """``@type`` of an object, of its ``@graph`` and of the objects in its values, other arrays not entered; whether ``name`` is a key anywhere.
-
-    A stack of its own, so that no depth of nesting ends the walk. Beside each node: whether its types count.
-    """
-    types: list[str] = []
-    named = False
-    left = [(root, True)]
-    while left:
-        node, counts = left.pop()
-        if isinstance(node, list):
-            left += [(x, False) for x in node]
-            continue
-        if not isinstance(node, dict):
-            continue
-        named = named or name in node
-        own = node.get("@type")
-        if counts:
-            types += [own] if isinstance(own, str) else [t for t in own if isinstance(t, str)] if isinstance(own, list) else []
-        graph = node.get("@graph")
-        inside = [(x, counts) for x in graph] if isinstance(graph, list) else []
-        inside += [(v, counts) for v in node.values() if isinstance(v, dict)] + [(v, False) for v in node.values() if isinstance(v, list) and v is not graph]
-        left += reversed(inside)
-    return types, named
-
-
-def _text(value) -> str | None:
-    return None if value is None or value == "" or isinstance(value, dict | list) else value if isinstance(value, str) else json.dumps(value)
-
-
-def _number(value) -> float | None:
-    try:
-        return float(value)
-    except (TypeError, ValueError):
-        return None
-
-
-def _item(node: dict, top: bool) -> dict:
-    author, rating = node.get("author"), node.get("aggregateRating")
-    rating = rating if isinstance(rating, dict) else {}
-    return {
-        "type": _text(node.get("@type")) or "", "top": top, "headline": _text(node.get("headline")), "name": _text(node.get("name")), "description": _text(node.get("description")), "date_published": _text(node.get("datePublished")),
-        "date_modified": _text(node.get("dateModified")), "date_created": _text(node.get("dateCreated")), "author": _text(author.get("name")) if isinstance(author, dict) else _text(author), "has_author": bool(author), "has_offers": bool(node.get("offers")),
-        "has_rating": bool(node.get("reviewRating") or node.get("ratingValue")), "rating": _number(rating.get("ratingValue")), "best": _number(rating.get("bestRating", 5)) if rating else None,
-    }
-
-
-def _walk(blocks) -> dict:
-    types: list[str] = []
-    items: list[dict] = []
-    n_objects = n_bad = 0
-    speakable = False
-    for text in blocks if blocks is not None else []:
-        if not text.strip():
-            continue
-        try:
-            parsed = json.loads(text)
-        except (ValueError, RecursionError):  # no JSON, or nested too deep to be read
-            n_bad += 1
-            continue
-        for node in parsed if isinstance(parsed, list) else [parsed]:
-            if not isinstance(node, dict):
-                continue
-            n_objects += 1
-            found, named = _walk_node(node, "speakable")
-            types += found
-            speakable = speakable or named
-            items.append(_item(node, True))
-            graph = node.get("@graph")
-            items += [_item(g, False) for g in graph if isinstance(g, dict)] if isinstance(graph, list) else []
-    return {"types": list(dict.fromkeys(types)), "items": items, "n_objects": n_objects, "n_bad": n_bad, "speakable": speakable}
-
-
-def walk_blocks(blocks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_walk(b) for b in blocks], columns=["types", "items", "n_objects", "n_bad", "speakable"])
-
-
 def with_json_ld(pages: DataFrame) -> DataFrame:
     """``ld``, the parsed items of a page's blocks; a block that is no JSON is skipped and counted."""
-    pages = pages.withColumn("html", F.coalesce("html", F.lit("")))
-    return pages.withColumn("ld", F.pandas_udf(walk_blocks, _FACTS)(H.json_ld(F.col("html"))))
+    if "tree" not in pages.columns:
+        pages = pages.withColumn("tree", T.parsed_column("html"))
+    return pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("ld", J.facts_column("tree"))
 
 
 def schema_score(pages: DataFrame) -> DataFrame:
@@ -132,9 +50,10 @@ def schema_score(pages: DataFrame) -> DataFrame:
 
 
 def _visible_claims(pages: DataFrame) -> DataFrame:
-    title = H.text_of(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    h1 = F.coalesce(F.get(H.element_texts(F.col("seen"), "h1"), F.lit(0)), F.lit(""))
-    return pages.withColumns({"page_title": title, "page_h1": h1, "page_description": F.coalesce(H.meta(F.col("html"), "name", "description"), F.lit(""))})
+    tree = F.col("tree")
+    first = lambda name: F.coalesce(F.get(H.texts_of(tree, name), F.lit(0)), F.lit(""))
+    title, h1 = first("title"), first("h1")
+    return pages.withColumns({"page_title": title, "page_h1": h1, "page_description": F.coalesce(H.meta(tree, "name", "description"), F.lit(""))})
 
 
 def schema_accuracy(pages: DataFrame, as_of: Column) -> DataFrame:

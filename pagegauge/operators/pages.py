@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import json_ld as J
+from ..functions import tree as T
 from ..functions.exprs import js_round
 from .urls import host_of, path_of, query_of, scheme_of
 
@@ -21,21 +23,23 @@ FILLERS = (
     "truly", "very", "absolutely", "certainly", "quite", "rather", "somewhat", "pretty much", "kind of", "sort of", "in order to", "it is important to note", "needless to say", "it goes without saying",
     "at the end of the day", "when all is said and done",
 )
-FACTS = (r"\d+(\.\d+)?%", r"\$[\d,]+", r"\d{4}", r"(?i)<(study|research|survey|report|analysis)>", r"(?i)<(according to|published in|found that|showed that)>", r"(?i)<(increase|decrease|growth|decline|rose|fell)\s+\w*\s*\d", r"(?i)\d+\s*(million|billion|thousand|hundred)")
+FACTS = (r"\d+(\.\d+)?%", r"\$[\d,]+", r"\d{4}", r"(?i)\b(study|research|survey|report|analysis)\b", r"(?i)\b(according to|published in|found that|showed that)\b", r"(?i)\b(increase|decrease|growth|decline|rose|fell)\s+\w*\s*\d", r"(?i)\d+\s*(million|billion|thousand|hundred)")
 STATISTICS = (r"\d+(\.\d+)?%", r"\$[\d,]+(\.\d+)?", r"\d{1,3}(,\d{3})+", r"(?i)\d+(\.\d+)?\s*(million|billion|trillion)", r"(?i)\d+x\s", r"(?i)(study|research|survey|report|data)\s+(shows?|finds?|found|reveals?|indicates?)", r"(?i)according to")
-DEFINITIONS = (r"(?i)<is\s+(a|an|the)\s+", r"(?i)<refers?\s+to>", r"(?i)<is\s+defined\s+as>", r"(?i)<means?\s+that>", r"(?i)<known\s+as>")
+DEFINITIONS = (r"(?i)\bis\s+(a|an|the)\s+", r"(?i)\brefers?\s+to\b", r"(?i)\bis\s+defined\s+as\b", r"(?i)\bmeans?\s+that\b", r"(?i)\bknown\s+as\b")
 PRONOUNS = ("he", "she", "it", "they", "this", "that", "these", "those", "them", "its")
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from about as into through during before after above "
-    "below between but and or nor not so yet this that these those it its they them their we our you your he she him her his i me my january february march april may june july august september october november december "
-    "monday tuesday wednesday thursday friday saturday sunday if then else when up down out off over under again further once here there all each every both few more most other some such no only own same than too very "
-    "just because how what which who whom why where"
-)
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare",
+    "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "about", "as", "into", "through", "during", "before", "after", "above", "below", "between", "but", "and", "or", "nor",
+    "not", "so", "yet", "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "our", "you", "your", "he", "she", "him", "her", "his", "i", "me", "my", "january", "february",
+    "march", "april", "june", "july", "august", "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "if", "then", "else",
+    "when", "up", "down", "out", "off", "over", "under", "again", "further", "once", "here", "there", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "only",
+    "own", "same", "than", "too", "very", "just", "because", "how", "what", "which", "who", "whom", "why", "where",
+)
 NOVELTY = {
-    "Original research detected": (r"(?i)<(our (study|research|survey|analysis|data|findings))>", r"(?i)<(we (found|discovered|analyzed|surveyed|tested|measured))>", r"(?i)<(proprietary|exclusive|original research|our methodology)>", r"(?i)<(internal data|our database|based on \d[\d,]+ (responses|data points|samples))>"),
-    "Proprietary data references": (r"(?i)<(our (data|dataset|database))>", r"(?i)<(proprietary|exclusive|internal)\s+(data|research|analysis)>", r"(?i)<(based on|analyzed)\s+[\d,]+\s+(data points|responses|entries|records)>"),
-    "First-hand experience language": (r"(?i)<(i (tested|tried|used|experienced|reviewed|built|created))>", r"(?i)<(we (tested|tried|used|experienced|reviewed|built|created))>", r"(?i)<(hands-on|first-hand|in my experience|from our experience)>", r"(?i)<(personal(ly)?|real-world (test|example|experience))>"),
-    "Unique/contrarian insights": (r"(?i)<(however|contrary to|unlike|what most .+ miss|overlooked)>", r"(?i)<(counterintuitive|surprising(ly)?|unexpected(ly)?)>", r"(?i)<(key (insight|takeaway|finding)|the real (reason|problem|solution))>", r"(?i)<(myth|misconception|commonly (believed|assumed))>"),
+    "Original research detected": (r"(?i)\b(our (study|research|survey|analysis|data|findings))\b", r"(?i)\b(we (found|discovered|analyzed|surveyed|tested|measured))\b", r"(?i)\b(proprietary|exclusive|original research|our methodology)\b", r"(?i)\b(internal data|our database|based on \d[\d,]+ (responses|data points|samples))\b"),
+    "Proprietary data references": (r"(?i)\b(our (data|dataset|database))\b", r"(?i)\b(proprietary|exclusive|internal)\s+(data|research|analysis)\b", r"(?i)\b(based on|analyzed)\s+[\d,]+\s+(data points|responses|entries|records)\b"),
+    "First-hand experience language": (r"(?i)\b(i (tested|tried|used|experienced|reviewed|built|created))\b", r"(?i)\b(we (tested|tried|used|experienced|reviewed|built|created))\b", r"(?i)\b(hands-on|first-hand|in my experience|from our experience)\b", r"(?i)\b(personal(ly)?|real-world (test|example|experience))\b"),
+    "Unique/contrarian insights": (r"(?i)\b(however|contrary to|unlike|what most .+ miss|overlooked)\b", r"(?i)\b(counterintuitive|surprising(ly)?|unexpected(ly)?)\b", r"(?i)\b(key (insight|takeaway|finding)|the real (reason|problem|solution))\b", r"(?i)\b(myth|misconception|commonly (believed|assumed))\b"),
 }
 SENSITIVE = (
     ("health-medical", "health|medical|disease|symptom|treatment|diagnosis|medication|drug|prescription|hospital|doctor|surgery|cancer|diabetes|heart|blood pressure|mental health|therapy|dosage|side effect", ("namedAuthor", "authorCredentials", "medicalDisclaimer", "dateModified", "primarySources")),
@@ -48,6 +52,8 @@ DISCLAIMERS = {
     "medicalDisclaimer": ("medical disclaimer", "not medical advice", "consult your doctor", "consult a healthcare"), "financialDisclaimer": ("financial disclaimer", "not financial advice", "consult a financial advisor"),
     "legalDisclaimer": ("legal disclaimer", "not legal advice", "consult an attorney"), "corrections": ("correction", "update:", "editor's note"),
 }
+CREDENTIALS = (r"(?i)\b(ph\.?d|m\.?d|m\.?s|m\.?b\.?a|j\.?d|cpa|cfa|rn)\b", r"(?i)\b(professor|doctor|dr\.|certified|licensed|registered)\b", r"(?i)\b(expert|specialist|consultant|analyst|researcher)\b", r"(?i)\b(\d+\+?\s+years?\s+(of\s+)?experience)\b")
+SENSITIVE_CREDENTIALS = r"(?i)\b(ph\.?d|m\.?d|m\.?s|certified|licensed|professor|doctor|dr\.)\b"
 AUTHORITY_DOMAINS = ("wikipedia.org", "gov", "edu", "who.int", "nih.gov", "cdc.gov", "nature.com", "sciencedirect.com", "pubmed", "ncbi.nlm.nih.gov", "reuters.com", "apnews.com", "bbc.com", "nytimes.com", "wsj.com", "forbes.com", "harvard.edu", "mit.edu", "stanford.edu")
 QUERY_PHRASES = (r"how to \w+", r"what is \w+", r"best \w+ for", r"\w+ vs\.? \w+", r"step[- ]by[- ]step", "pros and cons", "compared to", "alternatives to")
 STARTERS = (r"(?i)^(here's|here is|the answer|in short|simply put|to put it simply)", r"(?i)^(let me explain|think of it|imagine|for example|consider)", r"(?i)^(the (best|easiest|quickest|simplest|most) way)", r"(?i)^(you can|you should|you'll need|you might|first,)")
@@ -57,12 +63,12 @@ TLDR_QUALITY = ("tl;dr", "key takeaway", "summary", "at a glance", "in brief", "
 
 
 def edged(pattern: str) -> str:
-    """``<`` and ``>`` in our patterns are edges of ASCII words, which Java's own are not."""
-    return pattern.replace("<", "(?<![A-Za-z0-9_])").replace(">", "(?![A-Za-z0-9_])")
+    """A published pattern for Java, whose ``\\b`` asks for Unicode letters: the edge of an ASCII word, either way round."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
-def _once(value: Column, f) -> Column:
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def _tree() -> Column:
+    return F.col("tree")
 
 
 def _any(text: Column, patterns) -> Column:
@@ -98,13 +104,14 @@ def _steps(x: Column, *steps: tuple[float, int]) -> list[tuple[Column, int]]:
 
 
 def with_parts(pages: DataFrame, containers: tuple[str, ...] = H.CONTAINERS) -> DataFrame:
-    """``seen`` (the page without scripts), ``main`` (its container), ``text`` (of the container), ``words``, ``body_text``.
+    """``tree`` (tags, texts and elements), ``ld`` (facts of its JSON-LD), ``seen`` (the page without scripts), ``main`` (its container, an element), ``text`` (of the
+    container), ``words``, ``body_text``.
 
     Information gain, topical depth and hallucination risk look for the container among ``H.LANDMARKS`` only.
     """
-    seen = pages.withColumn("seen", H.visible(F.col("html")))
-    cut = seen.withColumn("main", H.container(F.col("seen"), containers)).withColumn("body_text", H.text_of(H.body(F.col("seen"))))
-    return cut.withColumn("text", H.text_of(F.col("main"))).withColumn("words", H.words_of(F.col("text")))
+    rows = pages.withColumns({"tree": T.parsed_column("html"), "seen": H.visible(F.col("html"))}).withColumn("ld", J.facts_column("tree"))
+    rows = rows.withColumns({"main": T.once(_tree(), lambda t: H.container(t, containers)), "body_text": T.once(_tree(), lambda t: T.once(H.body(t), lambda e: T.text_of(t, e)))})
+    return rows.withColumn("text", T.text_of(_tree(), F.col("main"))).withColumn("words", H.words_of(F.col("text")))
 
 
 def text_facts(pages: DataFrame) -> DataFrame:
@@ -115,13 +122,13 @@ def text_facts(pages: DataFrame) -> DataFrame:
 
 def structure(pages: DataFrame) -> DataFrame:
     """P4."""
-    rows = pages.withColumn("headings", H.headings(F.col("seen"))).withColumn("paras", F.filter(H.paragraphs(F.col("seen")), lambda p: F.length(p) > 20))
+    rows = pages.withColumn("headings", H.headings(_tree())).withColumn("paras", F.filter(H.paragraphs(_tree()), lambda p: F.length(p) > 20))
     n = F.size("headings")
     jumps = F.exists(F.zip_with(F.slice("headings", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("headings", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: b["level"] > a["level"] + 1), lambda x: x)
     h1 = F.size(F.filter("headings", lambda h: h["level"] == 1))
     sizes = F.transform("paras", lambda p: F.size(F.split(p, " ")))
     total = F.aggregate(sizes, F.lit(0), lambda s, x: s + x)
-    rows = rows.withColumns({"h1_count": h1, "hierarchy_valid": ~jumps & (h1 == 1), "list_count": H.count_tags(F.col("seen"), "ul|ol"), "table_count": H.count_tags(F.col("seen"), "table"), "word_count": total, "paragraph_count": F.size("paras")})
+    rows = rows.withColumns({"h1_count": h1, "hierarchy_valid": ~jumps & (h1 == 1), "list_count": F.size(T.of_name(_tree(), "ul", "ol")), "table_count": F.size(T.of_name(_tree(), "table")), "word_count": total, "paragraph_count": F.size("paras")})
     rows = rows.withColumn("avg_paragraph", F.when(F.col("paragraph_count") > 0, js_round(F.col("word_count") / F.col("paragraph_count"))).otherwise(F.lit(0).cast("long")))
     level = lambda k: F.exists("headings", lambda h: h["level"] == k)
     avg = F.col("avg_paragraph")
@@ -134,11 +141,11 @@ def structure(pages: DataFrame) -> DataFrame:
 
 def summaries(pages: DataFrame) -> DataFrame:
     """P6."""
-    paras = H.paragraphs(F.col("main"))
-    rows = pages.withColumns({"meta_description": H.meta(F.col("html"), "name", "description"), "og_description": H.meta(F.col("html"), "property", "og:description"), "paras": paras})
+    paras = H.paragraphs(_tree(), F.col("main"))
+    rows = pages.withColumns({"meta_description": H.meta(_tree(), "name", "description"), "og_description": H.meta(_tree(), "property", "og:description"), "paras": paras})
     opening = F.get(F.filter("paras", lambda p: F.length(p) >= 50), F.lit(0))
     first = F.slice(F.filter("paras", lambda p: F.length(p) >= 30), 1, 3)
-    marked = F.concat(F.transform(H.headings(F.col("seen")), lambda h: h["text"]), H.element_texts(F.col("seen"), "strong|b"))
+    marked = F.concat(F.transform(H.headings(_tree()), lambda h: h["text"]), H.texts_of(_tree(), "strong", "b"))
     rows = rows.withColumns({
         "meta_description_length": F.coalesce(F.length("meta_description"), F.lit(0)), "opening_words": F.coalesce(F.size(F.split(opening, " ")), F.lit(0)),
         "has_opening": opening.isNotNull(), "has_definition": F.exists(first, lambda p: _any(p, DEFINITIONS)), "has_tldr": F.exists(marked, lambda t: _holds(F.lower(t), TLDR_SUMMARY)),
@@ -154,8 +161,8 @@ def summaries(pages: DataFrame) -> DataFrame:
 
 def entities(pages: DataFrame) -> DataFrame:
     """Distinct capitalised words that do not begin a sentence, runs of them, and their density."""
-    stop = F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS.split())))
-    inner = H.text_of(F.regexp_replace("main", r"(?is)<(nav|footer|header)\b.*?</\1>", ""))
+    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    inner = T.once(_tree(), lambda t: T.text_without(t, F.col("main"), "nav", "footer", "header"))
     sentences = F.transform(F.split("entity_text", "[.!?]+"), lambda s: H.words_of(F.trim(s)))
     named = lambda w: w.rlike("^[A-Z][a-z]+") & ~F.array_contains(stop, F.lower(w))
     # a word that is no name becomes a break; what begins a sentence is left out
@@ -167,8 +174,8 @@ def entities(pages: DataFrame) -> DataFrame:
     multi = F.array_distinct(F.filter("runs", lambda r: F.contains(r, F.lit(" "))))
     rows = rows.withColumns({"names": single, "long_names": multi}).withColumns({"entity_count": F.size(F.array_union("names", "long_names")), "entity_words": F.size(H.words_of(F.col("entity_text")))})
     density = F.when(F.col("entity_words") > 0, F.col("entity_count") / F.col("entity_words") * 100).otherwise(0.0)
-    author = F.col("seen").rlike(r"""(?i)rel=["']author["']|class=["'][^"']*(author|byline)""")
-    org = F.exists(H.json_ld(F.col("html")), lambda b: b.rlike(r"""^\s*\[?\s*\{[^{}]*"@type"\s*:\s*"(Organization|Corporation)\""""))
+    author = F.exists(H.elements_with(_tree(), "author", lambda t: (H.attribute(t, "rel") == "author") | F.contains(H.attribute(t, "class"), F.lit("author"))), lambda e: F.lit(True)) | F.exists(H.elements_with(_tree(), "byline", lambda t: H.has_class(t, "byline")), lambda e: F.lit(True))
+    org = F.exists("ld.items", lambda i: i["top"] & i["type"].isin("Organization", "Corporation"))
     score = _score(*_steps(density, (1, 15), (2, 15), (3, 10)), *_steps(F.col("entity_count"), (5, 10), (10, 10), (20, 5)), *_steps(F.size("long_names"), (2, 10), (5, 5)), (author, 10), (org, 10))
     return rows.withColumns({"entity_density": js_round(density * 100) / 100, "entity_score": score}).drop("entity_text", "runs")
 
@@ -176,10 +183,10 @@ def entities(pages: DataFrame) -> DataFrame:
 def access(pages: DataFrame, robots: str | None = "robots_txt") -> DataFrame:
     """How well a page can be reached; robots.txt and the time to the first byte count where they are known."""
     url = F.col("url")
-    links = H.tags(F.col("html"), "link")
+    links = H.tags(_tree(), "link")
     rows = pages.withColumns({
         "is_https": scheme_of(url) == "https", "has_canonical": F.exists(links, lambda t: (F.lower(H.attribute(t, "rel")) == "canonical") & H.attribute(t, "href").isNotNull()),
-        "is_indexable": ~F.coalesce(F.contains(F.lower(H.meta(F.col("html"), "name", "robots")), F.lit("noindex")), F.lit(False)), "has_hreflang": F.exists(links, lambda t: H.attribute(t, "hreflang").isNotNull()),
+        "is_indexable": ~F.coalesce(F.contains(F.lower(H.meta(_tree(), "name", "robots")), F.lit("noindex")), F.lit(False)), "has_hreflang": F.exists(links, lambda t: H.attribute(t, "hreflang").isNotNull()),
         "clean_url": (query_of(url) == "") | (F.size(F.split(query_of(url), "&")) <= 2),
     })
     n, scripts = F.length("body_text"), H.count_tags(F.col("html"), "script")
@@ -221,7 +228,7 @@ def robots_summary(robots: Column) -> Column:
 
 def links_of(pages: DataFrame) -> DataFrame:
     """``external_hosts`` and ``internal_links`` of a page, from the a elements."""
-    hrefs = F.filter(F.transform(H.tags(F.col("seen"), "a"), lambda t: H.attribute(t, "href")), lambda h: h.isNotNull())
+    hrefs = F.filter(F.transform(H.tags(_tree(), "a"), lambda t: H.attribute(t, "href")), lambda h: h.isNotNull())
     absolute = F.filter("hrefs", lambda h: h.rlike(r"(?i)^(https?:)?//[^/]"))
     hosts = F.transform(absolute, lambda h: host_of(F.when(F.startswith(h, F.lit("//")), F.concat(F.lit("http:"), h)).otherwise(h)))
     rows = pages.withColumn("hrefs", hrefs).withColumn("link_hosts", hosts).withColumn("host", host_of(F.col("url")))
@@ -230,18 +237,20 @@ def links_of(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"external_hosts": F.array_distinct(outside), "external_links": F.size(outside), "internal_links": F.size("hrefs") - F.size(outside) - other, "link_text": F.lower(F.array_join("hrefs", " "))})
 
 
-def images_of(seen: Column) -> tuple[Column, Column]:
-    images = H.tags(seen, "img")
+def images_of(tree: Column) -> tuple[Column, Column]:
+    images = H.tags(tree, "img")
     return F.size(images), F.size(F.filter(images, lambda t: F.length(F.trim(H.attribute(t, "alt"))) > 5))
 
 
 def dates_and_author(pages: DataFrame, as_of: Column) -> DataFrame:
     """``date_text``, ``fresh`` (180 days) and ``author`` of a page: JSON-LD first, then meta, time and author elements."""
-    first = lambda name: F.get(F.filter(F.transform(H.json_ld(F.col("html")), lambda b: F.nullif(F.regexp_extract(b, rf'"{name}"\s*:\s*"([^"]*)"', 1), F.lit(""))), lambda x: x.isNotNull()), F.lit(0))
-    time = F.nullif(F.regexp_extract("html", r"""(?i)<time[^>]*\sdatetime=["']([^"']*)["']""", 1), F.lit(""))
-    date = F.coalesce(first("dateModified"), first("datePublished"), H.meta(F.col("html"), "property", "article:modified_time"), H.meta(F.col("html"), "property", "article:published_time"), time)
-    tagged = F.nullif(H.text_of(F.regexp_extract("seen", r"""(?is)<[a-z]+[^>]*(?:rel=["']author["']|class=["'][^"']*(?:author|byline)[^"']*["'])[^>]*>(.*?)</""", 1)), F.lit(""))
-    named = F.get(F.filter(F.transform(H.json_ld(F.col("html")), lambda b: F.nullif(F.regexp_extract(b, r'"author"\s*:\s*\{[^{}]*"name"\s*:\s*"([^"]*)"', 1), F.lit(""))), lambda x: x.isNotNull()), F.lit(0))
+    top = F.filter("ld.items", lambda i: i["top"])
+    stated = F.aggregate(top, F.lit(None).cast("string"), lambda d, i: F.coalesce(i["date_modified"], d, i["date_published"]))
+    time = T.once(F.get(F.filter(H.tags(_tree(), "time"), lambda t: H.attribute(t, "datetime").isNotNull()), F.lit(0)), lambda t: F.nullif(H.attribute(t, "datetime"), F.lit("")))
+    date = F.coalesce(stated, H.meta(_tree(), "property", "article:modified_time"), H.meta(_tree(), "property", "article:published_time"), time)
+    shown = H.elements_with(_tree(), "", lambda t: (H.attribute(t, "rel") == "author") | H.has_class(t, "author") | H.has_class(t, "byline") | F.contains(H.attribute(t, "class"), F.lit("author-name")))
+    tagged = F.nullif(T.once(_tree(), lambda t: T.once(F.get(shown, F.lit(0)), lambda e: T.text_of(t, e))), F.lit(""))
+    named = F.aggregate(top, F.lit(None).cast("string"), lambda a, i: F.coalesce(i["author_name"], a))
     rows = pages.withColumn("date_text", date).withColumn("author", F.coalesce(tagged, named))
     at = F.try_to_timestamp("date_text")
     seconds = F.timestamp_diff("SECOND", at, as_of.cast("timestamp"))
@@ -250,7 +259,7 @@ def dates_and_author(pages: DataFrame, as_of: Column) -> DataFrame:
 
 def richness(pages: DataFrame) -> DataFrame:
     """P10; needs ``links_of`` and ``dates_and_author``."""
-    n_images, n_alt = images_of(F.col("seen"))
+    n_images, n_alt = images_of(_tree())
     trust = F.size(F.filter("hrefs", lambda h: _holds(h, ("privacy", "terms", "contact"))))
     video = F.col("seen").rlike(r"""(?i)<video[\s>]|<iframe[^>]*src=["'][^"']*(youtube|vimeo|wistia)""")
     rows = pages.withColumns({"statistics": _count(F.col("text"), STATISTICS), "n_images": n_images, "n_alt": n_alt, "n_trust_links": trust, "has_video": video})
@@ -263,12 +272,22 @@ def richness(pages: DataFrame) -> DataFrame:
 
 
 def author_trust(pages: DataFrame) -> DataFrame:
-    """P12; needs ``links_of`` and ``dates_and_author``."""
-    section = H.text_of(F.array_join(F.regexp_extract_all("seen", F.lit(r"""(?is)<[a-z]+[^>]*class=["'][^"']*author[^"']*["'][^>]*>(.*?)</(?:div|section|p|span|aside)>"""), F.lit(1)), " "))
-    blocks = F.array_join(H.json_ld(F.col("html")), " ")
-    person = F.regexp_extract(blocks, r'"author"\s*:\s*\{([^{}]*)\}', 1)
-    bio = F.contains(person, F.lit('"description"')) | (F.col("seen").rlike(r"""(?i)class=["'][^"']*(author-bio|about-author|author-description|author-info)""") & (F.length(section) > 50))
-    credentials = person.rlike('"(jobTitle|knowsAbout)"') | (F.col("author").isNotNull() & _any(section, (r"(?i)<(ph\.?d|m\.?d|m\.?s|m\.?b\.?a|j\.?d|cpa|cfa|rn)>", r"(?i)<(professor|doctor|dr\.|certified|licensed|registered)", r"(?i)<(expert|specialist|consultant|analyst|researcher)>", r"(?i)<(\d+\+?\s+years?\s+(of\s+)?experience)>")))
+    """P12; needs ``links_of`` and ``dates_and_author``. A Person of ``@graph`` is an author too; names in JSON-LD go before those shown."""
+    person = lambda i: ~i["top"] & (i["type"] == "Person") & i["name"].isNotNull()
+    named = F.aggregate("ld.items", F.lit(None).cast("string"), lambda a, i: F.coalesce(F.when(i["top"], i["author_name"]).when(person(i), i["name"]), a))
+    of_class = lambda t, part: F.contains(H.attribute(t, "class"), F.lit(part))
+    sections = H.elements_with(_tree(), "author", lambda t: of_class(t, "author"))
+    bios = H.elements_with(_tree(), "author", lambda t: H.has_class(t, "author-bio") | H.has_class(t, "about-author") | of_class(t, "author-description") | of_class(t, "author-info"))
+    bylines = F.concat(sections, H.elements_with(_tree(), "byline", lambda t: H.has_class(t, "byline")))
+    marked = H.elements_with(_tree(), "author", lambda t: (H.attribute(t, "rel") == "author") | H.has_class(t, "author-name") | (H.attribute(t, "itemprop") == "author"))
+    links = T.once(_tree(), lambda t: T.once(bylines, lambda bs: F.filter(T.of_name(t, "a"), lambda e: F.exists(bs, lambda b: (b["at"] < e["at"]) & (e["at"] < b["end"])))))
+    shown = T.once(_tree(), lambda t: T.once(F.get(F.sort_array(F.concat(marked, links)), F.lit(0)), lambda e: F.nullif(T.text_of(t, e), F.lit(""))))
+    joined = lambda found: T.once(_tree(), lambda t: F.array_join(F.transform(found, lambda e: T.raw_text(t, e)), ""))
+    section = joined(sections)
+    pages = pages.withColumn("author", F.coalesce(named, shown))
+    bio = F.exists("ld.items", lambda i: F.when(i["top"], i["author_bio"]).otherwise(person(i) & i["own_bio"])) | (F.length(T.squeezed(joined(bios))) > 50)
+    titles = F.exists("ld.items", lambda i: F.when(i["top"], i["author_credits"]).otherwise(person(i) & i["own_credits"]))
+    credentials = titles | (F.col("author").isNotNull() & _any(section, CREDENTIALS))
     pages = pages.withColumns({"has_bio": bio, "has_credentials": credentials})
     trust = sum((F.when(_holds(F.col("link_text"), names), 1).otherwise(0) for names in (("privacy",), ("terms", "tos"), ("contact",), ("about",))), F.lit(0))
     sources = F.size(F.filter("external_hosts", lambda h: _holds(h, AUTHORITY_DOMAINS)))
@@ -277,13 +296,19 @@ def author_trust(pages: DataFrame) -> DataFrame:
     return rows.withColumn("author_score", score)
 
 
+def sections_of(pages: DataFrame) -> DataFrame:
+    """``sections``: texts of the runs of a container's own children between those that are headings of level 2 or 3."""
+    child = lambda t, e: F.when(e["name"].isin("h2", "h3"), "\u0001").otherwise(F.replace(T.text_of(t, e), F.lit("\u0001"), F.lit(" ")))
+    children = T.once(_tree(), lambda t: F.transform(F.filter(t["elements"], lambda e: e["parent"] == F.col("main.at")), lambda e: child(t, e)))
+    sections = F.filter(F.transform(F.split(F.array_join(children, " "), "\u0001"), T.squeezed), lambda s: s != "")
+    return pages.withColumn("sections", sections)
+
+
 def quality(pages: DataFrame) -> DataFrame:
     """P13."""
-    paras = H.paragraphs(F.col("seen"))
+    paras = H.paragraphs(_tree())
     rows = pages.withColumn("paras", F.transform(paras, lambda p: F.split(F.lower(p), " ")))
-    # a section begins at a heading of level 2 or 3; what stands before the first one is a section too
-    sections = F.filter(F.transform(F.split("main", r"(?is)<h[23](?:\s[^>]*)?>.*?</h[1-6]>"), lambda s: H.text_of(s)), lambda s: s != "")
-    rows = rows.withColumn("sections", sections)
+    rows = sections_of(rows)
 
     def front(s: Column) -> Column:
         first60 = F.array_join(F.slice(F.split(s, " "), 1, 60), " ")
@@ -294,10 +319,10 @@ def quality(pages: DataFrame) -> DataFrame:
     long = F.filter("paras", lambda p: F.size(p) >= 15)
     heavy = F.filter(long, lambda p: F.size(F.filter(p, lambda w: F.array_contains(pronouns, w))) / F.size(p) > 0.08)
     total = F.size("words")
-    fillers = F.regexp_count(F.lower("text"), F.lit(edged("<(" + "|".join(FILLERS) + ")>")))
+    fillers = F.regexp_count(F.lower("text"), F.lit(edged(r"\b(" + "|".join(FILLERS) + r")\b")))
     sentences = F.size(F.filter(F.split("text", "[.!?]+"), lambda s: F.length(F.trim(s)) > 10))
-    n_images, n_alt = images_of(F.col("seen"))
-    marked = F.concat(F.transform(H.headings(F.col("seen"), "1-4"), lambda h: h["text"]), H.element_texts(F.col("seen"), "strong|b"))
+    n_images, n_alt = images_of(_tree())
+    marked = F.concat(F.transform(H.headings(_tree(), "1234"), lambda h: h["text"]), H.texts_of(_tree(), "strong", "b"))
     rows = rows.withColumns({
         "front_loaded": F.size(F.filter("sections", front)), "concise": F.size(F.filter("paras", lambda p: F.size(p).between(30, 70))),
         "self_contained": F.when(F.size(long) > 0, js_round((1 - F.size(heavy) / F.size(long)) * 100)).otherwise(F.lit(50).cast("long")),
@@ -314,10 +339,10 @@ def quality(pages: DataFrame) -> DataFrame:
     return rows.withColumn("quality_score", score).drop("paras", "sections")
 
 
-def page_type(html: Column, hint: Column | None = None) -> Column:
-    """The hint, else the JSON-LD type, else rules on the path of the canonical url."""
-    types = F.flatten(F.transform(H.json_ld(html), lambda b: F.regexp_extract_all(b, F.lit(r'^\s*\[?\s*\{(?:[^{}\[\]]|\[[^\[\]]*\])*?"@type"\s*:\s*"([^"]*)"'), F.lit(1))))
-    canonical = F.coalesce(H.attribute(F.get(F.filter(H.tags(html, "link"), lambda t: F.lower(H.attribute(t, "rel")) == "canonical"), F.lit(0)), "href"), F.lit(""))
+def page_type(tree: Column, ld: Column, hint: Column | None = None) -> Column:
+    """The hint, else the type of a top-level JSON-LD object, else rules on the path of the canonical url."""
+    types = F.transform(F.filter(ld["items"], lambda i: i["top"]), lambda i: i["type"])
+    canonical = F.coalesce(T.once(F.get(F.filter(H.tags(tree, "link"), lambda t: F.lower(H.attribute(t, "rel")) == "canonical"), F.lit(0)), lambda t: H.attribute(t, "href")), F.lit(""))
     of = lambda *names: F.arrays_overlap(types, F.array(*map(F.lit, names)))
     path = path_of(F.when(canonical == "", "https://example.com").otherwise(canonical))
     rules = F.when(of("Product"), "product").when(of("BlogPosting", "NewsArticle"), "blog-post").when(of("Article"), "article").when(of("FAQPage"), "faq").when(of("LocalBusiness"), "local-business").when(of("Event"), "event")
@@ -327,13 +352,21 @@ def page_type(html: Column, hint: Column | None = None) -> Column:
     return rules if hint is None else F.coalesce(hint, rules)
 
 
+def _until_top(k: Column) -> Column:
+    """How many items follow item k before the next one of the top level."""
+    later = F.filter(F.transform("ld.items", lambda i, j: F.when(i["top"] & (j > k), j)), lambda j: j.isNotNull())
+    return F.coalesce(F.get(later, F.lit(0)), F.size("ld.items")) - k - 1
+
+
 def faq(pages: DataFrame) -> DataFrame:
     """P5: question headings, blocks that look like questions and answers, and FAQPage JSON-LD (top level or @graph)."""
     blocks = F.regexp_count("seen", F.lit(r"""(?i)<(?:[a-z0-9]+\s(?:[^>]*\s)?(?:class=["'][^"']*(?:faq|accordion)|id=["'][^"']*faq)|details[\s>]|dt[\s>])"""))
-    questions = F.filter(H.headings(F.col("seen"), "2-4"), lambda h: h["text"].rlike(QUESTION) | F.endswith(h["text"], F.lit("?")))
-    faq_blocks = F.filter(H.json_ld(F.col("html")), lambda b: b.rlike(r'"@type"\s*:\s*"FAQPage"'))
-    count = F.aggregate(F.transform(faq_blocks, lambda b: F.regexp_count(b, F.lit(r'"@type"\s*:\s*"Question"'))), F.lit(0), lambda s, x: s + x)
-    rows = pages.withColumns({"faq_schema": F.size(faq_blocks) > 0, "faq_questions": count, "qa_blocks": blocks, "question_headings": F.size(questions)})
+    questions = F.filter(H.headings(_tree(), "234"), lambda h: h["text"].rlike(QUESTION) | F.endswith(h["text"], F.lit("?")))
+    # an object is one of questions by its own type, or by that of an item of its @graph; its own main entities count
+    of_faq = F.transform("ld.items", lambda i, k: i["top"] & (i["type"].eqNullSafe("FAQPage") | F.exists(F.slice("ld.items", k + 2, _until_top(k)), lambda g: g["type"] == "FAQPage")))
+    faq = F.filter(F.zip_with("ld.items", of_faq, lambda i, f: F.struct(f.alias("faq"), i["n_main"].alias("n"))), lambda x: x["faq"])
+    count = F.aggregate(faq, F.lit(0), lambda s, x: s + x["n"])
+    rows = pages.withColumns({"faq_schema": F.size(faq) > 0, "faq_questions": count, "qa_blocks": blocks, "question_headings": F.size(questions)})
     s = F.col("faq_schema")
     score = _score((s, 25), (s & (F.col("faq_questions") >= 3), 10), (s & (F.col("faq_questions") >= 5), 5), *_steps(F.col("qa_blocks"), (1, 15), (3, 10), (5, 5)), *_steps(F.col("question_headings"), (1, 15), (3, 10), (5, 5)))
     return rows.withColumn("faq_score", score)
@@ -341,11 +374,11 @@ def faq(pages: DataFrame) -> DataFrame:
 
 def feeds(pages: DataFrame, robots: str = "robots_txt") -> DataFrame:
     """P7."""
-    link_types = F.transform(H.tags(F.col("html"), "link"), lambda t: F.struct(F.lower(H.attribute(t, "type")).alias("type"), F.lower(H.attribute(t, "rel")).alias("rel"), H.attribute(t, "href").alias("href")))
+    link_types = F.transform(H.tags(_tree(), "link"), lambda t: F.struct(F.lower(H.attribute(t, "type")).alias("type"), F.lower(H.attribute(t, "rel")).alias("rel"), H.attribute(t, "href").alias("href")))
     rows = pages.withColumn("links_in_head", link_types)
     of = lambda kind: F.filter("links_in_head", lambda t: (t["type"] == kind) & (F.length(t["href"]) > 0))
     rss, atom = F.size(of("application/rss+xml")), F.size(of("application/atom+xml"))
-    hrefs = F.transform(H.tags(F.col("seen"), "a"), lambda t: H.attribute(t, "href"))
+    hrefs = F.transform(H.tags(_tree(), "a"), lambda t: H.attribute(t, "href"))
     sitemap = F.exists(hrefs, lambda h: h.rlike(r"(?i)sitemap.*\.xml") & F.contains(h, F.lit("sitemap"))) | F.coalesce(F.col(robots).rlike(r"(?im)^sitemap:\s*\S"), F.lit(False))
     llms = F.exists("links_in_head", lambda t: t["href"].rlike(r"llms\.txt|llms-full")) | F.exists(hrefs, lambda h: F.contains(h, F.lit("llms.txt")))
     rows = rows.withColumns({"n_rss": rss, "n_atom": atom, "has_sitemap": F.coalesce(sitemap, F.lit(False)), "has_manifest": F.exists("links_in_head", lambda t: t["rel"] == "manifest"), "has_llms_txt": F.coalesce(llms, F.lit(False))})
@@ -358,16 +391,19 @@ def sensitivity(pages: DataFrame) -> DataFrame:
     """P20, S3: the category of most keywords per word, and the trust signals it asks for; needs ``links_of``."""
     # an empty text counts as one word
     n = F.greatest(F.size(F.split("body_text", " ")), F.lit(1))
-    density = [F.regexp_count("body_text", F.lit(edged(f"(?i)<({words})>"))) / n for _, words, _ in SENSITIVE]
+    density = [F.regexp_count("body_text", F.lit(edged(rf"(?i)\b({words})\b"))) / n for _, words, _ in SENSITIVE]
     ranked = F.array(*(F.struct(d.alias("density"), F.lit(-k).alias("ord"), F.lit(name).alias("category"), F.array(*map(F.lit, signals)).alias("required")) for k, (d, (name, _, signals)) in enumerate(zip(density, SENSITIVE, strict=True))))
     rows = pages.withColumn("top", F.array_max(F.filter(ranked, lambda x: x["density"] > 0.005)))
     lower = F.lower("body_text")
-    html, ld = F.col("html"), F.array_join(H.json_ld(F.col("html")), " ")
+    ld = F.array_join(H.json_ld(_tree()), " ")
+    named = H.elements_with(_tree(), "", lambda t: (H.attribute(t, "rel") == "author") | H.has_class(t, "author-name") | H.has_class(t, "byline") | (H.attribute(t, "itemprop") == "author"))
+    section = T.once(_tree(), lambda t: F.array_join(F.transform(H.elements_with(t, "author", lambda x: F.contains(H.attribute(x, "class"), F.lit("author"))), lambda e: T.raw_text(t, e)), ""))
+    dated = F.exists(H.tags(_tree(), "time"), lambda t: H.attribute(t, "datetime").isNotNull()) | F.exists(H.tags(_tree(), "meta"), lambda t: F.coalesce(H.attribute(t, "property") == "article:modified_time", F.lit(False)))
     signals = {
-        "namedAuthor": html.rlike(r"""(?i)rel=["']author["']|class=["'][^"']*(author-name|byline)|itemprop=["']author""") | F.contains(ld, F.lit('"author"')),
-        "authorCredentials": html.rlike(edged(r"""(?is)class=["'][^"']*author[^"']*["'][^\x00]{0,400}?<(ph\.?d|m\.?d|m\.?s|certified|licensed|professor|doctor)>""").replace("[^\\x00]", "[\\s\\S]")),
+        "namedAuthor": (F.size(named) > 0) | F.contains(ld, F.lit('"author"')),
+        "authorCredentials": section.rlike(edged(SENSITIVE_CREDENTIALS)),
         **{name: _holds(lower, texts) for name, texts in DISCLAIMERS.items()},
-        "dateModified": html.rlike(r"""(?i)<meta[^>]*property=["']article:modified_time|<time[^>]*\sdatetime=""") | F.contains(ld, F.lit('"dateModified"')),
+        "dateModified": dated | F.contains(ld, F.lit('"dateModified"')),
         "primarySources": F.col("external_links") >= 3,
     }
     present = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in signals.items())), lambda x: x.isNotNull())
@@ -388,7 +424,7 @@ def information_gain(pages: DataFrame) -> DataFrame:
 
 def topical_depth(pages: DataFrame) -> DataFrame:
     """P23; needs ``links_of``. Repeated pairs of words are counted inside the row: sorted, a pair equal to the next."""
-    tops = F.transform(F.filter(H.headings(F.col("seen"), "2-4"), lambda h: F.length(h["text"]) > 3), lambda h: F.lower(h["text"]))
+    tops = F.transform(F.filter(H.headings(_tree(), "234"), lambda h: F.length(h["text"]) > 3), lambda h: F.lower(h["text"]))
     rows = pages.withColumn("subtopics", tops).withColumn("lowered", F.transform("words", lambda w: F.lower(w)))
     n = F.size("words")
     pairs = F.zip_with(F.slice("lowered", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("lowered", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -408,15 +444,15 @@ def topical_depth(pages: DataFrame) -> DataFrame:
 
 def conversational(pages: DataFrame) -> DataFrame:
     """P24."""
-    heads = H.headings(F.col("seen"), "1-4")
-    paras = F.filter(H.paragraphs(F.col("seen")), lambda p: F.length(p) >= 30)
+    heads = H.headings(_tree(), "1234")
+    paras = F.filter(H.paragraphs(_tree()), lambda p: F.length(p) >= 30)
     rows = pages.withColumns({"heads": F.transform(heads, lambda h: h["text"]), "paras": paras})
     asked = F.size(F.filter("heads", lambda h: h.rlike(r"(?i)^(what|how|why|when|where|who|which|can|does|is|are|should|could|will)\s") | F.endswith(h, F.lit("?"))))
-    you = edged(r"(?i)<you(r|'re|'ll|'ve)?>")
+    you = edged(r"(?i)\byou(r|'re|'ll|'ve)?\b")
     speaks = F.size(F.filter("paras", lambda p: _any(p, STARTERS))) + F.size(F.filter("paras", lambda p: p.rlike(you)))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rows = rows.withColumns({"question_ratio": ratio(asked, F.size("heads")), "language_ratio": F.least(F.lit(1.0), ratio(speaks, F.size("paras"))), "direct_answers": F.size(F.filter("paras", lambda p: _any(p, DIRECT))), "query_phrases": _count(F.lower("body_text"), QUERY_PHRASES)})
-    tone = (F.col("language_ratio") > 0.2) | (F.col("question_ratio") > 0.3) | F.col("body_text").rlike(edged(r"(?i)<(you|your|you're)>"))
+    tone = (F.col("language_ratio") > 0.2) | (F.col("question_ratio") > 0.3) | F.col("body_text").rlike(edged(r"(?i)\b(you|your|you're)\b"))
     score = _score(*_steps(F.col("question_ratio"), (0.1, 5), (0.25, 10), (0.5, 5)), *_steps(F.col("language_ratio"), (0.1, 5), (0.2, 10), (0.4, 5)), *_steps(F.col("direct_answers"), (1, 5), (3, 10), (5, 5)), *_steps(F.col("query_phrases"), (2, 5), (5, 10), (10, 5)), (tone, 20))
     return rows.withColumn("conversation_score", score).drop("heads", "paras")
 

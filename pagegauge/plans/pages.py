@@ -66,8 +66,7 @@ def _above(x: str, *steps: tuple[float, int]) -> list[tuple[str, int]]:
 
 def _matches(text: str, patterns) -> str:
     """How often the patterns of ``pages`` are found."""
-    edge = lambda p: p.replace("<", r"\b").replace(">", r"\b").replace("'", "''")
-    return "(" + " + ".join(f"len(regexp_extract_all({text}, '{edge(p)}'))" for p in patterns) + ")"
+    return "(" + " + ".join("len(regexp_extract_all({}, '{}'))".format(text, p.replace("'", "''")) for p in patterns) + ")"
 
 
 def _some(text: str, patterns) -> str:
@@ -84,7 +83,7 @@ def _paragraphs(part: str) -> str:
 
 _MARKED = f"""list_concat(list_transform(heads, lambda h: h.text), list_transform(regexp_extract_all(seen, '(?is)<(?:strong|b)(?:\\s[^>]*)?>(.*?)</(?:strong|b)>', 1), lambda x: {_text('x')}))"""
 _LINKS = r"""list_filter(list_transform(regexp_extract_all(seen, '(?is)<a\s[^>]*>'), lambda t: CASE WHEN regexp_matches(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')') THEN replace(regexp_extract(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1) || regexp_extract(t, '(?is)\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 2), '&amp;', '&') END), lambda h: h IS NOT NULL)"""
-_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(pages.STOP_WORDS.split()))
+_STOPS = ", ".join(f"'{w}'" for w in pages.STOP_WORDS)
 _RUNS = rf"""en AS (SELECT *, {_text(r"regexp_replace(main, '(?is)<nav\b.*?</nav>|<footer\b.*?</footer>|<header\b.*?</header>', '', 'g')")} AS entity_text FROM p),
 er AS (SELECT *, flatten(list_transform(string_split_regex(entity_text, '[.!?]+'), lambda s: list_filter(list_transform(string_split(array_to_string(list_transform(list_filter(string_split(trim(s), ' '), lambda w: w <> '')[2:], lambda w: CASE WHEN regexp_matches(w, '^[A-Z][a-z]+') AND lower(w) NOT IN ({_STOPS}) THEN w ELSE chr(1) END), ' '), chr(1)), lambda r: trim(r)), lambda r: r <> ''))) AS runs FROM en),
 names AS (SELECT *, list_distinct(flatten(list_transform(runs, lambda r: string_split(r, ' ')))) AS single, list_distinct(list_filter(runs, lambda r: contains(r, ' '))) AS multi, len(list_filter(string_split(entity_text, ' '), lambda w: w <> '')) AS entity_words FROM er)"""
@@ -92,6 +91,52 @@ names AS (SELECT *, list_distinct(flatten(list_transform(runs, lambda r: string_
 _PARTS = f"s AS (SELECT *, {_SEEN} AS seen FROM pages), m AS (SELECT *, {_MAIN} AS main, {_text('(' + _BODY + ')')} AS body_text FROM s), t AS (SELECT *, {_text('main')} AS text FROM m), p AS (SELECT *, list_filter(string_split(text, ' '), lambda w: w <> '') AS words FROM t)"
 
 
+_NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+# blocks of JSON-LD by page number, as the driver's pages have none
+_BLOCKS = (
+    "",
+    '{"@type": "Article", "headline": "Weekly notes", "author": {"@type": "Person", "name": "Ann Lee", "jobTitle": "Editor"}, "datePublished": "2024-01-10"}',
+    '{"@type": "Product", "name": "Widget", "datePublished": "2031-05-01", "aggregateRating": {"@type": "AggregateRating", "ratingValue": 7, "bestRating": 5}}',
+    '{"@type": }',
+    '[{"@type": "Organization", "name": ""}, {"@type": "WebSite", "speakable": {"@type": "SpeakableSpecification"}}]',
+    '{"@graph": [{"@type": "Person", "name": "Bo Dean", "description": "Writes about lakes"}, {"@type": "FAQPage"}], "mainEntity": [1, 2, 3]}',
+    '{"author": {"name": "Cy Fox", "knowsAbout": ["lakes"]}, "dateModified": "2024-01-20", "@type": ["Article", "Thing"], "parts": [{"@type": "Hidden", "speakable": 1}]}',
+    '{"description": "' + "A long description of a page. " * 200 + '", "publisher": {"@type": "Corporation", "logo": {"@type": "ImageObject"}}, "@type": "Organization"}',
+)
+
+
+def _marked_up(spark, sf_dir):
+    """``pages`` with a block of JSON-LD before some."""
+    block = F.get(F.array(*map(F.lit, _BLOCKS)), (F.col("page_id") % len(_BLOCKS)).cast("int"))
+    return _raw(spark, sf_dir).withColumn("html", F.concat(F.when(block == "", "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))), F.coalesce("html", F.lit(""))))
+
+
+def _json_sql() -> str:
+    """``item``: the objects of the blocks and of their ``@graph``, parsed; ``kind``: types, badness and whether something is speakable, by block."""
+    rows = ", ".join("({}, '{}')".format(k, b.replace("'", "''")) for k, b in enumerate(_BLOCKS))
+    text = lambda key: f"CASE WHEN json_type(o, '$.{key}') NOT IN ('OBJECT', 'ARRAY') THEN nullif(json_extract_string(o, '$.{key}'), '') END"
+    names = (("headline", "headline"), ("name", "name"), ("description", "description"), ("published", "datePublished"), ("modified", "dateModified"), ("created", "dateCreated"))
+    return rf"""blk(k, b) AS (VALUES {rows}),
+good AS (SELECT k, b::JSON AS j FROM blk WHERE json_valid(b)),
+above AS (SELECT k, o, pos FROM (SELECT k, unnest(list) AS o, unnest(range(len(list))) AS pos FROM (SELECT k, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END AS list FROM good)) WHERE json_type(o) = 'OBJECT'),
+below AS (SELECT k, pos, unnest(json_extract(o, '$."@graph"[*]')) AS o FROM above),
+item AS (SELECT *, coalesce(json_extract_string(o, '$."@type"'), '') AS type, {", ".join(f"{text(key)} AS {name}" for name, key in names)}, {text("author.name")} AS author_name, coalesce({text("author.name")}, {text("author")}) AS author
+  FROM (SELECT k, pos, true AS top, o FROM above UNION ALL SELECT k, pos, false, o FROM below WHERE json_type(o) = 'OBJECT')),
+found AS (SELECT k, t.key, t.atom, regexp_replace(t.fullkey, '"?@graph"?\[\d+\]', '', 'g') AS place FROM good, json_tree(CASE WHEN json_type(j) = 'ARRAY' THEN j ELSE json_array(j) END) t),
+kind AS (SELECT blk.k, blk.b <> '' AND NOT json_valid(blk.b) AS bad, coalesce(list(DISTINCT lower(json_extract_string(atom, '$'))) FILTER (regexp_matches(place, '^\$\[\d+\][^\[]*"@type"(\[\d+\])?$') AND atom IS NOT NULL), []) AS types,
+  coalesce(bool_or(key = 'speakable'), false) AS speakable, (SELECT count(*) FROM above WHERE above.k = blk.k) AS objects FROM blk LEFT JOIN found ON found.k = blk.k GROUP BY blk.k, blk.b)"""
+
+
+_JSON = _json_sql()
+# the pages with the blocks before them
+_MARKED_UP = f"mp AS (SELECT p.*, p.page_id % {len(_BLOCKS)} AS k FROM p)"
+_FUZZY = lambda a, b: f"({_NORM.format(x=a)} = {_NORM.format(x=b)} OR contains({_NORM.format(x=a)}, {_NORM.format(x=b)}) OR contains({_NORM.format(x=b)}, {_NORM.format(x=a)}))"
+_LD = f"""ld AS (SELECT *, {_HEADS} AS heads, {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, trim(regexp_extract(html, '(?is)<meta\\s[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)', 1)) AS about FROM mp),
+lt AS (SELECT *, coalesce(list_filter(heads, lambda h: h.level = 1)[1].text, '') AS h1 FROM ld)"""
+
+
 @query(f"WITH {_PARTS} SELECT page_id, len(words)::INTEGER AS n_words, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: length(trim(x)) > 0))::INTEGER AS n_sentences, length(text)::INTEGER AS chars FROM p")
 def p1_text_facts(spark, sf_dir):
     return pages.text_facts(_parts(spark, sf_dir)).select("page_id", "n_words", "n_sentences", F.length("text").alias("chars"))
@@ -123,10 +168,10 @@ def p6_summaries(spark, sf_dir):
     return pages.summaries(_parts(spark, sf_dir)).select("page_id", "meta_description_length", "opening_words", "has_definition", "has_tldr", "summary_score")
 
 
-@query(f"""WITH {_PARTS}, {_RUNS}, d AS (SELECT *, len(list_distinct(list_concat(single, multi))) AS n, len(multi) AS n_long FROM names), e AS (SELECT *, CASE WHEN entity_words > 0 THEN n / entity_words::DOUBLE * 100 ELSE 0 END AS density FROM d)
-SELECT page_id, n::INTEGER AS entity_count, n_long::INTEGER AS n_long, floor(density * 100 + 0.5) / 100 AS entity_density, {_points(*_above("density", (1, 15), (2, 15), (3, 10)), *_above("n", (5, 10), (10, 10), (20, 5)), *_above("n_long", (2, 10), (5, 5)), (r"""regexp_matches(seen, '(?i)rel=["'']author["'']|class=["''][^"'']*(author|byline)')""", 10))} AS entity_score FROM e""")
+@query(f"""WITH {_PARTS}, {_JSON}, {_RUNS}, d AS (SELECT *, len(list_distinct(list_concat(single, multi))) AS n, len(multi) AS n_long FROM names), e AS (SELECT *, CASE WHEN entity_words > 0 THEN n / entity_words::DOUBLE * 100 ELSE 0 END AS density FROM d)
+SELECT page_id, n::INTEGER AS entity_count, n_long::INTEGER AS n_long, floor(density * 100 + 0.5) / 100 AS entity_density, {_points(*_above("density", (1, 15), (2, 15), (3, 10)), *_above("n", (5, 10), (10, 10), (20, 5)), *_above("n_long", (2, 10), (5, 5)), (r"""regexp_matches(seen, '(?i)rel=["'']author["'']|class=["''][^"'']*(author|byline)')""", 10), (f"EXISTS (SELECT 1 FROM item i WHERE i.top AND i.k = page_id % {len(_BLOCKS)} AND i.type IN ('Organization', 'Corporation'))", 10))} AS entity_score FROM e""")
 def p8_entities(spark, sf_dir):
-    return pages.entities(_parts(spark, sf_dir)).select("page_id", "entity_count", F.size("long_names").alias("n_long"), "entity_density", "entity_score")
+    return pages.entities(pages.with_parts(_marked_up(spark, sf_dir))).select("page_id", "entity_count", F.size("long_names").alias("n_long"), "entity_density", "entity_score")
 
 
 @query(r"""WITH """ + _PARTS + r""", q AS (SELECT *, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM p) SELECT page_id, starts_with(lower(url), 'https:') AS is_https, q = '' OR len(string_split(q, '&')) <= 2 AS clean_url, (length(body_text) < 100 AND len(regexp_extract_all(html, '(?i)<(?:script)[\s/>]')) > 3) OR (regexp_matches(html, '(?i)id=["''](root|app)["'']') AND length(body_text) < 200) AS is_spa, (page_id * 37 % 1500)::INTEGER AS ttfb_ms FROM q""")
@@ -160,14 +205,21 @@ def p10_content_richness(spark, sf_dir):
     return pages.richness(rows).select("page_id", "statistics", F.size("external_hosts").alias("n_hosts"), "n_images", "n_trust_links", "richness_score")
 
 
-@query(rf"""WITH {_PARTS}, {_OUTSIDE}, {_DATED}, f AS (SELECT *, {_text(r"""array_to_string(regexp_extract_all(seen, '(?is)<[a-z]+[^>]*class=["''][^"'']*author[^"'']*["''][^>]*>(.*?)</(?:div|section|p|span|aside)>', 1), ' ')""")} AS section,
-  len(list_filter(list_distinct(list_transform(outside, lambda h: {_HOST_OF.format(u='h')})), lambda h: {" OR ".join(f"contains(h, '{d}')" for d in pages.AUTHORITY_DOMAINS)})) AS sources, {" + ".join(f"({' OR '.join(f"contains(link_text, '{x}')" for x in names)})::INTEGER" for names in (("privacy",), ("terms", "tos"), ("contact",), ("about",)))} AS trust,
-  coalesce(TRY_CAST(dated AS TIMESTAMP) < TIMESTAMP '{AS_OF}' AND TRY_CAST(dated AS TIMESTAMP) > TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY, false) AS fresh FROM dt),
-g AS (SELECT *, regexp_matches(seen, '(?i)class=["''][^"'']*(author-bio|about-author|author-description|author-info)') AND length(section) > 50 AS bio, author IS NOT NULL AND ({_some("section", (r"(?i)<(ph\.?d|m\.?d|m\.?s|m\.?b\.?a|j\.?d|cpa|cfa|rn)>", r"(?i)<(professor|doctor|dr\.|certified|licensed|registered)", r"(?i)<(expert|specialist|consultant|analyst|researcher)>", r"(?i)<(\d+\+?\s+years?\s+(of\s+)?experience)>"))}) AS titles FROM f)
+@query(rf"""WITH {_PARTS}, {_OUTSIDE}, {_DATED}, {_JSON},
+who AS (SELECT k, arg_max(coalesce(CASE WHEN top THEN author_name WHEN type = 'Person' THEN name END), pos * 2 + (NOT top)::INTEGER) FILTER (CASE WHEN top THEN author_name WHEN type = 'Person' THEN name END IS NOT NULL) AS named,
+  bool_or(CASE WHEN top THEN json_extract(o, '$.author.description') IS NOT NULL ELSE type = 'Person' AND name IS NOT NULL AND description IS NOT NULL END) AS wrote,
+  bool_or(CASE WHEN top THEN json_extract(o, '$.author.jobTitle') IS NOT NULL OR json_extract(o, '$.author.knowsAbout') IS NOT NULL ELSE type = 'Person' AND name IS NOT NULL AND (json_extract(o, '$.jobTitle') IS NOT NULL OR json_extract(o, '$.knowsAbout') IS NOT NULL) END) AS works,
+  coalesce(max(modified) FILTER (top), max(published) FILTER (top)) AS stated FROM item GROUP BY k),
+md AS (SELECT dt.* EXCLUDE (author, dated), coalesce(who.stated, dt.dated) AS dated, coalesce(who.named, dt.author) AS author, coalesce(who.wrote, false) AS wrote, coalesce(who.works, false) AS works FROM dt LEFT JOIN who ON who.k = dt.page_id % {len(_BLOCKS)}),
+f AS (SELECT *, array_to_string(list_transform(regexp_extract_all(seen, '(?is)<[a-z]+[^>]*class=["''][^"'']*author[^"'']*["''][^>]*>(.*?)</(?:div|section|p|span|aside)>', 1), lambda x: {_text("x")}), '') AS section,
+  len(list_filter(list_distinct(list_transform(outside, lambda h: {_HOST_OF.format(u='h')})), lambda h: {" OR ".join(f"contains(h, '{d}')" for d in pages.AUTHORITY_DOMAINS)})) AS sources,
+  {" + ".join(f"({' OR '.join(f"contains(link_text, '{x}')" for x in names)})::INTEGER" for names in (("privacy",), ("terms", "tos"), ("contact",), ("about",)))} AS trust,
+  coalesce(TRY_CAST(dated AS TIMESTAMP) < TIMESTAMP '{AS_OF}' AND TRY_CAST(dated AS TIMESTAMP) > TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY, false) AS fresh FROM md),
+g AS (SELECT *, wrote OR (regexp_matches(seen, '(?i)class=["''][^"'']*(author-bio|about-author|author-description|author-info)') AND length(section) > 50) AS bio, works OR (author IS NOT NULL AND {_some("section", pages.CREDENTIALS)}) AS titles FROM f)
 SELECT page_id, author, bio AS has_bio, titles AS has_credentials, trust::INTEGER AS trust_pages, sources::INTEGER AS authority_links,
   {_points(("author IS NOT NULL", 20), ("bio", 15), ("titles", 10), ("dated IS NOT NULL", 5), ("fresh", 10), *((f"trust >= {k}", 5) for k in (1, 2, 3, 4)), *_above("sources", (1, 8), (3, 7), (5, 5)))} AS author_score FROM g""")
 def p12_author_trust(spark, sf_dir):
-    rows = pages.dates_and_author(pages.links_of(_parts(spark, sf_dir)), _as_of())
+    rows = pages.dates_and_author(pages.links_of(pages.with_parts(_marked_up(spark, sf_dir))), _as_of())
     return pages.author_trust(rows).select("page_id", "author", "has_bio", "has_credentials", "trust_pages", "authority_links", "author_score")
 
 
@@ -194,27 +246,34 @@ _TYPES = ("Product", "NewsArticle", "Article", "FAQPage", "LocalBusiness", "Even
 _FOLDERS = ("blog", "shop", "services", "about", "contact", "x")
 
 
-@query(f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<script type="application/ld+json">' || chr(123) || '"@type": "' || ([{', '.join(f"'{t}'" for t in _TYPES)}])[page_id % 7 + 1] || '"' || chr(125) || '</script>' ELSE '' END
-  || CASE WHEN page_id % 2 = 0 THEN '<link rel="canonical" href="' || regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || '/' || CASE WHEN page_id % 5 = 0 THEN '' ELSE ([{', '.join(f"'{t}'" for t in _FOLDERS)}])[page_id % 6 + 1] || '/' || page_id END || '">' ELSE '' END || coalesce(html, '') AS html FROM pages),
-x AS (SELECT page_id, regexp_extract(html, '(?is)<script[^>]*type="application/ld.json"[^>]*>[^<]*"@type": "([^"]*)"', 1) AS t, regexp_extract(html, '(?is)<link rel="canonical" href="([^"]*)"', 1) AS c FROM h)
+_LONG = "A long description of a page. " * 120
+
+
+@query(f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN ([{', '.join(f"'{t}'" for t in _TYPES)}])[page_id % 7 + 1] END AS type,
+  CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || '/' || CASE WHEN page_id % 5 = 0 THEN '' ELSE ([{', '.join(f"'{t}'" for t in _FOLDERS)}])[page_id % 6 + 1] || '/' || page_id END ELSE '' END AS c FROM pages),
+x AS (SELECT page_id, c, json_extract_string(json_object('description', '{_LONG}', 'author', json_object('@type', 'Event'), '@type', type), '$."@type"') AS t FROM h)
 SELECT page_id, CASE WHEN t = 'Product' THEN 'product' WHEN t IN ('BlogPosting', 'NewsArticle') THEN 'blog-post' WHEN t = 'Article' THEN 'article' WHEN t = 'FAQPage' THEN 'faq' WHEN t = 'LocalBusiness' THEN 'local-business' WHEN t = 'Event' THEN 'event'
-  WHEN regexp_matches(c, '(?i)/(blog|news|post|article)/') THEN 'blog-post' WHEN regexp_matches(c, '(?i)/(product|shop|store)/') THEN 'product' WHEN regexp_matches(c, '(?i)/(service|services)/') THEN 'service' WHEN regexp_matches(c, '(?i)/about/') THEN 'about' WHEN regexp_matches(c, '(?i)/contact/') THEN 'contact'
-  WHEN c = '' OR regexp_matches(c, '^[A-Za-z]+://[^/]*/?$') THEN 'homepage' ELSE 'page' END AS page_type FROM x""")
+  WHEN regexp_matches(c, '(?i)/(blog|news|post|article)/') THEN 'blog-post' WHEN regexp_matches(c, '(?i)/(product|shop|store)/') THEN 'product' WHEN regexp_matches(c, '(?i)/(service|services)/') THEN 'service'
+  WHEN regexp_matches(c, '(?i)/about/') THEN 'about' WHEN regexp_matches(c, '(?i)/contact/') THEN 'contact' WHEN c = '' OR regexp_matches(c, '^[A-Za-z]+://[^/]*/?$') THEN 'homepage' ELSE 'page' END AS page_type FROM x""")
 def p14_page_type(spark, sf_dir):
-    """The driver's pages name no canonical url and no type: some of each are put before them, by page number."""
+    """The driver's pages name no canonical url and no type: some of each are put before them, by page number; the type stands behind a long text and an object."""
     n = F.col("page_id")
     at = lambda names, k: F.get(F.array(*map(F.lit, names)), (n % k).cast("int"))
-    block = F.when(n % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type": "'), at(_TYPES, 7), F.lit('"}</script>'))).otherwise("")
+    begun = f'<script type="application/ld+json">{{"description": "{_LONG}", "author": {{"@type": "Event"}}, "@type": "'
+    block = F.when(n % 3 == 0, F.concat(F.lit(begun), at(_TYPES, 7), F.lit('"}</script>'))).otherwise("")
     path = F.when(n % 5 == 0, "").otherwise(F.concat(at(_FOLDERS, 6), F.lit("/"), n.cast("string")))
     link = F.when(n % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0), F.lit("/"), path, F.lit('">'))).otherwise("")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.page_type(F.concat(block, link, F.coalesce("html", F.lit("")))).alias("page_type"))
+    marked = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat(block, link, F.coalesce("html", F.lit(""))).alias("html"))
+    return json_ld.with_json_ld(marked).select("page_id", pages.page_type(F.col("tree"), F.col("ld")).alias("page_type"))
 
 
-@query(rf"""WITH {_PARTS}, f AS (SELECT page_id, len(regexp_extract_all(seen, '(?i)<(?:[a-z0-9]+\s(?:[^>]*\s)?(?:class=["''][^"'']*(?:faq|accordion)|id=["''][^"'']*faq)|details[\s>]|dt[\s>])')) AS blocks,
-  len(list_filter({_HEADS}, lambda h: h.level BETWEEN 2 AND 4 AND (regexp_matches(h.text, '{pages.QUESTION}') OR h.text[-1:] = '?'))) AS asked, len(list_filter(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld.json["''][^>]*>(.*?)</script>', 1), lambda b: regexp_matches(b, '"@type"\s*:\s*"FAQPage"'))) > 0 AS s FROM p)
-SELECT page_id, s AS faq_schema, blocks::INTEGER AS qa_blocks, asked::INTEGER AS question_headings, {_points(("s", 25), *_above("blocks", (1, 15), (3, 10), (5, 5)), *_above("asked", (1, 15), (3, 10), (5, 5)))} AS faq_score FROM f""")
+@query(rf"""WITH {_PARTS}, {_JSON}, {_MARKED_UP}, fq AS (SELECT k, sum(n) AS n FROM (SELECT a.k, json_array_length(a.o, '$.mainEntity') AS n FROM above a WHERE json_extract_string(a.o, '$."@type"') = 'FAQPage' OR EXISTS (SELECT 1 FROM below b WHERE b.k = a.k AND b.pos = a.pos AND json_extract_string(b.o, '$."@type"') = 'FAQPage')) GROUP BY k),
+f AS (SELECT page_id, len(regexp_extract_all(seen, '(?i)<(?:[a-z0-9]+\s(?:[^>]*\s)?(?:class=["''][^"'']*(?:faq|accordion)|id=["''][^"'']*faq)|details[\s>]|dt[\s>])')) AS blocks,
+  len(list_filter({_HEADS}, lambda h: h.level BETWEEN 2 AND 4 AND (regexp_matches(h.text, '{pages.QUESTION}') OR h.text[-1:] = '?'))) AS asked, fq.k IS NOT NULL AS s, coalesce(fq.n, 0) AS n FROM mp LEFT JOIN fq USING (k))
+SELECT page_id, s AS faq_schema, n::INTEGER AS faq_questions, blocks::INTEGER AS qa_blocks, asked::INTEGER AS question_headings,
+  {_points(("s", 25), ("s AND n >= 3", 10), ("s AND n >= 5", 5), *_above("blocks", (1, 15), (3, 10), (5, 5)), *_above("asked", (1, 15), (3, 10), (5, 5)))} AS faq_score FROM f""")
 def p5_faq(spark, sf_dir):
-    return pages.faq(_parts(spark, sf_dir)).select("page_id", "faq_schema", "qa_blocks", "question_headings", "faq_score")
+    return pages.faq(pages.with_parts(_marked_up(spark, sf_dir))).select("page_id", "faq_schema", "faq_questions", "qa_blocks", "question_headings", "faq_score")
 
 
 @query(rf"""WITH {_PARTS}, r AS (SELECT *, {_ROBOTS} AS robots, regexp_extract_all(html, '(?is)<link\s[^>]*>') AS tags, {_LINKS} AS hrefs FROM p), f AS (SELECT *, len(list_filter(tags, lambda t: regexp_matches(t, '(?i)type=["'']application/rss.xml["'']') AND regexp_matches(t, '(?i)href=["''][^"'']'))) AS rss, len(list_filter(tags, lambda t: regexp_matches(t, '(?i)type=["'']application/atom.xml["'']') AND regexp_matches(t, '(?i)href=["''][^"'']'))) AS atom,
@@ -225,9 +284,9 @@ def p7_feeds(spark, sf_dir):
 
 
 def _sensitivity_sql() -> str:
-    density = ", ".join(f"{{'d': {_matches('body_text', (f'(?i)<({words})>',))} / n::DOUBLE, 'k': {-k}, 'name': '{name}', 'asks': [{', '.join(f"'{s}'" for s in signals)}]}}" for k, (name, words, signals) in enumerate(pages.SENSITIVE))
+    density = ", ".join(f"{{'d': {_matches('body_text', (rf'(?i)\b({words})\b',))} / n::DOUBLE, 'k': {-k}, 'name': '{name}', 'asks': [{', '.join(f"'{s}'" for s in signals)}]}}" for k, (name, words, signals) in enumerate(pages.SENSITIVE))
     signals = {
-        "namedAuthor": r"""regexp_matches(html, '(?i)rel=["'']author["'']|class=["''][^"'']*(author-name|byline)|itemprop=["'']author')""", "authorCredentials": r"""regexp_matches(html, '(?is)class=["''][^"'']*author[^"'']*["''].{0,400}?\b(ph\.?d|m\.?d|m\.?s|certified|licensed|professor|doctor)\b')""",
+        "namedAuthor": r"""regexp_matches(html, '(?i)rel=["'']author["'']|class=["''][^"'']*(author-name|byline)|itemprop=["'']author')""", "authorCredentials": rf"""regexp_matches(array_to_string(list_transform(regexp_extract_all(seen, '(?is)<[a-z]+[^>]*class=["''][^"'']*author[^"'']*["''][^>]*>(.*?)</(?:div|section|p|span|aside)>', 1), lambda x: {_text("x")}), ''), '{pages.SENSITIVE_CREDENTIALS}')""",
         **{name: " OR ".join("contains(lower(body_text), '" + t.replace("'", "''") + "')" for t in texts) for name, texts in pages.DISCLAIMERS.items()}, "dateModified": r"""regexp_matches(html, '(?i)<meta[^>]*property=["'']article:modified_time|<time[^>]*\sdatetime=')""", "primarySources": "len(outside) >= 3",
     }
     held = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in signals.items())
@@ -245,7 +304,7 @@ def p20_sensitivity(spark, sf_dir):
 
 
 def _novelty_sql() -> str:
-    flags = [" OR ".join(f"regexp_matches(text, '{x.replace('<', chr(92) + 'b').replace('>', chr(92) + 'b')}')" for x in patterns) for patterns in pages.NOVELTY.values()]
+    flags = [" OR ".join(f"regexp_matches(text, '{x}')" for x in patterns) for patterns in pages.NOVELTY.values()]
     visuals = r"""regexp_matches(html, '(?i)<canvas[\s>]|<svg[^>]*class=["''][^"'']*chart|class=["''][^"'']*(chart|graph)|data-chart')"""
     n = " + ".join(f"(CASE WHEN {x} THEN 1 ELSE 0 END)" for x in [*flags, visuals])
     return f"WITH {_PARTS}, n AS (SELECT page_id, {n} AS n_signals FROM p) SELECT page_id, n_signals::INTEGER AS n_signals, ([15, 35, 55, 70, 85, 100])[n_signals + 1]::BIGINT AS gain_score FROM n"
@@ -270,13 +329,13 @@ def p23_topical_depth(spark, sf_dir):
 
 
 def _conversational_sql() -> str:
-    you = _some("t", (r"(?i)<you(r|'re|'ll|'ve)?>",))
+    you = _some("t", (r"(?i)\byou(r|'re|'ll|'ve)?\b",))
     speaks = f"(len(list_filter(paras, lambda t: {_some('t', pages.STARTERS)})) + len(list_filter(paras, lambda t: {you})))"
     return rf"""WITH {_PARTS}, h AS (SELECT *, list_transform(list_filter({_HEADS}, lambda h: h.level <= 4), lambda h: h.text) AS heads, list_filter({_paragraphs('seen')}, lambda t: length(t) >= 30) AS paras FROM p),
 r AS (SELECT *, CASE WHEN len(heads) > 0 THEN len(list_filter(heads, lambda t: regexp_matches(t, '(?i)^(what|how|why|when|where|who|which|can|does|is|are|should|could|will)\s') OR t[-1:] = '?')) / len(heads)::DOUBLE ELSE 0 END AS q,
   CASE WHEN len(paras) > 0 THEN least(1.0, {speaks} / len(paras)::DOUBLE) ELSE 0 END AS l, len(list_filter(paras, lambda t: {_some('t', pages.DIRECT)})) AS direct, {_matches('lower(body_text)', pages.QUERY_PHRASES)} AS phrases FROM h)
 SELECT page_id, q::DOUBLE AS question_ratio, l::DOUBLE AS language_ratio, direct::INTEGER AS direct_answers, phrases::INTEGER AS query_phrases,
-  {_points(*_above("q", (0.1, 5), (0.25, 10), (0.5, 5)), *_above("l", (0.1, 5), (0.2, 10), (0.4, 5)), *_above("direct", (1, 5), (3, 10), (5, 5)), *_above("phrases", (2, 5), (5, 10), (10, 5)), ("l > 0.2 OR q > 0.3 OR " + _some("body_text", (r"(?i)<(you|your|you're)>",)), 20))} AS conversation_score FROM r"""
+  {_points(*_above("q", (0.1, 5), (0.25, 10), (0.5, 5)), *_above("l", (0.1, 5), (0.2, 10), (0.4, 5)), *_above("direct", (1, 5), (3, 10), (5, 5)), *_above("phrases", (2, 5), (5, 10), (10, 5)), ("l > 0.2 OR q > 0.3 OR " + _some("body_text", (r"(?i)\b(you|your|you're)\b",)), 20))} AS conversation_score FROM r"""
 
 
 @query(_conversational_sql())
@@ -311,44 +370,38 @@ def p30_freshness(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", is_recent(F.col("ts"), _as_of(), 10).alias("recent"))
 
 
-# blocks of JSON-LD by page number, as the driver's pages have none
-_BLOCKS = (
-    "",
-    '{"@type": "Article", "headline": "Weekly notes", "author": {"@type": "Person", "name": "Ann Lee"}, "datePublished": "2024-01-10"}',
-    '{"@type": "Product", "name": "Widget", "datePublished": "2031-05-01", "aggregateRating": {"@type": "AggregateRating", "ratingValue": 7, "bestRating": 5}}',
-    '{"@type": }',
-    '[{"@type": "Organization", "name": ""}, {"@type": "WebSite", "speakable": {"@type": "SpeakableSpecification"}}]',
-)
-
-
-def _marked_up(spark, sf_dir):
-    """``pages`` with a block of JSON-LD before some."""
-    block = F.get(F.array(*map(F.lit, _BLOCKS)), (F.col("page_id") % len(_BLOCKS)).cast("int"))
-    return _raw(spark, sf_dir).withColumn("html", F.concat(F.when(block == "", "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))), F.coalesce("html", F.lit(""))))
-
-
-_LD = f"""ld AS (SELECT *, page_id % 5 AS k, {_HEADS} AS heads, {_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM p),
-lt AS (SELECT *, coalesce(list_filter(heads, lambda h: h.level = 1)[1].text, '') AS h1, CASE k WHEN 1 THEN 'weekly notes' WHEN 2 THEN 'widget' END AS said FROM ld),
-lf AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS nt, trim(regexp_replace(lower(h1), '[^a-z0-9]+', ' ', 'g')) AS nh FROM lt)"""
-
-
-@query(rf"""WITH {_PARTS}, ty AS (SELECT page_id, ([[], ['article', 'person'], ['product', 'aggregaterating'], [], ['organization', 'website', 'speakablespecification']])[page_id % 5 + 1] AS types, regexp_matches(html, '(?i)<[^>]*\sitemscope') AS micro, page_id % 5 AS k FROM p)
-SELECT page_id, len(types)::INTEGER AS n_types, micro AS has_microdata, k = 4 AS is_speakable, least(100, CASE WHEN len(types) > 0 THEN 20 ELSE 0 END + CASE WHEN len(types) >= 3 THEN 15 ELSE 0 END + least(10 * len(list_filter(types, lambda x: x IN ({', '.join(f"'{v}'" for v in json_ld.VALUABLE)}))), 40)
-  + CASE WHEN k = 4 THEN 10 ELSE 0 END + CASE WHEN k IN (1, 2, 4) THEN 5 ELSE 0 END + CASE WHEN k IN (1, 2, 4) AND micro THEN 5 ELSE 0 END)::BIGINT AS schema_score FROM ty""")
+@query(rf"""WITH {_PARTS}, {_JSON}, {_MARKED_UP}, ty AS (SELECT page_id, types, speakable, objects, regexp_matches(html, '(?i)<[^>]*\sitemscope') AS micro FROM mp JOIN kind USING (k))
+SELECT page_id, len(types)::INTEGER AS n_types, micro AS has_microdata, speakable AS is_speakable,
+  least(100, CASE WHEN len(types) > 0 THEN 20 ELSE 0 END + CASE WHEN len(types) >= 3 THEN 15 ELSE 0 END + least(10 * len(list_filter(types, lambda x: x IN ({', '.join(f"'{v}'" for v in json_ld.VALUABLE)}))), 40)
+  + CASE WHEN speakable THEN 10 ELSE 0 END + CASE WHEN objects > 0 THEN 5 ELSE 0 END + CASE WHEN objects > 0 AND micro THEN 5 ELSE 0 END)::BIGINT AS schema_score FROM ty""")
 def p2_p3_schema_types(spark, sf_dir):
     rows = json_ld.schema_score(json_ld.with_json_ld(_marked_up(spark, sf_dir)))
     return rows.select("page_id", F.size("schema_types").alias("n_types"), "has_microdata", "is_speakable", "schema_score")
 
 
-@query(f"""WITH {_PARTS}, {_LD}, c AS (SELECT *, (said IS NOT NULL AND title <> '' AND NOT (contains(nt, said) OR contains(said, nt)) AND NOT (contains(nh, said) OR contains(said, nh)))::INTEGER AS a, (k = 2)::INTEGER AS b, (k = 1 AND NOT contains(body_text, 'Ann Lee'))::INTEGER AS c, (k = 2)::INTEGER AS d, (k = 3)::INTEGER AS e FROM lf)
-SELECT page_id, (a + b + c + d + e)::INTEGER AS n_issues, greatest(0, 100 - a * 20 - b * 20 - c * 15 - least((a + b + c + d + e) * 5, 30))::BIGINT AS accuracy_score FROM c""")
+_LATER = f"TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY"
+_BAD_DATES = " + ".join(f"(i.{d} IS NOT NULL AND coalesce(TRY_CAST(i.{d} AS TIMESTAMP) > {_LATER}, true))::INTEGER" for d in ("published", "modified", "created"))
+
+
+@query(f"""WITH {_PARTS}, {_JSON}, {_MARKED_UP}, {_LD},
+x AS (SELECT lt.page_id, coalesce(title <> '' AND NOT {_FUZZY("coalesce(i.headline, i.name)", "title")} AND NOT {_FUZZY("coalesce(i.headline, i.name)", "h1")}, false)::INTEGER AS a,
+  coalesce(length(i.description) > 10 AND length(about) > 10 AND NOT {_FUZZY("i.description[1:80]", "about[1:80]")}, false)::INTEGER AS d, {_BAD_DATES} AS b, coalesce(length(i.author) > 2 AND NOT contains(body_text, i.author), false)::INTEGER AS c,
+  ((i.type = 'Product' AND json_extract(i.o, '$.offers') IS NULL) OR (i.type = 'Article' AND json_extract(i.o, '$.author') IS NULL) OR (i.type IN ('Review', 'AggregateRating') AND json_extract(i.o, '$.reviewRating') IS NULL AND json_extract(i.o, '$.ratingValue') IS NULL))::INTEGER AS f
+  FROM lt JOIN item i USING (k)),
+y AS (SELECT mp.page_id, any_value(kind.bad)::INTEGER AS e, coalesce(sum(x.a), 0) AS a, coalesce(sum(x.b), 0) AS b, coalesce(sum(x.c), 0) AS c, coalesce(sum(x.d), 0) AS d, coalesce(sum(x.f), 0) AS f FROM mp JOIN kind USING (k) LEFT JOIN x ON x.page_id = mp.page_id GROUP BY mp.page_id)
+SELECT page_id, (a + b + c + d + e + f)::INTEGER AS n_issues,
+  greatest(0, 100 - CASE WHEN a > 0 THEN 20 ELSE 0 END - CASE WHEN d > 0 THEN 15 ELSE 0 END - CASE WHEN b > 0 THEN 20 ELSE 0 END - CASE WHEN c > 0 THEN 15 ELSE 0 END - least((a + b + c + d + e + f) * 5, 30))::BIGINT AS accuracy_score FROM y""")
 def p11_schema_accuracy(spark, sf_dir):
     rows = json_ld.schema_accuracy(json_ld.with_json_ld(pages.with_parts(_marked_up(spark, sf_dir))), _as_of())
     return rows.select("page_id", "n_issues", "accuracy_score")
 
 
-@query(f"""WITH {_PARTS}, {_LD}, c AS (SELECT *, CASE WHEN k = 2 THEN 2 ELSE 0 END AS hard, CASE WHEN k = 1 THEN (NOT contains(lower(text), 'ann lee'))::INTEGER + (h1 <> '' AND NOT (contains(nh, said) OR contains(said, nh)))::INTEGER ELSE 0 END AS soft FROM lf)
-SELECT page_id, hard::INTEGER AS contradictions, soft::INTEGER AS inconsistencies, greatest(0, 100 - hard * 20 - soft * 10)::BIGINT AS risk_score, CASE WHEN hard >= 2 THEN 'high' WHEN hard >= 1 OR soft >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM c""")
+@query(f"""WITH {_PARTS}, {_JSON}, {_MARKED_UP}, {_LD},
+x AS (SELECT lt.page_id, coalesce(length(i.author) > 2 AND NOT contains(lower(text), lower(i.author)), false)::INTEGER + coalesce(h1 <> '' AND NOT {_FUZZY("i.headline", "h1")}, false)::INTEGER AS soft,
+  coalesce(TRY_CAST(i.published AS TIMESTAMP) > {_LATER}, false)::INTEGER + coalesce(TRY_CAST(i.modified AS TIMESTAMP) > {_LATER}, false)::INTEGER
+  + coalesce(json_extract_string(i.o, '$.aggregateRating.ratingValue')::DOUBLE > coalesce(json_extract_string(i.o, '$.aggregateRating.bestRating')::DOUBLE, 5), false)::INTEGER AS hard FROM lt JOIN item i USING (k) WHERE i.top),
+y AS (SELECT mp.page_id, coalesce(sum(soft), 0) AS soft, coalesce(sum(hard), 0) AS hard FROM mp LEFT JOIN x ON x.page_id = mp.page_id GROUP BY mp.page_id)
+SELECT page_id, hard::INTEGER AS contradictions, soft::INTEGER AS inconsistencies, greatest(0, 100 - hard * 20 - soft * 10)::BIGINT AS risk_score, CASE WHEN hard >= 2 THEN 'high' WHEN hard >= 1 OR soft >= 3 THEN 'medium' ELSE 'low' END AS risk_level FROM y""")
 def p21_hallucination_risk(spark, sf_dir):
     rows = json_ld.hallucination_risk(json_ld.with_json_ld(pages.with_parts(_marked_up(spark, sf_dir), H.LANDMARKS)), _as_of())
     return rows.select("page_id", "contradictions", "inconsistencies", "risk_score", "risk_level")
@@ -451,7 +504,6 @@ def _site_entities(spark, sf_dir):
 
 _SITES = rf"""{_PARTS}, {_RUNS}, e AS (SELECT {_HOST} AS site, url || '#' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'Acme ' || (page_id % 7) || ' Inc' WHEN 1 THEN 'ACME, ' || (page_id % 7) || ' Inc.' ELSE 'Beta ' || (page_id % 5) END AS org,
   CASE page_id % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'ann lee' ELSE 'Writer ' || (page_id % 11) END AS author, list_concat(single, multi) AS top FROM names)"""
-_NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _variants(name: str) -> str:

@@ -76,7 +76,7 @@ def test_richness_author_and_links(parts):
 def test_faq_feeds_type_and_rest(parts):
     assert _by_id(pages.faq(parts), "faq_schema", "question_headings")[0] == (True, 1)
     assert _by_id(pages.feeds(parts), "n_rss", "has_sitemap", "feed_score")[0] == (1, False, 25)
-    assert {i: t for i, (t,) in _by_id(parts.select("page_id", pages.page_type(F.col("html")).alias("t")), "t").items()} == {0: "article", 1: "homepage", 2: "homepage", 3: "homepage"}
+    assert {i: t for i, (t,) in _by_id(parts.select("page_id", pages.page_type(F.col("tree"), F.col("ld")).alias("t")), "t").items()} == {0: "article", 1: "homepage", 2: "homepage", 3: "homepage"}
     assert _by_id(pages.information_gain(parts), "novelty", "gain_score")[0] == (["Original research detected", "First-hand experience language"], 55)
     assert _by_id(pages.conversational(parts), "question_ratio")[0][0] == pytest.approx(1 / 3)
     assert _by_id(pages.topical_depth(pages.links_of(parts)), "n_subtopics")[0] == (2,)
@@ -93,23 +93,11 @@ def test_sensitive_page(spark):
 def test_json_ld(parts, spark):
     rows = json_ld.with_json_ld(parts)
     got = _by_id(json_ld.schema_score(rows), "schema_types", "is_article", "is_faqPage", "is_speakable", "schema_score")
-    assert got[0] == (["Article", "Person", "FAQPage"], True, True, False, 20 + 15 + 30 + 5) and got[3] == ([], False, False, False, 0)
+    assert got[0] == (["Article", "FAQPage", "Person"], True, True, False, 20 + 15 + 30 + 5) and got[3] == ([], False, False, False, 0)
     assert _by_id(json_ld.schema_accuracy(rows, F.expr(AS_OF)), "n_issues", "accuracy_score")[0] == (1, 95)
     assert _by_id(json_ld.hallucination_risk(rows, F.expr(AS_OF)), "contradictions", "inconsistencies", "risk_level")[0] == (0, 0, "low")
 
 
-def test_json_ld_walk():
-    assert json_ld._walk(['{"@type":"X","items":[{"@type":"Y"}]}'])["types"] == ["X"]
-    assert json_ld._walk(['[{"@type":["A","B"],"z":{"@type":"C","speakable":1}}]', "{", " "]) | {"items": None} == {"types": ["A", "B", "C"], "items": None, "n_objects": 1, "n_bad": 1, "speakable": True}
-    assert json_ld._walk(None)["types"] == []
-    deep = '{"a":' * 100_000 + "1" + "}" * 100_000
-    assert json_ld._walk([deep, '{"@type":"X"}'])["types"] == ["X"]
-    nested = {"@type": "Z", "speakable": 1}
-    for _ in range(50_000):
-        nested = {"a": [nested]}
-    assert json_ld._walk_node(nested, "speakable") == ([], True)
-
-
 def test_contradictions(spark):
     html = '<script type="application/ld+json">{"headline":"Other","dateModified":"2030-01-01","aggregateRating":{"ratingValue":"7"},"author":"Bob Roe"}</script><body><h1>Title</h1></body>'
     rows = json_ld.with_json_ld(pages.with_parts(spark.createDataFrame([(1, html)], "page_id int, html string")))
