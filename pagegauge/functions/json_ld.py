@@ -76,7 +76,9 @@ def _walked(objects: Column, levels: Column) -> Column:
 
     def inner(n: Column) -> Column:
         def of_object(m: Column) -> Column:
-            values = F.transform(F.map_entries(m), lambda e: node(e["value"], n["counts"] & (_array(e["value"]).isNull() | (e["key"] == "@graph"))))
+            graph = F.transform(F.coalesce(_array(m["@graph"]), _none()), lambda v: node(v, n["counts"]))
+            others = F.filter(F.map_entries(m), lambda e: (e["key"] != "@graph") | _array(e["value"]).isNull())
+            values = F.concat(graph, F.transform(others, lambda e: node(e["value"], n["counts"] & _array(e["value"]).isNull())))
             return F.filter(values, lambda x: _nested(x["value"]))
 
         items = lambda a: F.transform(a, lambda v: node(v, n["counts"] & _array(v).isNull()))
