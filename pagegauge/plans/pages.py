@@ -19,7 +19,7 @@ def _raw(spark, sf_dir):
     """``pages`` with the fetch facts that the table lacks, made from the page's number."""
     n = F.col("page_id")
     robots = F.when(n % 4 == 0, "User-agent: *\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /\nSitemap: https://example.com/sitemap.xml\n").when(n % 4 == 1, "User-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /\nCrawl-delay: 7\n").when(n % 4 == 2, "")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({"robots_txt": robots, "ttfb_ms": (n * 37 % 1500).cast("int"), "status": F.when(n % 23 == 0, 301).when(n % 19 == 0, 404).otherwise(200), "content_type": F.when(n % 17 == 0, "application/pdf").otherwise("text/html; charset=utf-8")})
+    return readers.spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumns({"robots_txt": robots, "ttfb_ms": (n * 37 % 1500).cast("int"), "status": F.when(n % 23 == 0, 301).when(n % 19 == 0, 404).otherwise(200), "content_type": F.when(n % 17 == 0, "application/pdf").otherwise("text/html; charset=utf-8")})
 
 
 def _parts(spark, sf_dir):

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 MAX_HTML = 5 * 1024 * 1024
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer pieces (a small table in one file), for work that costs much a row; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_rows(lines: DataFrame, value: str = "value") -> DataFrame:
     """IO2: lines of an access log that are not empty."""
     return lines.where(F.length(value) > 0)
