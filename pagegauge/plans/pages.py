@@ -8,6 +8,7 @@ from ..functions import html as H
 from ..operators import entities, json_ld, pages, urls
 from ..sources import readers
 from ..sources.bridge import AS_OF
+from ..sources.stored import stored
 from .registry import ORACLE, query
 
 
@@ -492,14 +493,19 @@ def s1_l4_discovered_pages(spark, sf_dir):
     return urls.discovered(home, maps, links)
 
 
-def _site_entities(spark, sf_dir):
-    """Pages of their host, with names taken from their numbers and the entities of their whole text."""
+def _site_names(rows):
+    """Pages of their host, with names taken from their numbers."""
     n = F.col("page_id")
     org = F.when(n % 3 == 0, F.concat(F.lit("Acme "), (n % 7).cast("string"), F.lit(" Inc"))).when(n % 3 == 1, F.concat(F.lit("ACME, "), (n % 7).cast("string"), F.lit(" Inc."))).otherwise(F.concat(F.lit("Beta "), (n % 5).cast("string")))
     author = F.when(n % 4 == 0, "Ann Lee").when(n % 4 == 1, "ann lee").otherwise(F.concat(F.lit("Writer "), (n % 11).cast("string")))
-    rows = pages.entities(_parts(spark, sf_dir))
     url = F.concat("url", F.lit("#"), n.cast("string"))
-    return rows.select(urls.host_of(F.col("url")).alias("site"), url.alias("url"), F.array(org).alias("organization_names"), F.array(author).alias("author_names"), F.array_union("names", "long_names").alias("top_entities"))
+    return rows.select(urls.host_of(F.col("url")).alias("site"), url.alias("url"), F.array(org).alias("organization_names"), F.array(author).alias("author_names"), *(c for c in ("top_entities",) if c in rows.columns))
+
+
+def _site_entities(spark, sf_dir):
+    """As ``_site_names``, with the entities of each page's whole text, which are found once."""
+    rows = pages.entities(_parts(spark, sf_dir)).select("page_id", "url", F.array_union("names", "long_names").alias("top_entities"))
+    return _site_names(stored(rows, "page-entities"))
 
 
 _SITES = rf"""{_PARTS}, {_RUNS}, e AS (SELECT {_HOST} AS site, url || '#' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'Acme ' || (page_id % 7) || ' Inc' WHEN 1 THEN 'ACME, ' || (page_id % 7) || ' Inc.' ELSE 'Beta ' || (page_id % 5) END AS org,
@@ -523,12 +529,12 @@ overlap AS (SELECT n.site, n.pages, coalesce(floor(avg(CASE WHEN two > 0 THEN i
 
 @query(f"WITH {_SITES}, {_distinct('org')} {_variants('org')}")
 def j12_name_variants(spark, sf_dir):
-    return entities.name_variants(_site_entities(spark, sf_dir), "organization_names")
+    return entities.name_variants(_site_names(spark.read.parquet(f"{sf_dir}/pages.parquet")), "organization_names")
 
 
 @query(f"WITH {_SITES}, {_distinct('org')}, v AS ({_variants('org')}) SELECT DISTINCT e.site, e.url FROM e JOIN v ON e.site = v.site AND (contains({_NORM.format(x='e.org')}, {_NORM.format(x='v.name')}) OR contains({_NORM.format(x='v.name')}, {_NORM.format(x='e.org')}))")
 def j13_affected_pages(spark, sf_dir):
-    rows = _site_entities(spark, sf_dir)
+    rows = _site_names(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return entities.affected_pages(rows, entities.name_variants(rows, "organization_names"), "organization_names")
 
 

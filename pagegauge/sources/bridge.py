@@ -6,8 +6,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.constants import SUB_SCORES
+from .stored import new_path
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 AS_OF = "2024-01-31 00:00:00"
@@ -63,11 +65,20 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_sql(name, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", "TIMESTAMP_NTZ"))
 
 
-def arriving(spark: SparkSession, sf_dir: str, name: str, table: str = "events") -> DataFrame:
-    """A view over one of the driver's tables as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/{table}.parquet*")
-    stream.createOrReplaceTempView(f"arriving_{table}")
+#: Micro-batches of a table that arrives in parts.
+PARTS = 4
+
+
+def arriving_in_parts(spark: SparkSession, sf_dir: str, name: str, parts: int = PARTS) -> DataFrame:
+    """A view over ``events`` as a stream: the table as it came in over time, in so many files of equal spans, one of which is a micro-batch."""
+    events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), new_path(spark, "arriving")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    first, span = first or 0, max(1, ((last or 0) - (first or 0)) // parts + 1)
+    for k in range(parts):  # one after another, as a stream takes files by their age
+        events.where(((at - first) / span).cast("int").eqNullSafe(k) | (at.isNull() & F.lit(k == 0))).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream.createOrReplaceTempView("arriving_events")
     return spark.sql(_sql(name, lambda t: f"arriving_{t}", "TIMESTAMP_NTZ"))
 
 

@@ -1,22 +1,31 @@
 """Structured Streaming forms of jobs that also have a batch form.
 
-Per-key state is small (a score and its sub-scores, a hash, a balance, a count). Rows of a key are taken in the order of (ts, seq) within a
-micro-batch; earlier micro-batches come first.
+Per-key state is small (a score and its sub-scores, a hash, a balance, a count). Scores and hashes of pages are kept by ``transformWithState``: rows that are later
+than the watermark are dropped, and what a key holds is forgotten by an event-time timer once nothing came for ``keep``, so state follows the pages
+that are still scanned. Rows of a key are taken in the order of time and number within a micro-batch (whose size the source bounds); earlier micro-batches come first.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.constants import SUB_SCORES
 from ..operators.alerts import AlertConfig, alert_list
 from ..operators.logs import visits
+from ..sources.stored import new_path
+
+#: How much later than the newest row another may come, and how long a page that isn't seen again is kept in mind.
+LATE, KEEP = "7 days", dt.timedelta(days=400)
+_ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def visits_per_day(lines: DataFrame, as_of: Column, late: str = "1 day") -> DataFrame:
@@ -34,45 +43,82 @@ def _stateful(rows: DataFrame, keys: list[str], fold, output: str, state: str) -
     return rows.groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def with_previous_scores(scans: DataFrame, columns: tuple[str, ...] = ("score", *SUB_SCORES)) -> DataFrame:
-    """Each arriving scan beside the last one of its project and url (``prev_<column>``, null for the first)."""
+class LastRow(StatefulProcessor):
+    """Each row of a key beside what the row before it had in some columns; the last row is forgotten after ``keep``.
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "created_at", "id")
-        first = list(state.get) if state.exists else [None] * len(columns)
-        before = rows[list(columns)].shift(1).astype(object)
-        before.iloc[0] = first
-        state.update(tuple(int(x) for x in rows[list(columns)].iloc[-1]))
-        out = rows[["id", "project_id", "url", "created_at", *columns]].copy()
-        for c in columns:
-            out[f"prev_{c}"] = before[c].astype("Int32")
-        yield out
-
-    kept = "id long, project_id long, url string, created_at timestamp_ntz, " + ", ".join(f"{c} int" for c in columns)
-    output = kept + ", " + ", ".join(f"prev_{c} int" for c in columns)
+    ``made(row, before)`` gives the output rows; ``before`` is null for the first. State is one value and one timer a key.
+    """
+
+    def __init__(self, columns: tuple[str, ...], kinds: str, order: tuple[str, ...], made, keep: dt.timedelta):
+        self.columns, self.kinds, self.order, self.made, self.keep = columns, kinds, order, made, int(keep.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", f"seen long, {self.kinds}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.last.get() if self.last.exists() else None
+        if held is None:
+            seen, before = None, None
+        else:
+            seen, before = held[0], tuple(held[1:])
+        first = seen is None
+        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
+            yield from self.made(row, before)
+            before = tuple(row[c] for c in self.columns)
+            at = int(row["event_time"].timestamp() * 1000)
+            seen = at if seen is None else max(seen, at)
+        self.last.update((seen, *before))
+        if first:
+            self.handle.registerTimer(seen + self.keep)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = self.last.get()[0] + self.keep
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)  # seen again since
+        else:
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _beside_last(rows: DataFrame, keys: list[str], at: str, late: str, processor: LastRow, output: str) -> DataFrame:
+    timed = rows.withColumn("event_time", F.col(at).cast("timestamp")).withWatermark("event_time", late)
+    return timed.groupBy(*keys).transformWithState(processor, StructType.fromDDL(output), "append", "EventTime")
+
+
+def with_previous_scores(scans: DataFrame, columns: tuple[str, ...] = ("score", *SUB_SCORES), late: str = LATE, keep: dt.timedelta = KEEP) -> DataFrame:
+    """Each arriving scan beside the last one of its project and url (``prev_<column>``, null for the first, and where a score is null)."""
+    kept = ("id", "project_id", "url", "created_at", *columns)
+
+    def made(row: Row, before: tuple | None) -> Iterator[Row]:
+        yield Row(**{c: row[c] for c in kept}, has_previous=before is not None, **dict(zip((f"prev_{c}" for c in columns), before or [None] * len(columns), strict=True)))
+
+    kinds = ", ".join(f"{c} int" for c in columns)
+    output = f"id long, project_id long, url string, created_at timestamp_ntz, {kinds}, has_previous boolean, " + ", ".join(f"prev_{c} int" for c in columns)
     rows = scans.select("id", "project_id", "url", "created_at", *(F.col(c).cast("int").alias(c) for c in columns))
-    return _stateful(rows, ["project_id", "url"], fold, output, ", ".join(f"{c} int" for c in columns))
+    return _beside_last(rows, ["project_id", "url"], "created_at", late, LastRow(columns, kinds, ("created_at", "id"), made, keep), output)
 
 
-def alert_stream(scans: DataFrame, config: AlertConfig = AlertConfig()) -> DataFrame:
+def alert_stream(scans: DataFrame, config: AlertConfig = AlertConfig(), late: str = LATE, keep: dt.timedelta = KEEP) -> DataFrame:
     """Alerts as scans arrive. The state only pairs scans; the rules are those of the batch form."""
     columns = ("score", *SUB_SCORES)
-    paired = with_previous_scores(scans, columns).where("prev_score is not null")
+    paired = with_previous_scores(scans, columns, late, keep).where("has_previous")
     alerts = alert_list({c: F.col(c) for c in columns}, {c: F.col(f"prev_{c}") for c in columns}, F.col("url"), config)
     return paired.select("id", "project_id", "url", "created_at", F.inline(alerts))
 
 
-def changed_page_stream(pages: DataFrame) -> DataFrame:
-    """Pages (project_id, url, content_hash, ts, seq) whose hash differs from the last one seen of their url."""
+def changed_page_stream(pages: DataFrame, late: str = LATE, keep: dt.timedelta = KEEP) -> DataFrame:
+    """Pages (project_id, url, content_hash, ts, seq) whose hash differs from the last one seen of their url, or is null."""
+    kept = ("project_id", "url", "content_hash", "ts", "seq")
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(batches, "ts", "seq")
-        before = rows["content_hash"].shift(1)
-        before.iloc[0] = state.get[0] if state.exists else None
-        state.update((rows["content_hash"].iloc[-1],))
-        yield rows[(rows["content_hash"] != before) | rows["content_hash"].isna()]
+    def made(row: Row, before: tuple | None) -> Iterator[Row]:
+        if before is None or row["content_hash"] is None or row["content_hash"] != before[0]:
+            yield Row(**{c: row[c] for c in kept})
 
-    return _stateful(pages.select("project_id", "url", "content_hash", "ts", "seq"), ["project_id", "url"], fold, "project_id long, url string, content_hash string, ts timestamp_ntz, seq long", "content_hash string")
+    processor = LastRow(("content_hash",), "content_hash string", ("ts", "seq"), made, keep)
+    return _beside_last(pages.select(*kept), ["project_id", "url"], "ts", late, processor, "project_id long, url string, content_hash string, ts timestamp_ntz, seq long")
 
 
 def credit_stream(events: DataFrame) -> DataFrame:
@@ -118,18 +164,37 @@ def last_of_each(states: DataFrame, key: str) -> DataFrame:
     return states.groupBy(key).agg(F.max_by(F.struct(*(c for c in states.columns if c != key)), "seq").alias("x")).select(key, "x.*")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+@contextmanager
+def rocks(spark: SparkSession):
+    """A stream that is started inside keeps its state in RocksDB, as ``transformWithState`` asks; the session is left as it was."""
+    before = {k: spark.conf.get(k, None) for k in _ROCKS}
+    try:
+        for k, v in _ROCKS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over all that has arrived by now, into the folder that driver and executors share, and reads it back.
 
-    In "complete" mode each micro-batch replaces the result. A restart goes on from the stream's own checkpoint.
+    With ``keys`` the stream runs in "update" mode: each micro-batch writes what it changed under its own number, and the last row of each key counts. A restart
+    goes on from the stream's own checkpoint.
     """
     spark: SparkSession = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    out = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{path}/state")
-    if mode == "append":
-        out = out.format("parquet").option("path", f"{path}/rows")
+    path = new_path(spark, name)
+    out = stream.writeStream.trigger(availableNow=True).outputMode("update" if keys else "append").option("checkpointLocation", f"{path}/state")
+    if keys:
+        out = out.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}"))
     else:
-        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
-    out.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+        out = out.format("parquet").option("path", f"{path}/rows")
+    with rocks(spark):
+        query = out.start()
+    query.awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())]) if keys else stream.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if not keys:
+        return rows
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
