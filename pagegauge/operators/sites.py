@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import ISSUES, SUB_SCORES, TIERS
+from ..functions.constants import ISSUES, TIERS
 from ..functions.exprs import js_round, percent, tier_of
 
 
@@ -46,11 +46,14 @@ def tier_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("project_id").agg(*counts)
 
 
-def sub_score_means(pages: DataFrame) -> DataFrame:
-    """A4: mean of each sub-score over all pages of a project; a page without one counts 0."""
-    sums = pages.groupBy("project_id").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in SUB_SCORES))
-    long = sums.unpivot(["project_id", "n"], list(SUB_SCORES), "sub_score", "total")
-    return long.select("project_id", "sub_score", js_round(F.col("total") / F.col("n")).alias("average"))
+def sub_score_means(pages: DataFrame, scores: str = "sub_scores") -> DataFrame:
+    """A4: mean of each sub-score over all pages of a project, for every key that some page of it has; a page without one counts 0.
+
+    ``scores`` is a map. Sums and page counts combine before their shuffles, whose rows are keys of a project and not its pages.
+    """
+    sums = pages.select("project_id", F.explode(scores).alias("sub_score", "value")).groupBy("project_id", "sub_score").agg(F.sum(F.coalesce("value", F.lit(0))).alias("total"))
+    counts = pages.groupBy(F.col("project_id").alias("project")).agg(F.count("*").alias("n"))
+    return sums.join(counts, F.col("project_id").eqNullSafe(F.col("project"))).select("project_id", "sub_score", js_round(F.col("total") / F.col("n")).alias("average"))
 
 
 def issue_prevalence(pages: DataFrame) -> DataFrame:
@@ -130,9 +133,24 @@ def history(scans: DataFrame, keys: tuple[str, ...] = ("project_id",), limit: in
     return scans.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("created_at", "id"))).where(F.col("position") <= limit)
 
 
-def within_budget(pages: DataFrame, site: str, order: list[Column], budget: Column) -> DataFrame:
-    """The first pages of a site in crawl order, as many as its budget."""
-    return pages.withColumn("position", F.row_number().over(Window.partitionBy(site).orderBy(*order))).where(F.col("position") <= budget)
+def within_budget(pages: DataFrame, site: str, bins: list[Column], order: list[Column], budget: Column) -> DataFrame:
+    """The first pages of a site in crawl order, as many as its budget, with their position.
+
+    ``bins`` never fall along the order, and tell its rows apart coarsely. The sizes of a site's bins say how many pages are before each: bins behind the budget are dropped
+    unsorted, and only the pages of one bin are sorted together, so a large site is spread over its bins.
+    """
+    names = [f"{site} bin {k}" for k in range(len(bins))]
+    rows = pages.withColumns(dict(zip(names, bins, strict=True))).withColumn(f"{site} budget", budget)
+    sizes = rows.groupBy(site, *names).agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(site).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = sizes.select(*(F.col(c).alias(f"{c} of size") for c in (site, *names)), before.alias(f"{site} before"))
+    met = None
+    for c in (site, *names):
+        same = F.col(c).eqNullSafe(F.col(f"{c} of size"))
+        met = same if met is None else met & same
+    near = rows.join(held, met).where(F.col(f"{site} before") < F.col(f"{site} budget"))
+    position = F.col(f"{site} before") + F.row_number().over(Window.partitionBy(site, *names).orderBy(*order))
+    return near.withColumn("position", position.cast("int")).where(F.col("position") <= F.col(f"{site} budget")).select(*pages.columns, "position")
 
 
 def newest_jobs(jobs: DataFrame, key: str, limit: int) -> DataFrame:

@@ -481,6 +481,24 @@ def io7_stored_fixes(spark, sf_dir):
     return t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.size(readers.parsed_fixes(fix)).alias("n_fixes"))
 
 
+_STORED = (
+    '{"feed": 40, "schema": 12.5, "new": 7}', '{"feed": "40", "allowsGPTBot": true, "exists": false, "note": null}', "{broken", "[1, 2]", '{"nested": {"feed": 1}, "list": [1], "access": 3, "hasSitemap": true}', "null",
+)
+
+
+@query(f"""WITH t(k, b) AS (VALUES {', '.join(f"({k}, '{b}')" for k, b in enumerate(_STORED))}),
+v AS (SELECT k, j.key, j.type, j.atom FROM (SELECT k, b::JSON AS b FROM t WHERE json_valid(b) AND json_type(b) = 'OBJECT') x, json_each(x.b) j),
+f AS (SELECT t.k, count(*) FILTER (type IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS n_scores, coalesce(sum(CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN atom::VARCHAR::DOUBLE END), 0) AS total,
+  coalesce(string_agg(key || '=' || atom::VARCHAR, ',' ORDER BY key) FILTER (type = 'BOOLEAN'), '') AS flags FROM t LEFT JOIN v ON v.k = t.k GROUP BY t.k)
+SELECT event_id AS id, n_scores::INTEGER AS n_scores, total::DOUBLE AS total, flags FROM events JOIN f ON f.k = event_id % {len(_STORED)}""")
+def io7_stored_scores(spark, sf_dir):
+    """Stored JSON of scans, by their number: scores, flags, texts, arrays and what is no JSON."""
+    text = F.get(F.array(*map(F.lit, _STORED)), (F.col("event_id") % len(_STORED)).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), readers.parsed_scores(text).alias("scores"), readers.parsed_flags(text).alias("flags"))
+    flags = F.transform(F.array_sort(F.map_entries("flags")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return rows.select("id", F.size("scores").alias("n_scores"), F.aggregate(F.map_values("scores"), F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_join(flags, ",").alias("flags"))
+
+
 @query(rf"""WITH {_ENTRIES}, links AS ({ORACLE["f12_page_links"]}), c AS (SELECT DISTINCT site, 'https://' || site || '/' AS url, 0 AS rank, 'homepage' AS source, 1.0::DOUBLE AS priority, 0 AS ord FROM en
   UNION ALL SELECT site, {_NORMAL.format(u='url')}, 1, 'sitemap', priority, run * {SITEMAP_URLS} + ord FROM maps UNION ALL SELECT {_HOST}, l.link, 2, 'link', 0.3, p.page_id FROM links l JOIN pages p USING (page_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY rank, ord, source, priority) AS k FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, rank, ord, url)::INTEGER AS position FROM f WHERE k = 1)

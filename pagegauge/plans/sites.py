@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SUB_SCORES
 from ..operators import sites
+from ..sources import readers
 from ..sources.bridge import ctes, view
 from .registry import query
 
@@ -44,10 +45,17 @@ def a3_tier_counts(spark, sf_dir):
     return sites.tier_counts(_pages(spark, sf_dir))
 
 
-@query(f"""WITH {_LATEST}, long AS (UNPIVOT (SELECT project_id, {', '.join(f'{c}::BIGINT AS {c}' for c in SUB_SCORES)} FROM latest) ON {_SUBS} INTO NAME sub_score VALUE v)
-SELECT project_id, sub_score, floor(sum(v)::DOUBLE / count(*) + 0.5)::BIGINT AS average FROM long GROUP BY ALL""")
+# of some pages a sub-score is not stored, of others one that no list has, or no sub-scores at all
+@query(f"""WITH {_LATEST}, long AS (UNPIVOT (SELECT project_id, id, {', '.join(f'{c}::BIGINT AS {c}' for c in SUB_SCORES)} FROM latest) ON {_SUBS} INTO NAME sub_score VALUE v),
+held AS (SELECT project_id, sub_score, v FROM long WHERE id % 13 <> 0 AND NOT (id % 5 = 0 AND sub_score = 'feed') UNION ALL SELECT project_id, 'accessibility', id % 101 FROM latest WHERE id % 4 = 0 AND id % 13 <> 0)
+SELECT project_id, sub_score, floor(sum(v)::DOUBLE / any_value(n) + 0.5)::BIGINT AS average FROM held JOIN (SELECT project_id, count(*) AS n FROM latest GROUP BY project_id) c USING (project_id) GROUP BY ALL""")
 def a4_sub_score_means(spark, sf_dir):
-    return sites.sub_score_means(_pages(spark, sf_dir, *SUB_SCORES))
+    known = [F.when(~((F.col("id") % 5 == 0) & F.lit(c == "feed")), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in SUB_SCORES]
+    more = F.when(F.col("id") % 4 == 0, F.struct(F.lit("accessibility").alias("key"), (F.col("id") % 101).cast("string").alias("value")))
+    entries = F.filter(F.array(*known, more), lambda e: e.isNotNull())
+    stored = F.when(F.col("id") % 13 == 0, "{broken").otherwise(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}")))
+    pages = _pages(spark, sf_dir, "id", *SUB_SCORES).select("project_id", readers.parsed_scores(stored).alias("sub_scores"))
+    return sites.sub_score_means(pages)
 
 
 @query(f"""WITH {_LATEST}, rules(rule, col, least, description) AS (VALUES (0, 'faq', 20, 'Missing FAQ/Q&A content'), (1, 'schema', 30, 'Missing or minimal structured data'), (2, 'summary', 30, 'No meta description or front-loaded summary'),
@@ -132,7 +140,7 @@ def w5_crawl_budget(spark, sf_dir):
     budget = F.least(F.coalesce("max_pages", F.lit(100)), F.col("crawl_credits_remaining")).alias("budget")
     budgets = view(spark, sf_dir, "projects").join(orgs, "organization_id").join(jobs, F.col("id") == F.col("project_id")).select("project_id", budget)
     pages = view(spark, sf_dir, "scans").join(budgets, "project_id")
-    return sites.within_budget(pages, "project_id", [F.desc("score"), F.col("id")], F.col("budget")).select("project_id", "id", "url", "position")
+    return sites.within_budget(pages, "project_id", [F.coalesce(-F.col("score"), F.lit(1)), F.floor(F.col("id") / 4096)], [F.desc("score"), F.col("id")], F.col("budget")).select("project_id", "id", "url", "position")
 
 
 @query(f"WITH {ctes('crawl_jobs')} SELECT project_id, id, status, created_at, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS position FROM crawl_jobs) WHERE position <= 20")
@@ -143,4 +151,4 @@ def w8_newest_jobs(spark, sf_dir):
 @query(f"WITH {ctes('scans')} SELECT project_id, id, url, score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, url, id)::INTEGER AS position FROM scans")
 def l2_result_pages(spark, sf_dir):
     """The pages of each project's crawl, best first."""
-    return sites.within_budget(view(spark, sf_dir, "scans"), "project_id", [F.desc("score"), F.col("url"), F.col("id")], F.lit(1 << 30)).select("project_id", "id", "url", "score", "position")
+    return sites.within_budget(view(spark, sf_dir, "scans"), "project_id", [F.coalesce(-F.col("score"), F.lit(1))], [F.desc("score"), F.col("url"), F.col("id")], F.lit(1 << 30)).select("project_id", "id", "url", "score", "position")

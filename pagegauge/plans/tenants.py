@@ -116,7 +116,7 @@ def a14_scan_statistics(spark, sf_dir):
     return tenants.scan_statistics(_scans(spark, sf_dir))
 
 
-@query(f"WITH {_TIERED}, l AS (SELECT score FROM t ORDER BY created_at DESC, id DESC LIMIT 10000), b AS (SELECT unnest(range(10))::INTEGER AS bucket) SELECT bucket, (bucket * 10) || '-' || (bucket * 10 + 9) AS range, (SELECT count(*) FROM l WHERE score BETWEEN bucket * 10 AND bucket * 10 + 9) AS n FROM b")
+@query(f"WITH {_TIERED}, l AS (SELECT score FROM t), b AS (SELECT unnest(range(10))::INTEGER AS bucket) SELECT bucket, (bucket * 10) || '-' || (bucket * 10 + 9) AS range, (SELECT count(*) FROM l WHERE score BETWEEN bucket * 10 AND bucket * 10 + 9) AS n FROM b")
 def a15_score_histogram(spark, sf_dir):
     return tenants.score_histogram(_scans(spark, sf_dir))
 
@@ -216,7 +216,7 @@ def j4_due_projects(spark, sf_dir):
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
 
-@query(f"""WITH {_TIERED}, {ctes('projects', 'organizations')}, l AS (SELECT * FROM t ORDER BY created_at DESC, id DESC LIMIT 10000)
+@query(f"""WITH {_TIERED}, {ctes('projects', 'organizations')}, l AS (SELECT * FROM t)
 SELECT l.id AS "ID", l.url AS "URL", l.score AS "Score", l.tier AS "Tier", '1' AS "Factor Version", coalesce(p.name, '') AS "Project", coalesce(p.domain, '') AS "Domain", coalesce(o.name, '') AS "Organization", {_ISO.format('l.created_at')} AS "Created At"
 FROM l LEFT JOIN projects p ON p.id = l.project_id LEFT JOIN organizations o ON o.id = p.organization_id""")
 def io8_scans_export(spark, sf_dir):

@@ -67,3 +67,21 @@ def parsed_fixes(json: Column) -> Column:
     number = lambda x: x.try_cast("int")
     good = F.filter(F.coalesce(raw, F.array().cast("array<struct<description:string,points:string,layer:string,factorId:string,priority:string>>")), lambda f: f["description"].isNotNull() & number(f["points"]).isNotNull() & f["layer"].isin("access", "understanding", "extractability") & f["factorId"].isNotNull() & number(f["priority"]).isNotNull())
     return F.transform(good, lambda f: F.struct(f["description"], number(f["points"]), f["layer"], f["factorId"], number(f["priority"])).cast(FIX))
+
+
+def parsed_scores(json: Column) -> Column:
+    """IO7: the numbers of a stored JSON object by key, whatever the keys (sub-scores, layer scores); other values of it are left out, and anything else gives an empty map."""
+    values = lambda v: F.map_filter(F.transform_values(F.coalesce(v, F.create_map().cast("map<string,variant>")), _number), lambda _, x: x.isNotNull())
+    return values(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"))
+
+
+def _number(key: Column, value: Column) -> Column:
+    # a schema of scalars is a word; of text and truth values that read as numbers none is taken
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+
+
+def parsed_flags(json: Column) -> Column:
+    """IO7: the truth values of a stored JSON object by key (what a robots.txt allows)."""
+    flag = lambda _, v: F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+    values = F.coalesce(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.map_filter(F.transform_values(values, flag), lambda _, x: x.isNotNull())
