@@ -1,13 +1,13 @@
 """Secret scan with a trigram index, in SQL expressions only.
 
 Every rule is a regular expression. ``trigram_query`` derives from it the trigrams that any match must hold, as
-alternatives of sets. ``postings`` indexes the documents by the trigrams some rule asks for (A-Z folded; no
-other list would ever be read), ``candidates`` intersects the lists of each alternative, and only the
-documents left are verified with the regular expression. A rule without mandatory trigrams scans every document.
+alternatives of sets. ``postings`` is an inverted index: for each trigram that some rule asks for (A-Z folded; no other list would ever be read), lists of the
+numbers of the rows that hold it. ``candidates`` intersects the lists of each alternative, and only the rows left are verified with the regular expression. A rule
+without mandatory trigrams, or with a construct that the derivation doesn't know, scans every row.
 
-All rules are asked of all documents, so the postings are kept turned round: beside each document the trigrams of the
-vocabulary that it holds. A list by trigram would hold the same pairs, but the document's text would have to be shuffled to meet
-them again. Nothing is shuffled, and a trigram that most documents hold, or an id that many rows share, is no hot key.
+The lists are kept by blocks of ``BLOCK_ROWS`` row numbers, so that a trigram that most rows hold is many lists of bounded length and no hot key, and an intersection is a fold over
+few bounded arrays. Rows are numbered in a written table: the numbers stay the same when an executor is lost. What meets the texts again is one narrow
+row for each candidate.
 
 Nulls: a null text is empty and has no spans. Rows that repeat a doc_id, or have none, are scanned one by one.
 Offsets are code points, end exclusive; matches of a kind are leftmost and do not overlap; work is in proportion to
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import BROADCAST_ROWS, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,8 +54,14 @@ RULES = BASE + MORE
 MAX_BRANCHES = 64
 
 
-#: What the derivation tells apart in a pattern; of a group, its flags; of a repeat, its bounds.
-_TOKEN = re.compile(r"(?P<open>\((?:\?[a-z]*:)?)|(?P<close>\))|(?P<bar>\|)|(?P<repeat>[?*+]|\{\d+(?:,\d*)?\})|(?P<set>\[(?:\\.|[^\]\\])+\])|\\x(?P<code>[0-9A-Fa-f]{2})|\\(?P<class>[A-Za-z])|\\(?P<sign>.)|(?P<edge>[$^])|(?P<any>\.)|(?P<literal>.)", re.S)
+#: What the derivation knows of a pattern: groups with flags that don't change its grammar, repeats (lazy and possessive ones too), plain sets, escapes of
+#: classes, signs and codes, edges, any sign, and ASCII literals. Whatever else is found makes the rule scan fully: lookarounds, named groups, references back, quoted
+#: parts, sets in sets, other escapes and other flags.
+_TOKEN = re.compile(
+    r"""(?P<open>\((?:\?[ims]*:)?(?!\?))|(?P<close>\))|(?P<flags>\(\?[ims]+\))|(?P<bar>\|)|(?P<repeat>(?:[?*+]|\{\d+(?:,\d*)?\})[?+]?)|(?P<set>\[(?:\\[^pPQEcukNxX0-9]|\\x[0-9A-Fa-f]{2}|[^\[\]\\&])+\])"""
+    r"""|\\x(?P<code>[0-9A-Fa-f]{2})|\\(?P<class>[dDwWsShHvVbBAzZG])|\\(?P<sign>[^A-Za-z0-9])|(?P<edge>[$^])|(?P<any>\.)|(?P<literal>[^\\\[\](){}?*+|])""",
+    re.S,
+)
 
 Ways = list[tuple[tuple[str, ...], str]]
 
@@ -64,7 +72,10 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     A way through the pattern is its finished literal runs and the run that the next literal would lengthen. What is not a
     literal ends the run, so no trigram is asked for that a match could lack.
     """
-    tokens = [(m.lastgroup, m[m.lastgroup]) for m in _TOKEN.finditer(pattern)]
+    found = list(_TOKEN.finditer(pattern))
+    if "".join(m[0] for m in found) != pattern:
+        return []
+    tokens = [(m.lastgroup, m[m.lastgroup]) for m in found if m.lastgroup != "flags"]
     at = 0
 
     def ended(ways: Ways) -> Ways:
@@ -74,9 +85,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
         members = text[1:-1]
         if kind == "code":
             kind, text = "literal", chr(int(text, 16))
-        if kind in ("literal", "sign"):
+        if kind in ("literal", "sign") and text.isascii():
             return [(done, run + text.lower()) for done, run in ways]
-        if kind == "set" and members.isalnum() and len(ways) * len(members) <= MAX_BRANCHES:
+        if kind == "set" and members.isalnum() and members.isascii() and len(ways) * len(members) <= MAX_BRANCHES:
             return [(done, run + c.lower()) for c in members for done, run in ways]
         return ways if kind == "edge" else ended(ways)
 
@@ -87,7 +98,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             at += 1
             inner = group(ways) if kind == "open" else one(kind, text, ways)
             if at < len(tokens) and tokens[at][0] == "repeat":
-                times = tokens[at][1]
+                times = tokens[at][1][:-1] if len(tokens[at][1]) > 1 and tokens[at][1][-1] in "?+" else tokens[at][1]
                 at += 1
                 if times == "?" and len(inner) + len(ways) <= MAX_BRANCHES:
                     inner = ways + inner
@@ -119,21 +130,33 @@ def _bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs(text)`` with ``trigrams``: those of the rules' vocabulary that the document holds."""
-    vocabulary = sorted({t for r in rules for branch in trigram_query(r.pattern) for t in branch})
+#: Row numbers of a list of the index.
+BLOCK_ROWS = 1 << 16
+_NO_KINDS = "array<string>"
+
+
+def _plan(rules: tuple[Rule, ...]) -> list[tuple[str, int, list[str]]]:
+    """(kind, number, trigrams) of each alternative of a rule."""
+    return [(r.kind, k, sorted(branch)) for r in rules for k, branch in enumerate(trigram_query(r.pattern))]
+
+
+def postings(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``trigram, block, rows``: the inverted index of ``rows(row, text)`` by the rules' trigrams, its lists in blocks, sorted."""
+    vocabulary = sorted({t for _, _, trigrams in _plan(rules) for t in trigrams})
     wanted = F.array(*map(F.lit, vocabulary)).cast("array<string>")
-    return docs.withColumn("trigrams", _bound(F.lower("text"), lambda folded: F.filter(wanted, lambda t: F.contains(folded, t))))
+    held = _bound(F.lower("text"), lambda folded: F.filter(wanted, lambda t: F.contains(folded, t)))
+    return rows.select("row", F.explode(held).alias("trigram")).groupBy("trigram", F.floor(F.col("row") / BLOCK_ROWS).alias("block")).agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
 
-def candidates(indexed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Indexed documents with ``kinds``: the rules of which some alternative has all its trigrams among the document's."""
-    branches = [(r.kind, sorted(branch)) for r in rules for branch in trigram_query(r.pattern)]
-    plan = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array(*map(F.lit, ts)).alias("trigrams")) for kind, ts in branches))
-    if not branches:
-        return indexed.withColumn("kinds", F.array().cast("array<string>"))
-    met = F.filter(plan, lambda b: F.size(F.array_intersect(b["trigrams"], F.col("trigrams"))) == F.size(b["trigrams"]))
-    return indexed.withColumn("kinds", F.when(F.size("trigrams") > 0, F.array_distinct(F.transform(met, lambda b: b["kind"]))).otherwise(F.array().cast("array<string>")))
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``row, kinds``: rows for which the lists of some alternative of a rule have a common number, with those rules."""
+    plan = _plan(rules)
+    asked = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("branch"), F.array(*map(F.lit, trigrams)).alias("asked")) for kind, k, trigrams in plan)).cast("array<struct<kind:string,branch:int,asked:array<string>>>")
+    lists = index.select("block", "trigram", "rows", F.explode(F.filter(asked, lambda q: F.array_contains(q["asked"], F.col("trigram")))).alias("q"))
+    # an alternative lacks nothing in a block that has a list of each of its trigrams; the shortest list begins
+    met = lists.groupBy("q.kind", "q.branch", "block").agg(F.array_sort(F.collect_list(F.struct(F.size("rows").alias("n"), "rows"))).alias("lists"), F.first(F.size("q.asked")).alias("n")).where(F.size("lists") == F.col("n"))
+    common = F.aggregate(F.slice("lists", 2, 1 << 20), F.get("lists", F.lit(0))["rows"], lambda s, x: F.array_intersect(s, x["rows"]))
+    return met.select("kind", F.explode(common).alias("row")).groupBy("row").agg(F.collect_set("kind").alias("kinds"))
 
 
 _BLOCK = 128
@@ -180,8 +203,9 @@ def _spans(docs: DataFrame, rules: tuple[Rule, ...], out: str) -> DataFrame:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, text, spans`` for each row of ``docs(doc_id, text)``; spans are struct(start, ord, kind, end), by start, then rule."""
-    narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    due = candidates(postings(narrow, rules), rules).select("doc_id", "text", "kinds")
+    rows = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")), "secret-rows")
+    found = written(candidates(postings(rows, rules), rules), "secret-candidates")
+    due = rows.join(found if found.count() > BROADCAST_ROWS else F.broadcast(found), "row", "left").select("doc_id", "text", F.coalesce("kinds", F.array().cast(_NO_KINDS)).alias("kinds"))
     return _spans(due, rules, "spans").select("doc_id", "text", "spans")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sketch import MAX_LOG2_WIDTH, repeated_by_range
-from .tables import long_rows, shuffle_partitions, text_bytes
+from .tables import long_rows, shuffle_partitions, text_bytes, written
 from .words import NOT_BLANK, Words, mix, pack, pieces, unpack, words_of
 
 WINDOW = 20
@@ -116,6 +116,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_log2: int = MAX_LO
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.monotonically_increasing_id().alias("row"), "text")
+    # numbers of rows are written before they are used: a number that is made anew, after a lost executor or a shuffle that comes in another order, could be another row's
+    rows = written(rows, "substring-rows")
     total = text_bytes(rows)
     buckets = max(shuffle_partitions(spark), total // BUCKET_BYTES)
 
