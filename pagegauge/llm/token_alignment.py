@@ -27,6 +27,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from .words import pack, unpack
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Signs that are encoded at a time, and bytes of the texts of one written row; a longer document has a row of its own.
 CUT, SOME, PIECE_BYTES = 1 << 16, 1 << 20, 8 << 20
-#: A pair of ids is one number, A's id before B's.
-_SHIFT = 32
+#: A pair of ids is one number, A's id before B's; vocabularies are smaller than this many bits tell, and so are the documents of SOME bytes.
+_BITS, _ROWS = 20, 1 << 16
 _FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -91,6 +92,8 @@ def tokenizers(a_file: str, b_file: str) -> Tokenizers:
     pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
     b_bytes = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
     cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+    if max(len(a_bytes), len(b_bytes)) > 1 << _BITS:
+        raise ValueError("a vocabulary is too large")
     sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_bytes, b_bytes))
     return Tokenizers(a, b, a_bytes, b_bytes, *sizes, cuts)
 
@@ -138,12 +141,12 @@ def align(texts: list[str | None], t: Tokenizers) -> Aligned:
             a_ids[d], b_ids[d] = [], []
     sides = []
     for ids, sizes in ((a_ids, t.a_sizes), (b_ids, t.b_sizes)):
-        flat = np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
         ends = np.cumsum(sizes[flat])
         sides.append((flat, np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]), np.concatenate([[0], ends])[:-1], ends))
     (a, a_first, a_start, a_end), (b, b_first, b_start, b_end) = sides
     start, end = np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end])
-    order = np.lexsort((np.arange(len(start)), start))
+    order = np.lexsort((start,))  # stable: of equal starts A's token is first
     start, end = start[order], end[order]
     breaks = np.ones(len(start), bool)
     breaks[1:] = start[1:] >= np.maximum.accumulate(end)[:-1]
@@ -188,7 +191,7 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, int]]
     ids, texts, size = [], [], 0
     for b in batches:
         for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if texts and size + len(text or "") > SOME:
+            if texts and (size + len(text or "") > SOME or len(ids) >= _ROWS):
                 yield ids, texts, size
                 ids, texts, size = [], [], 0
             ids.append(i)
@@ -201,13 +204,9 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, int]]
 def _matrix(x: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, pair, times) of the distinct pairs of each document, sorted."""
     doc = np.repeat(np.arange(x.n), np.diff(np.searchsorted(x.a_links, x.a_first)))
-    pair = x.a[x.a_links] << _SHIFT | x.b[x.b_links]
-    order = np.lexsort((pair, doc))
-    doc, pair = doc[order], pair[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], pair[at], np.diff(np.append(at, len(pair)))
+    # one number for each, so that one sort of numbers serves
+    key, times = np.unique((doc << 2 * _BITS) | (x.a[x.a_links] << _BITS) | x.b[x.b_links], return_counts=True)
+    return key >> 2 * _BITS, key & ((1 << 2 * _BITS) - 1), times
 
 
 def _deltas(x: np.ndarray) -> bytes:
@@ -291,7 +290,7 @@ def aligned_documents(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FIL
     piece = StructType([StructField(f.name, ArrayType(f.dataType)) for f in (key, *facts)] + list(StructType.fromDDL("piece long, pairs binary, in_docs binary, docs binary, columns binary, times binary")))
     pieces = written(narrow.mapInArrow(_written_pieces(a_file, b_file, to_arrow_schema(piece)), piece), "token-pieces")
     own = written(pieces.select("piece", "pairs", "in_docs").mapInArrow(_pairs, "piece long, pair long, docs long"), "token-pairs")
-    total = own.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", _SHIFT))
+    total = own.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", _BITS))
     total = written(total, "token-totals")
     # at most one row for each id of A's vocabulary
     most = total.groupBy("a").agg(F.max("docs").alias("most"))
