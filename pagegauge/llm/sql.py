@@ -209,3 +209,34 @@ FROM s JOIN places p USING (row) LEFT JOIN g USING (row)
 
 
 ORACLE["op12_license_scan"] = _licenses()
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op5_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+either AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS x, b AS y FROM either UNION SELECT r.x, e.b FROM reach r JOIN either e ON r.y = e.a),
+least_of AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(l.c, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of l ON l.x = d.doc_id
+"""
+
+# a run of windows on one diagonal of document and item is one verbatim match
+ORACLE["op8_decontamination"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS l FROM (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT item_id, l, j, array_to_string(w[j + 1:j + l], ' ') AS x FROM (SELECT *, unnest(range(0, len(w) - l + 1)) AS j FROM i)),
+dw AS (SELECT r, l, p, array_to_string(w[p + 1:p + l], ' ') AS x FROM (SELECT r, w, l, unnest(range(0, len(w) - l + 1)) AS p FROM d CROSS JOIN (SELECT DISTINCT l FROM i) WHERE len(w) >= l)),
+hit AS (SELECT r, p, item_id, j, l FROM dw JOIN iw USING (l, x)),
+covered AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + l)) AS q FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit) GROUP BY r),
+run AS (SELECT r, item_id::VARCHAR AS item_id, min(p) AS s, count(*) + l - 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY r, item_id, l, p - j ORDER BY p) AS g FROM hit) GROUP BY r, item_id, l, p - j, g),
+longest AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, s, item_id) = 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n > 0 AND 20 * c.n >= len(d.w), false) AS contaminated,
+  coalesce(g.n, 0)::BIGINT AS longest_match, g.item_id AS longest_item, g.s::BIGINT AS longest_start
+FROM d LEFT JOIN covered c USING (r) LEFT JOIN named m USING (r) LEFT JOIN longest g USING (r)
+"""
