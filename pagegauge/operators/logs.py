@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bot_of
+from . import heavy
 
 # The combined format (referrer optional), and a second, stricter form.
 COMBINED = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\w+) (\S+)[^"]*" (\d{3}) \S+(?:\s+"[^"]*")?\s+"([^"]*)"'
@@ -58,6 +59,31 @@ def top_pages(counts: DataFrame, top: int = 20) -> DataFrame:
     return pages.orderBy(F.desc("visits"), "url").limit(top)
 
 
+def frequent_visits(visits_: DataFrame, top: int = 20, tracked: int = heavy.TRACKED) -> DataFrame:
+    """The visits of the urls that can be among the first of A8, where a summary of bounded size tells them, else all visits."""
+    near = heavy.candidates(visits_, "url", top, tracked)
+    return visits_ if near is None else near
+
+
+#: Entries of a day's summary of pages: distinct counts up to this many are exact, and beyond it off by 1.6 % (one standard deviation).
+DAY_ENTRIES = 12
+
+
+def day_states(visits_: DataFrame, log2: int = DAY_ENTRIES) -> DataFrame:
+    """What is stored of a day and bot: visits, the last one, and a mergeable summary of the pages (a theta sketch of 2^``log2`` entries)."""
+    return visits_.groupBy(F.to_date("ts").alias("day"), "bot").agg(F.count("*").alias("visits"), F.max("ts").alias("last_seen"), F.theta_sketch_agg("url", log2).alias("pages"))
+
+
+def merged_breakdown(states: DataFrame, log2: int = DAY_ENTRIES) -> DataFrame:
+    """A7 for any period, from the states of its days; no line is read again."""
+    return states.groupBy("bot").agg(F.sum("visits").alias("visits"), F.theta_sketch_estimate(F.theta_union_agg("pages", log2)).alias("unique_pages"), F.max("last_seen").alias("last_seen"))
+
+
+def merged_totals(states: DataFrame, log2: int = DAY_ENTRIES) -> DataFrame:
+    """A10 for any period, from the states of its days."""
+    return states.agg(F.coalesce(F.sum("visits"), F.lit(0)).alias("total_visits"), F.coalesce(F.theta_sketch_estimate(F.theta_union_agg("pages", log2)), F.lit(0)).alias("unique_pages"))
+
+
 def daily_trend(counts: DataFrame) -> DataFrame:
     """Visits of each UTC day that has some."""
     return counts.groupBy("day").agg(F.sum("visits").alias("visits"))

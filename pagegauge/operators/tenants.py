@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import PLAN_DOMAINS, PLAN_PRICES, TIERS
 from ..functions.exprs import js_round, month_before, percent
+from . import heavy
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -110,9 +111,10 @@ def score_histogram(scans: DataFrame, limit: int | None = None) -> DataFrame:
     return buckets.join(counts, "bucket", "left").select("bucket", F.concat((F.col("bucket") * 10).cast("string"), F.lit("-"), (F.col("bucket") * 10 + 9).cast("string")).alias("range"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def most_scanned(scans: DataFrame, top: int = 10) -> DataFrame:
-    """A16."""
-    return scans.groupBy("url").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "url").limit(top)
+def most_scanned(scans: DataFrame, top: int = 10, tracked: int = heavy.TRACKED) -> DataFrame:
+    """From the scans of the urls that can be among the first, where a summary tells them, else from all."""
+    near = heavy.candidates(scans.select("url"), "url", top, tracked)
+    return (scans if near is None else near).groupBy("url").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "url").limit(top)
 
 
 def daily_counts(rows: DataFrame, as_of: Column, days: int = 30, at: str = "created_at") -> DataFrame:

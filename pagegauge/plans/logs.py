@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..sources.bridge import AS_OF, ctes, view
+from ..sources.stored import stored
 from .registry import query
 
 _BOT = " ".join(f"WHEN regexp_matches(agent, '{p}', 'i') THEN '{n}'" for n, p in (
@@ -38,7 +39,7 @@ def a7_bot_breakdown(spark, sf_dir):
 
 @query(f"WITH {_PARSED} SELECT url, count(*) AS visits, string_agg(DISTINCT bot, ',' ORDER BY bot) AS bots FROM visits GROUP BY url ORDER BY visits DESC, url LIMIT 20")
 def a8_top_pages(spark, sf_dir):
-    return logs.top_pages(logs.visit_counts(_visits(spark, sf_dir)))
+    return logs.top_pages(logs.visit_counts(logs.frequent_visits(_visits(spark, sf_dir))))
 
 
 @query(f"WITH {_PARSED} SELECT ts::DATE::VARCHAR AS day, count(*) AS visits FROM visits GROUP BY 1")
@@ -51,6 +52,22 @@ def a10_log_totals(spark, sf_dir):
     return logs.totals(logs.visit_counts(_visits(spark, sf_dir)))
 
 
+def _days(spark, sf_dir):
+    """Stored day states, of which a month is read."""
+    return stored(logs.day_states(_visits(spark, sf_dir)), "log-days").where("day BETWEEN DATE '2024-01-08' AND DATE '2024-01-21'")
+
+
+# exact while a period has no more pages than a summary has entries, as here
+@query(f"WITH {_PARSED} SELECT bot, count(*) AS visits, count(DISTINCT url) AS unique_pages, max(ts) AS last_seen FROM visits WHERE ts >= '2024-01-08' AND ts < '2024-01-22' GROUP BY bot")
+def a7_breakdown_of_days(spark, sf_dir):
+    return logs.merged_breakdown(_days(spark, sf_dir)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_PARSED} SELECT count(*) AS total_visits, count(DISTINCT url) AS unique_pages FROM visits WHERE ts >= '2024-01-08' AND ts < '2024-01-22'")
+def a10_totals_of_days(spark, sf_dir):
+    return logs.merged_totals(_days(spark, sf_dir))
+
+
 @query(f"WITH {_PARSED} SELECT DISTINCT bot FROM visits WHERE bot NOT IN (SELECT bot FROM visits WHERE ts < TIMESTAMP '2024-01-01 00:20:00')")
 def s2_new_bots(spark, sf_dir):
     """Bots that had not come in the first twenty minutes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tier_of
-from ..operators import tenants
+from ..operators import listing, tenants
 from ..sources.bridge import AS_OF, ctes, view
 from .registry import query
 
@@ -83,6 +83,18 @@ def l1_scan_page(spark, sf_dir):
     return tenants.page_of(_scans(spark, sf_dir), "score", ("score", "created_at"), page=3).select("id", "url", "score")
 
 
+@query(f"WITH {_TIERED} SELECT id, url, created_at FROM t ORDER BY created_at DESC, id LIMIT 50 OFFSET 4000")
+def l1_numbered_page(spark, sf_dir):
+    """Page 81 of the scans, of which only the days it lies in are sorted."""
+    return listing.numbered_page(_scans(spark, sf_dir), "created_at", F.to_date("created_at"), page=81, limit=50).select("id", "url", "created_at")
+
+
+@query(f"WITH {_TIERED} SELECT id, url, score FROM t WHERE score < 90 OR (score = 90 AND id > 500) ORDER BY score DESC, id LIMIT 25")
+def l1_page_after(spark, sf_dir):
+    """The scans behind number 500 of score 90."""
+    return listing.page_after(_scans(spark, sf_dir), "score", (90, 500), limit=25).select("id", "url", "score")
+
+
 @query(f"WITH {_TIERED} SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS total_pages FROM t")
 def l1_page_meta(spark, sf_dir):
     return tenants.page_meta(_scans(spark, sf_dir))

@@ -45,3 +45,22 @@ def read_entities(spark: SparkSession, entity: str, path: str, file_format: str
 def parsed_entities(lines: DataFrame, entity: str, value: str = "value") -> DataFrame:
     """IO1: entities that come as JSON, one to a row, with ``missing``; what is no JSON lacks everything."""
     return lines.select(F.from_json(value, schema_of(entity)).alias("e")).select("e.*").withColumn("missing", missing(entity))
+
+
+def judged_entities(lines: DataFrame, entity: str, value: str = "value") -> DataFrame:
+    """IO1: as ``parsed_entities``, with ``reasons`` why a row is rejected: struct(field, reason), in the order of the schema; a good row has none.
+
+    Reasons: ``no JSON`` and ``no object`` (of the whole row, field empty), ``lacking`` (a field that must be there is absent or null), ``of another type``, ``unknown`` (a field that the
+    schema has not, last). A line is parsed to a VARIANT beside its typed reading, so that what a typed null hides is told apart.
+    """
+    found = F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>")
+    rows = lines.withColumns({"found": found, "is JSON": F.try_parse_json(value).isNotNull(), "e": F.from_json(value, schema_of(entity))})
+    at = lambda name: F.col("found")[name]
+    there = lambda name: at(name).isNotNull() & ~F.coalesce(F.is_variant_null(at(name)), F.lit(True))
+    reason = lambda field, why: F.struct(F.lit(field).alias("field"), F.lit(why).alias("reason"))
+    own = [F.when(there(f.name), F.when(F.col(f"e.{f.name}").isNull(), reason(f.name, "of another type"))).when(F.lit(not f.nullable), reason(f.name, "lacking")) for f in schema_of(entity).fields]
+    known = F.array(*(F.lit(f.name) for f in schema_of(entity).fields))
+    unknown = F.transform(F.array_sort(F.array_except(F.map_keys("found"), known)), lambda k: F.struct(k.alias("field"), F.lit("unknown").alias("reason")))
+    whole = F.when(~F.col("is JSON"), F.array(reason("", "no JSON"))).when(F.col("found").isNull(), F.array(reason("", "no object")))
+    reasons = F.coalesce(whole, F.concat(F.array_compact(F.array(*own)), unknown))
+    return rows.withColumn("reasons", reasons).select(*lines.columns, "e.*", "reasons")
