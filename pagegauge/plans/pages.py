@@ -228,7 +228,7 @@ def _quality_sql() -> str:
     front = "length(f) > 30 AND NOT starts_with(f, 'In this') AND NOT starts_with(f, 'Here') AND length(string_split_regex(f, '[.!?]')[1]) > 20 AND length(string_split_regex(f, '[.!?]')[1]) < 200"
     pronouns = ", ".join(f"'{w}'" for w in pages.PRONOUNS)
     fillers = "len(regexp_extract_all(lower(text), '" + r"\b(" + "|".join(pages.FILLERS) + r")\b" + "'))"
-    return rf"""WITH {_PARTS}, h AS (SELECT *, {_HEADS} AS all_heads, list_transform({_paragraphs('seen')}, lambda t: string_split(lower(t), ' ')) AS paras, list_filter(list_transform(string_split_regex(main, '(?is)<h[23](?:\s[^>]*)?>.*?</h[1-6]>'), lambda x: {_text('x')}), lambda x: x <> '') AS sections, len({_IMAGES}) AS images, {_ALTS} AS alts, len(words) AS n FROM p),
+    return rf"""WITH {_PARTS}, h AS (SELECT *, {_HEADS} AS all_heads, list_transform({_paragraphs('seen')}, lambda t: string_split(lower(t), ' ')) AS paras, list_filter(list_transform(string_split_regex(main, '(?is)<h[23](?:\s[^>]*)?>.*?</h[1-6]>'), lambda x: {_text("regexp_replace(x, '(?i)<(?:p|h1)[\\s>]', ' \\0', 'g')")}), lambda x: x <> '') AS sections, len({_IMAGES}) AS images, {_ALTS} AS alts, len(words) AS n FROM p),
 mh AS (SELECT *, list_filter(all_heads, lambda h: h.level <= 4) AS heads FROM h),
 q AS (SELECT *, {_MARKED} AS marked, len(list_filter(list_transform(sections, lambda s: array_to_string(string_split(s, ' ')[1:60], ' ')), lambda f: {front})) AS front, len(list_filter(paras, lambda p: len(p) BETWEEN 30 AND 70)) AS concise, list_filter(paras, lambda p: len(p) >= 15) AS long, {fillers} AS fillers,
   len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: length(trim(s)) > 10)) AS sentences, {_matches('text', pages.FACTS)} AS facts, len(list_filter(sections, lambda s: len(string_split(s, ' ')) BETWEEN 50 AND 500)) AS modular FROM mh),
