@@ -128,7 +128,7 @@ def test_time_grows_with_the_page(spark):
         return time.time() - began
 
     seconds(1_000)
-    small, large = seconds(25_000), seconds(100_000)  # some 1.2 and 4.9 MB
+    small, large = seconds(25_000), seconds(100_000)  # some 1 and 4 MB
     assert large < 60 and large < 12 * max(small, 1.0)
 
 
