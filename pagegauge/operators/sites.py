@@ -66,12 +66,11 @@ def issue_prevalence(pages: DataFrame) -> DataFrame:
 
 
 def priority_fixes(fixes: DataFrame, site: str, order: tuple[str, ...], top: int = 20) -> DataFrame:
-    """Fixes of a site grouped by factor and the first 50 characters; the first one's text; the ``top`` by total points."""
-    ordinal = F.struct(*order)
+    """Fixes of a site grouped by factor and the first 50 characters; the first one's text (of equals in ``order`` the least); the ``top`` by total points."""
     grouped = fixes.groupBy(site, "factor_id", F.substring("description", 1, 50).alias("prefix")).agg(
-        F.count("*").alias("affected_pages"), F.sum("points").alias("total_impact"), F.min_by(F.struct("description", "layer"), ordinal).alias("first"), F.min(ordinal).alias("ord")
+        F.count("*").alias("affected_pages"), F.sum("points").alias("total_impact"), F.min(F.struct(*order, "description", "layer")).alias("first")
     )
-    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc("total_impact"), "ord"))
+    rank = F.row_number().over(Window.partitionBy(site).orderBy(F.desc("total_impact"), "first"))
     ranked = grouped.withColumn("position", rank).where(F.col("position") <= top)
     return ranked.select(site, "factor_id", "first.description", "first.layer", js_round(F.col("total_impact") / F.col("affected_pages")).alias("avg_points"), "affected_pages", "total_impact", "position")
 

@@ -71,9 +71,10 @@ def a5_issue_prevalence(spark, sf_dir):
 SELECT site, factor_id, description, layer, floor(total_impact::DOUBLE / affected_pages + 0.5)::BIGINT AS avg_points, affected_pages, total_impact, position::INTEGER AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY total_impact DESC, o) AS position FROM g) WHERE position <= 20""")
 def a6_priority_fixes(spark, sf_dir):
-    # the first page's text: groups mix the flags of a line, which lie behind the prefix
-    fixes = view(spark, sf_dir, "fixes").withColumn("ord", F.col("page_id") * 1000 + F.col("ord"))
-    return sites.priority_fixes(fixes, "site", ("ord",))
+    # the first page's text: groups mix the flags of a line, which lie behind the prefix; of equal lines the one that stands first in the table
+    place = {"ord": F.col("page_id") * 1000 + F.col("ord"), "file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    fixes = view(spark, sf_dir, "fixes").withColumns(place)
+    return sites.priority_fixes(fixes, "site", ("ord", "file", "row"))
 
 
 @query(f"WITH {ctes('fixes')} SELECT page_id, factor_id, points, description, row_number() OVER (PARTITION BY page_id ORDER BY points DESC, ord, description)::INTEGER AS priority FROM fixes")
