@@ -194,10 +194,10 @@ def identify(docs: DataFrame, trees: dict[str, Tree]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trees: dict[str, Tree], least: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language stays undetermined or has a probability below ``least``."""
+    """``docs`` without the rows whose language stays undetermined or has a probability below ``least``; ``lang`` is the language found."""
     long_rows(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(trees)
-    text = docs.columns.index("text")
+    text, label = docs.columns.index("text"), docs.columns.index("lang")
     letters = len(docs.columns)
     wide = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has a letter"))
 
@@ -205,6 +205,6 @@ def keep_identified(docs: DataFrame, trees: dict[str, Tree], least: float = 0.0)
         for b in pieces(batches, text):
             lang, score, _ = predict_columns(b.column(text), b.column(letters).to_numpy(zero_copy_only=False), known.value)
             keep = pc.and_(pc.not_equal(lang, UNDETERMINED), pc.greater_equal(score, least))
-            yield b.filter(keep).select(list(range(letters)))
+            yield b.set_column(label, b.schema.field(label), lang.cast(b.schema.field(label).type)).filter(keep).select(list(range(letters)))
 
     return wide.mapInArrow(run, docs.schema)
