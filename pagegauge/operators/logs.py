@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bot_of
+from ..functions.tree import once
 from . import heavy
 
 # The combined format (referrer optional), and a second, stricter form.
@@ -17,13 +18,16 @@ TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 def parsed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Ip, time text, method, url, status and agent of each line that has one of the two formats.
 
-    A line is matched once: its parts come out as one text, which is then split.
+    A line is matched once: its parts come out as one text, which is then split. Lines go as an empty list explodes, since a condition on the parts would be moved
+    down to the source and have the pattern run again.
     """
     line = F.col(value)
     parts = "\u0001".join(f"${k + 1}" for k in range(6))
-    pick = lambda p: F.split(F.regexp_replace(line, p + "[\\s\\S]*$", parts), "\u0001")
-    fields = F.when(line.rlike(COMBINED), pick(COMBINED)).when(line.rlike(SECOND), pick(SECOND))
-    fit = lines.where(F.length(line) > 0).withColumn("fields", fields).where("fields is not null")
+    cut = lambda p: F.regexp_replace(line, p + "[\\s\\S]*$", parts)
+    # a line that is not cut stays as it is; one that is has no blank behind its first part
+    made = once(cut(COMBINED), lambda c: F.when(c != line, c).otherwise(F.nullif(cut(SECOND), line)))
+    fields = F.filter(F.array(F.split(made, "\u0001")), lambda f: f.isNotNull())
+    fit = lines.where(F.length(line) > 0).select("*", F.explode(fields).alias("fields"))
     names = ("ip", "time", "method", "url", "status", "agent")
     out = fit.select(*(c for c in lines.columns if c != value), *(F.get("fields", F.lit(k)).alias(n) for k, n in enumerate(names)))
     return out.withColumn("status", F.col("status").cast("int"))
@@ -37,8 +41,8 @@ def log_time(text: Column, as_of: Column) -> Column:
 def visits(lines: DataFrame, as_of: Column, value: str = "value") -> DataFrame:
     """Lines of known crawlers (others go before anything is shuffled) with ``bot`` and ``ts``."""
     # bound to a variable, the agent is taken from the line once and not for each pattern
-    bot = F.get(F.transform(F.array("agent"), bot_of), F.lit(0))
-    found = parsed_lines(lines, value).withColumn("bot", bot).where("bot is not null")
+    bot = F.filter(F.transform(F.array("agent"), bot_of), lambda b: b.isNotNull())
+    found = parsed_lines(lines, value).select("*", F.explode(bot).alias("bot"))
     return found.withColumn("ts", log_time(F.col("time"), as_of))
 
 
