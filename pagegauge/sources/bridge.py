@@ -67,17 +67,28 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Micro-batches of a table that arrives in parts.
 PARTS = 4
+#: Rows of a file of a part, about.
+FILE_ROWS = 50_000
 
 
 def arriving_in_parts(spark: SparkSession, sf_dir: str, name: str, parts: int = PARTS) -> DataFrame:
-    """A view over ``events`` as a stream: the table as it came in over time, in so many files of equal spans, one of which is a micro-batch."""
+    """A view over ``events`` as a stream: the table as it came in over time, in parts of about equal size, each a micro-batch. A large part is many files, so that no task has all of it.
+
+    A micro-batch takes a number of files, so each part has that number: it is chosen by the smallest part, so small that no file of it is without rows.
+    """
     events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), new_path(spark, "arriving")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    first, last = events.agg(F.min(at), F.max(at)).first()
-    first, span = first or 0, max(1, ((last or 0) - (first or 0)) // parts + 1)
+    cuts = events.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(at > cut, 1).otherwise(0)
+    sizes = {r["part"]: r["count"] for r in events.groupBy(part.alias("part")).count().collect()}
+    files = max(1, min(sizes.get(k, 0) for k in range(parts)) // FILE_ROWS)
     for k in range(parts):  # one after another, as a stream takes files by their age
-        events.where(((at - first) / span).cast("int").eqNullSafe(k) | (at.isNull() & F.lit(k == 0))).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = events.where(part == k)
+        # dealt row by row, so an input partition of as many rows as files reaches each file
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     stream.createOrReplaceTempView("arriving_events")
     return spark.sql(_sql(name, lambda t: f"arriving_{t}", "TIMESTAMP_NTZ"))
 
