@@ -18,6 +18,7 @@ from ..functions.constants import (
     WAF_PENALTY,
     WEAKNESSES,
 )
+from ..functions.tree import once
 from ..functions.exprs import js_round, tier_of, weighted
 
 
@@ -61,10 +62,10 @@ def citation_simulation() -> Column:
     return F.struct(js_round(total / len(platforms)).alias("overall"), F.array(*platforms).alias("platforms"), texts(STRENGTHS).alias("strengths"), texts(WEAKNESSES).alias("weaknesses"))
 
 
-def platform_readiness() -> Column:
+def platform_readiness(advise: bool = True) -> Column:
     """Array of the six platforms: score (sum of the weights of present signals), confidence, the top three recommendations.
 
-    Needs the sub-scores, ``authority`` (null counts 0) and ``is_fresh`` (1 or 0).
+    Needs the sub-scores, ``authority`` (null counts 0) and ``is_fresh`` (1 or 0). Recommendations that nobody reads cost most of the work: ``advise`` leaves them out.
     """
     out = []
     for key, name, signals in PLATFORMS:
@@ -76,17 +77,24 @@ def platform_readiness() -> Column:
             sentence = f"Improve {signal.lower()} for +{gain} points on {name}: {text}"
             advice.append(F.when(~present, F.struct(F.lit(-weight).alias("by"), F.lit(k).alias("ord"), F.lit(sentence).alias("text"))))
         score = js_round(score)
-        missing = F.slice(F.array_sort(F.filter(F.array(*advice), lambda a: a.isNotNull())), 1, 3)
         confidence = F.when(score > 60, "high").when(score > 30, "medium").otherwise("low")
-        out.append(F.struct(F.lit(key).alias("platform"), F.lit(name).alias("name"), score.alias("score"), confidence.alias("confidence"), F.transform(missing, lambda a: a["text"]).alias("recommendations")))
+        fields = [F.lit(key).alias("platform"), F.lit(name).alias("name"), score.alias("score"), confidence.alias("confidence")]
+        if advise:
+            missing = F.slice(F.array_sort(F.filter(F.array(*advice), lambda a: a.isNotNull())), 1, 3)
+            fields.append(F.transform(missing, lambda a: a["text"]).alias("recommendations"))
+        out.append(F.struct(*fields))
     return F.array(*out)
 
 
 def extremes(platforms: Column) -> Column:
     """Struct of the mean readiness and the strongest and weakest platform; of equals the first is stronger."""
-    ranked = F.array_sort(F.transform(platforms, lambda p, i: F.struct((-p["score"]).alias("by"), i.alias("ord"), p["platform"].alias("platform"))))
-    mean = js_round(F.aggregate(platforms, F.lit(0).cast("long"), lambda s, p: s + p["score"]) / F.size(platforms))
-    return F.struct(mean.alias("overall"), F.element_at(ranked, 1)["platform"].alias("strongest"), F.element_at(ranked, -1)["platform"].alias("weakest"))
+
+    def of(ps: Column) -> Column:
+        ranked = F.array_sort(F.transform(ps, lambda p, i: F.struct((-p["score"]).alias("by"), i.alias("ord"), p["platform"].alias("platform"))))
+        mean = js_round(F.aggregate(ps, F.lit(0).cast("long"), lambda s, p: s + p["score"]) / F.size(ps))
+        return once(ranked, lambda r: F.struct(mean.alias("overall"), F.element_at(r, 1)["platform"].alias("strongest"), F.element_at(r, -1)["platform"].alias("weakest")))
+
+    return once(platforms, of)
 
 
 def bot_access(probes: DataFrame) -> DataFrame:

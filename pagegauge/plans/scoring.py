@@ -94,12 +94,12 @@ s AS (SELECT id, platform, k, name, floor(sum(CASE WHEN present THEN w * 100 ELS
 
 @query(f"WITH {_READY} SELECT id, platform, score, CASE WHEN score > 60 THEN 'high' WHEN score > 30 THEN 'medium' ELSE 'low' END AS confidence FROM s")
 def p19_platform_readiness(spark, sf_dir):
-    return _ready(spark, sf_dir).select("id", F.inline(scoring.platform_readiness())).select("id", "platform", "score", "confidence")
+    return _ready(spark, sf_dir).select("id", F.inline(scoring.platform_readiness(advise=False))).select("id", "platform", "score", "confidence")
 
 
 @query(f"WITH {_READY} SELECT id, floor(sum(score)::DOUBLE / 6 + 0.5)::BIGINT AS overall, arg_max(platform, score * 10 - k) AS strongest, arg_min(platform, score * 10 - k) AS weakest FROM s GROUP BY id")
 def w7_platform_extremes(spark, sf_dir):
-    return _ready(spark, sf_dir).select("id", scoring.extremes(scoring.platform_readiness()).alias("x")).select("id", "x.*")
+    return _ready(spark, sf_dir).select("id", scoring.extremes(scoring.platform_readiness(advise=False)).alias("x")).select("id", "x.*")
 
 
 @query(f"""WITH {_READY}, m AS (SELECT *, row_number() OVER (PARTITION BY id, platform ORDER BY w DESC, j) AS n FROM g WHERE NOT present)
