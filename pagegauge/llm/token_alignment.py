@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,11 @@ def _cut(text: str, size: int = CUT) -> list[str]:
     return [*out, text[at:]]
 
 
+def _picked(ids: list[int], values: list) -> tuple:
+    """``values`` at ``ids``, without a step of Python for each."""
+    return itemgetter(*ids)(values) if len(ids) > 1 else tuple(values[i] for i in ids)
+
+
 @dataclass
 class Aligned:
     """Tokens of some documents, one behind the other; ``first`` has where each document's begin."""
@@ -137,7 +143,7 @@ def align(texts: list[str | None], t: Tokenizers) -> Aligned:
     a_ids, b_ids = t.encode(texts)
     for d, x in enumerate(texts):
         whole = f" {x}".encode("utf-8", "surrogatepass")
-        if not x or b"".join([t.a_bytes[i] for i in a_ids[d]]) != whole or b"".join([t.b_bytes[i] for i in b_ids[d]]) != whole:
+        if not x or b"".join(_picked(a_ids[d], t.a_bytes)) != whole or b"".join(_picked(b_ids[d], t.b_bytes)) != whole:
             a_ids[d], b_ids[d] = [], []
     sides = []
     for ids, sizes in ((a_ids, t.a_sizes), (b_ids, t.b_sizes)):
@@ -176,7 +182,7 @@ def group_texts(x: Aligned) -> list[str]:
     codes = (ids * 3 + step).tolist()
     signs = _decimals(int(ids.max()) // 1024 * 1024 + 1024) if len(ids) else []
     first = x.a_first + x.b_first
-    return ["".join([signs[c] for c in codes[first[d] : first[d + 1]]])[:-1] for d in range(x.n)]
+    return ["".join(_picked(codes[first[d] : first[d + 1]], signs))[:-1] for d in range(x.n)]
 
 
 def _facts(x: Aligned) -> dict[str, np.ndarray]:

@@ -6,7 +6,7 @@ import random
 
 import pyarrow as pa
 
-from pagegauge.llm import line_dedup
+from pagegauge.llm import line_dedup, token_alignment
 from pagegauge.llm.edits import at_least, signs, within
 
 from . import brute
@@ -56,3 +56,7 @@ def test_rounds_of_pairs_find_the_same(spark, monkeypatch):
     expected = line_dedup.line_marks(docs).collect()
     monkeypatch.setattr(line_dedup, "LEAST_PAIRS", 1)
     assert sorted(line_dedup.line_marks(docs).collect()) == sorted(expected) and len(expected) == 16
+
+
+def test_picked_of_none_one_and_more():
+    assert [token_alignment._picked(i, [b"a", b"b"]) for i in ([], [1], [1, 0, 1])] == [(), (b"b",), (b"b", b"a", b"b")]
