@@ -154,6 +154,11 @@ def repeated(rows: DataFrame, keys_of: Keys, expected: int) -> Repeated:
     return _sketched(rows, keys_of, log2_width(expected), 0, 1)
 
 
+def repeated_of_range(rows: DataFrame, keys_of: Keys, width: int, part: int, parts: int) -> Repeated:
+    """A merged sketch of the given width for one range of the keys; it says no to the others."""
+    return _sketched(rows, keys_of, width, part, parts)
+
+
 def repeated_by_range(rows: DataFrame, keys_of: Keys, expected: int, cells: int = 2, max_log2: int = MAX_LOG2_WIDTH) -> Iterator[Repeated]:
     """A merged sketch for each range of the keys; each says no to the keys of the others."""
     parts = ranges(expected, max_log2)
